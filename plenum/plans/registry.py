@@ -1,4 +1,6 @@
-"""Queries over the driver tables by name, and the SQL each is checked against."""
+"""All queries over the driver tables by name, and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plenum.plans import audits, changes, clusters, joins, journeys, rollups, scans, texts, windows  # noqa: F401
+from plenum.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
