@@ -135,7 +135,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RER
     spark = table.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rank_ids = Window.partitionBy("embedding").orderBy("vec_id")
-    rows = valid_vectors(table).withColumn("place", F.row_number().over(rank_ids)).where(F.col("place") <= k + 1)
+    rows = valid_vectors(table).withColumn("place", F.dense_rank().over(rank_ids)).where(F.col("place") <= k + 1)
     classes = rows.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     classes = cut(classes.select("embedding", "ids", F.element_at("ids", 1).alias("first")))
     asked = cut(valid_vectors(queries).dropDuplicates(["vec_id"]))
