@@ -172,7 +172,7 @@ def main_text(html: str | None) -> str:
     footers, sidebars, notices, adverts, forms, comments, scripts, styles) is
     told by element, role and class. What remains is scored by characters per
     tag, links counting against it; the smoothed scores are split in two
-    clusters, and the lines above the boundary seed the content regions. A
+    clusters, and the lines that reach the boundary, smoothed or not, seed the content regions. A
     region takes the whole article container around its seeds, or without such
     a container all lines from its first to its last seed and the headings just
     before. Null, empty and text-free pages give an empty string.
@@ -193,7 +193,7 @@ def main_text(html: str | None) -> str:
     ratio = [max(0.0, len(t) - 2 * x.link_chars) / x.tags for x, t in zip(lines, texts)]
     scores = smooth(ratio)
     cut = threshold(scores)
-    seeds = [i for i, s in enumerate(scores) if s >= cut and ratio[i] > 0] or [max(range(len(lines)), key=lambda i: scores[i])]
+    seeds = [i for i, s in enumerate(scores) if max(s, ratio[i]) >= cut and ratio[i] > 0] or [max(range(len(lines)), key=lambda i: scores[i])]
     weight: dict[int, float] = {}
     for i in seeds:
         weight[lines[i].container] = weight.get(lines[i].container, 0) + ratio[i]
