@@ -20,47 +20,62 @@ def weekly_counts(df: DataFrame, time: str, id_column: str, user: str, weeks: in
     return spine.join(counts, "week", "left").select(F.col("week").cast("string").alias("week"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("users", F.lit(0)).cast("long").alias("users"))
 
 
-RESET_MOST = 15  # a run starts at or below this number
-LOOK_AHEAD_DAYS = 120  # in which a new run has to show itself
-PROOFS = 2  # later numbers that have to stay below the old mark
+# What makes a fall of numbers a new run.
+RUN_LEAST_HIGH = 20  # a run must have come so far
+RUN_DAYS = 120  # in which the new run has to show itself
+RUN_NEW_NUMBERS = 10  # distinct low numbers it has to show
+RUN_OLD_SHARE = 0.2  # numbers of the old range among them, at most
+RUN_SLACK = 10  # a number so far past the mark is carried over
 
 
-def runs_of(rows: list[tuple], reset_most: int = RESET_MOST, days: int = LOOK_AHEAD_DAYS, proofs: int = PROOFS) -> list[tuple]:
-    """(first day, first number, numbers, highest) of each run of (day, number) rows in order.
+class Run:
+    """High-water mark of a numbering series, aware of stragglers of the run before."""
 
-    A number far below the high-water mark starts a new run only if it is small
-    and the numbers that follow it soon stay below the old mark; else it is a late straggler.
-    """
-    out: list[list] = []
+    def __init__(self) -> None:
+        self.high, self.old = 0, 0
+
+    def may_restart(self, number: int) -> bool:
+        return self.high >= RUN_LEAST_HIGH and number <= max(3, self.high // 10)
+
+    def proven(self, soon: list[int]) -> bool:
+        low = [n for n in soon if n <= self.high // 2]
+        return len(set(low)) >= RUN_NEW_NUMBERS and len(soon) - len(low) < RUN_OLD_SHARE * len(soon)
+
+    def restart(self, number: int) -> None:
+        self.high, self.old = number, self.high
+
+    def see(self, number: int) -> None:
+        straggler = self.old and number > self.high + RUN_SLACK and number > self.old // 2
+        if not straggler:
+            self.high = max(self.high, number)
+            if self.high > self.old // 2:
+                self.old = 0
+
+
+def run_starts(rows: list[tuple]) -> list:
+    """Days on which a new run begins, of (day, number) rows in order."""
+    run, out = Run(), []
     for i, (day, number) in enumerate(rows):
-        if not out:
-            out.append([day, number, 1, number])
-            continue
-        mark = out[-1][3]
-        if number <= reset_most and number < mark // 2:
-            soon = [n for d, n in rows[i + 1 :][: 4 * proofs] if (d - day).days <= days]
-            if len([n for n in soon if n < mark]) >= proofs and max(soon[:proofs], default=mark) < mark:
-                out.append([day, number, 1, number])
-                continue
-        out[-1][2] += 1
-        out[-1][3] = max(mark, number)
-    return [tuple(x) for x in out]
+        if run.may_restart(number) and run.proven([n for d, n in rows[i:] if (d - day).days <= RUN_DAYS]):
+            out.append(day)
+            run.restart(number)
+        else:
+            run.see(number)
+    return out
 
 
 def numbering_runs(occurrences: DataFrame) -> DataFrame:
-    """Runs of each ``series`` of (``day``, ``number``): first day, first number, count and highest number.
+    """Starts of every run after the first of each ``series`` of (``day``, ``number``).
 
     The scan needs state and a look ahead, so each series is one pandas group;
     repeated (day, number) pairs are dropped first with map-side combining, which
-    bounds a group by its distinct numbers.
+    bounds a group by its distinct numbers a day.
     """
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "number"])
-        found = runs_of(list(zip(pdf["day"], pdf["number"])))
-        out = pd.DataFrame(found, columns=["first_day", "first_number", "numbers", "highest"])
-        out.insert(0, "series", pdf["series"].iloc[0])
-        return out
+        found = run_starts(list(zip(pdf["day"], pdf["number"])))
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found), "start": found})
 
     distinct = occurrences.select("series", "day", "number").distinct()
-    return distinct.groupBy("series").applyInPandas(scan, "series long, first_day date, first_number int, numbers int, highest int")
+    return distinct.groupBy("series").applyInPandas(scan, "series long, start date")
