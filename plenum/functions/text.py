@@ -164,10 +164,10 @@ LINK = r"https?://[^\s<>\"')\]]+"
 
 def contacts(text: Column) -> Column:
     """Distinct e-mail addresses, telephone numbers (ten digits, leading +1) and addresses of streams in a text."""
-    every = lambda p: F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({p})")))
+    every = lambda p: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({p})"))
     phones = F.array_distinct(F.transform(every(PHONE), lambda p: F.concat(F.lit("+1"), F.regexp_replace(p, r"\D", ""))))
-    streams = F.filter(every(LINK), lambda u: u.rlike(r"(?i)zoom\.us|youtube\.com|youtu\.be|teams\.microsoft|webex|granicus|swagit"))
-    return F.struct(F.transform(every(EMAIL), F.lower).alias("emails"), phones.alias("phones"), streams.alias("streams"))
+    streams = F.filter(F.array_distinct(every(LINK)), lambda u: u.rlike(r"(?i)zoom\.us|youtube\.com|youtu\.be|teams\.microsoft|webex|granicus|swagit"))
+    return F.struct(F.array_distinct(F.transform(every(EMAIL), F.lower)).alias("emails"), phones.alias("phones"), streams.alias("streams"))
 
 
 def email_purpose(text: Column, email: Column) -> Column:

@@ -107,7 +107,7 @@ def increasing(anchors: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """Longest subsequence whose offsets increase: anchors that stand in the items' order."""
     best: list[tuple[int, int]] = []  # (length, index before)
     for i, (offset, _) in enumerate(anchors):
-        longest = max(((best[j][0], j) for j in range(i) if anchors[j][0] < offset), default=(0, -1))
+        longest = max(((best[j][0], j) for j in range(i) if anchors[j][0] < offset), key=lambda x: (x[0], -x[1]), default=(0, -1))
         best.append((longest[0] + 1, longest[1]))
     at = max(range(len(best)), key=lambda i: best[i][0], default=-1)
     out = []

@@ -75,7 +75,7 @@ def numbering_runs(occurrences: DataFrame) -> DataFrame:
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "number"])
         found = run_starts(list(zip(pdf["day"], pdf["number"])))
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(found), "start": found})
+        return pd.DataFrame({"series": pd.Series([pdf["series"].iloc[0]] * len(found), dtype="int64"), "start": pd.Series(found, dtype=object)})
 
     distinct = occurrences.select("series", "day", "number").distinct()
     return distinct.groupBy("series").applyInPandas(scan, "series long, start date")

@@ -90,7 +90,7 @@ def garbled_padding(spark, sf_dir):
 
 @query(
     "contact_extraction",
-    f"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '{text.EMAIL}'))) AS BIGINT) AS emails, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '\\(?\\b\\d{{3}}\\)?[-. ]\\d{{3}}[-. ]\\d{{4}}\\b'), lambda p: regexp_replace(p, '\\D', '', 'g')))) AS BIGINT) AS phones FROM documents",
+    f"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '{text.EMAIL}'))) AS BIGINT) AS emails, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '\\(?\\b\\d{{3}}\\)?[-. ]\\d{{3}}[-. ]\\d{{4}}\\b'), lambda p: regexp_replace(p, '\\D', '', 'g')))) AS BIGINT) AS phones FROM documents",
 )
 def contact_extraction(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", text.contacts(F.col("text")).alias("c"))
