@@ -131,3 +131,20 @@ def activity(outbox: DataFrame, now: Column) -> DataFrame:
         F.count_if((F.col("status") == "pending") & (F.col("ready_at") <= now)).alias("ready"),
         F.min(F.when(F.col("status") == "pending", F.col("ready_at"))).alias("next_attempt"),
     )
+
+
+def batch_lane(job_type: Column, date: Column, now: Column, past_days: int, future_days: int) -> Column:
+    """True for meeting jobs whose date is outside the urgent window; a missing date belongs to neither lane (null)."""
+    urgent = date.between(now - F.expr(f"interval {past_days} days"), now + F.expr(f"interval {future_days} days"))
+    return F.when(job_type != "meeting", F.lit(False)).otherwise(~urgent)
+
+
+def recovered(rows: DataFrame, status: str, heartbeat: str, now: Column, minutes: int) -> DataFrame:
+    """Runs past their heartbeat closed as abandoned; others as they are."""
+    late = stale(F.col(status), F.col(heartbeat), now, minutes)
+    return rows.withColumn(status, F.when(late, "abandoned").otherwise(F.col(status)))
+
+
+def lease(jobs: DataFrame, order: list[Column], n: int, owner: str, until: Column) -> DataFrame:
+    """Up to ``n`` due jobs with their lease: a collector's batch."""
+    return jobs.orderBy(*order).limit(n).withColumn("lease_owner", F.lit(owner)).withColumn("lease_until", until)

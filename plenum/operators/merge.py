@@ -150,3 +150,34 @@ def stable_ids(items: DataFrame, base: str, semantic: str) -> DataFrame:
     counts = distinct.groupBy(base).agg(F.count(F.lit(1)).alias("__n"))
     suffix = F.concat(F.col(base), F.lit("_"), F.substring(F.sha2(F.col(semantic).cast("string"), 256), 1, 8))
     return distinct.join(counts, base).withColumn("item_id", F.when(F.col("__n") > 1, suffix).otherwise(F.col(base))).drop("__n")
+
+
+def reconcile_by_source(stored: DataFrame, observed: DataFrame, scope: str, keys: list[str], source: str, value: str) -> DataFrame:
+    """Rows after a scope's votes were observed: observed ones win, and only rows of the same source that are no longer observed go.
+
+    Scopes that were not observed, and other sources, stay as they are.
+    """
+    touched = observed.select(scope).distinct().withColumn("__touched", F.lit(True))
+    rows = stored.alias("s").join(observed.select(*keys, F.col(value).alias("__new"), F.lit(True).alias("__seen")), keys, "full_outer")
+    rows = rows.join(touched, scope, "left")
+    orphan = F.col("__touched") & F.col("__seen").isNull() & (F.col("source") == source)
+    kept = rows.where(~F.coalesce(orphan, F.lit(False)))
+    merged = kept.withColumn(value, F.coalesce("__new", F.col(value))).withColumn("source", F.coalesce("source", F.lit(source)))
+    return merged.select(*stored.columns)
+
+
+def publication(items: DataFrame, tracking: DataFrame, key: str) -> DataFrame:
+    """What to publish for each affected matter: enqueue, tombstone (no appearance left), copy a prior summary, or nothing.
+
+    ``items`` has the retained rows with ``summary`` and ``attachments``; ``tracking``
+    the affected keys with the newest prior ``summary`` and the work version done.
+    """
+    now = items.groupBy(key).agg(F.count(F.lit(1)).alias("appearances"), F.bool_and(F.col("summary").isNotNull()).alias("complete"), F.max("work_version").alias("work_version"))
+    rows = tracking.join(now, key, "left")
+    action = (
+        F.when(F.col("appearances").isNull(), "tombstone")
+        .when(F.col("complete"), "nothing")
+        .when(F.col("done_version").eqNullSafe(F.col("work_version")) & F.col("prior_summary").isNotNull(), "copy_summary")
+        .otherwise("enqueue")
+    )
+    return rows.withColumn("action", action)

@@ -191,3 +191,44 @@ def test_random_names_resolve():
     keys = minutes.roster_keys(["Ann Lee", "Bo Lee", "Cy Dee"])
     assert minutes.resolve("Dee", keys) == "Cy Dee" and minutes.resolve("Lee", keys) is None and minutes.resolve("A. Lee", keys) == "Ann Lee"
     assert minutes.resolve("".join(rng.choice("xyz") for _ in range(5)), keys) is None
+
+
+def test_arrays(spark):
+    from plenum.functions import arrays
+
+    assert one(spark, arrays.count_of(s('[1, 2]'))) == 2 and one(spark, arrays.count_of(s('{"a": 1}'))) == 0
+    topics = {"house": "housing", "homes": "housing", "park": "parks"}
+    assert one(spark, arrays.canonical_topics(F.col("t"), topics), t=(["New homes", "PARK", "none"], "array<string>")) == ["housing", "parks"]
+    assert one(spark, arrays.single_topic(s("Zoning "), topics)) == "zoning"
+    assert one(spark, arrays.allowed_topics(F.col("t"), ["a"]), t=(["x"], "array<string>")) == ["other"] and one(spark, arrays.allowed_topics(F.col("t"), ["a"]), t=([], "array<string>")) == []
+    got = one(spark, arrays.patched(F.col("o"), F.col("n")), o=({"a": "1", "b": "2"}, "map<string,string>"), n=({"b": "3"}, "map<string,string>"))
+    assert got == {"a": "1", "b": "3"}
+    docs = [("Closed agenda.pdf", "u"), ("Draft agenda.pdf", "u"), ("Agenda", "http://h/view.html"), ("Agenda.pdf", "u1"), ("Agenda.pdf", "u2")]
+    assert one(spark, arrays.pick_document(F.col("d")), d=(docs, "array<struct<name:string,url:string>>"))["url"] == "u1"
+    assert [arrays.first_json(t) for t in ('x ```json {"a": [1, 2,],}``` y', "none", None, '{"a": "b')] == ['{"a": [1, 2]}', None, None, '{"a": "b"}']
+    files = spark.createDataFrame([(1, "Leg Ver2.pdf"), (1, "Leg Ver10.pdf"), (1, "Memo.pdf")], "k int, name string")
+    assert sorted(r["name"] for r in arrays.newest_versions(files, "k", "name").collect()) == ["Leg Ver10.pdf", "Memo.pdf"]
+    assert [one(spark, arrays.leading_number(s(t))) for t in ("3.a) Budget", "A. Minutes", "Budget of 3")] == ["3.a", "A", None]
+    items = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"])], "m int, topics array<string>")
+    assert arrays.topics_by_frequency(items, "m", "topics").first()["topics"] == ["b", "a"]
+    shape = "k int, at int, attachments array<struct<name:string,url:string,pages:array<int>>>"
+    rows = spark.createDataFrame([(1, 2, [("n", "http://h/1?sig=2", None)]), (1, 1, [("m", "http://h/2", None), ("n", "http://h/1?sig=1", None)])], shape)
+    assert [a["name"] for a in arrays.distinct_attachments(rows, "k", ["at"]).first()["attachments"]] == ["m", "n"]
+    assert one(spark, arrays.better_ocr(s("§§ 1"), s("A readable line of text")))
+
+
+def test_sinks(spark, tmp_path):
+    from plenum.sources import sinks
+
+    rows = spark.createDataFrame([("x", '{"type":"Point","coordinates":[1,2]}', 3), ("y", None, 0)], "name string, geo string, n int")
+    import json
+
+    got = [json.loads(r["value"]) for r in sinks.features(rows, "geo", ["name", "n"]).collect()]
+    assert got[0]["geometry"]["coordinates"] == [1, 2] and got[1]["geometry"] is None and got[0]["properties"] == {"name": "x", "n": 3}
+    assert one(spark, sinks.coverage_tier({"item": F.lit(2), "matter": F.lit(0)})) == "item" and one(spark, sinks.coverage_tier({})) == "pending"
+    assert sinks.telemetry({"a": rows, "b": rows.limit(1)}).count() == 3
+    calls = []
+    compute = lambda: calls.append(1) or rows.limit(1)
+    for minute, times in ((0, 1), (30, 1), (90, 2)):
+        stored = sinks.snapshot(spark, f"{tmp_path}/s", compute, datetime.datetime(2025, 1, 1, 0, 0) + datetime.timedelta(minutes=minute))
+        assert stored.count() == 1 and len(calls) == times
