@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.words import BLANKS, let, words
+from plenum.llm.words import let, words
 
 LABEL_ROWS = 20000  # labelled rows the list is fitted on, taken in hash order
 MAX_RULES = 12
 MAX_CONDITIONS = 4
 CUTS = 24
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-FEATURES = ("symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate", "digit_rate", "punct_rate", "word_len", "pipe_rate", "bang_rate", "distinct_rate")
+FEATURES = ("symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate", "word_len", "pipe_rate", "bang_rate")
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def occurrences(text: Column, characters: str) -> Column:
+    """How many characters of a class (as a regular expression) a text has."""
+    return (F.length(text) - F.length(F.regexp_replace(text, characters, ""))).cast("long")
+
+
+def count_of(text: Column, mark: str) -> Column:
+    """How often an ASCII character occurs, by byte search."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))).cast("long")
+
+
+def run_hashes(tokens: Column, window: int, body: Callable[[Column], Column], known: int = 1) -> Column:
+    """``body`` of the hashes of all runs of ``window`` (a power of two) words, built by doubling: two halves make a run."""
+    if known == window:
+        return body(tokens)
+    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - known - 1), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + known)))
+    return let(pairs, lambda h: run_hashes(h, window, body, 2 * known))
 
 
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
@@ -45,10 +59,9 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
         return let(placed, lambda order: F.aggregate(marks(order), zero, step, lambda acc: acc["n"]))
 
     def count(tokens: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
-        return F.when(F.size(tokens) <= window, F.lit(0).cast("long")).otherwise(
-            let(runs, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
-        )
+        none = F.lit(0).cast("long")
+        found = run_hashes(tokens, window, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
+        return F.when(F.size(tokens) <= window, none).otherwise(found)
 
     return let(tokens, count)
 
@@ -60,23 +73,19 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     scan's task, row by row; there is no shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without(x, BLANKS)) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = docs.withColumn("__words", words(F.col("text"))).withColumn("__lines", lines)
-    solid = F.length(without(text, BLANKS))
     stats = base.select(
         *docs.columns,
         F.size("__words").cast("long").alias("n_words"),
-        solid.cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        occurrences(text, "[#*$%&|<>]").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("__n_lines"),
-        F.size(F.array_distinct("__words")).cast("long").alias("__distinct"),
-        (F.length(text) - F.length(without(text, "0123456789"))).cast("long").alias("__digits"),
-        (F.length(text) - F.length(without(text, ".,;:?"))).cast("long").alias("__points"),
-        (F.length(text) - F.length(without(text, "|"))).cast("long").alias("__pipes"),
-        (F.length(text) - F.length(without(text, "!"))).cast("long").alias("__bangs"),
-        (F.length(text) - F.length(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ"))).cast("long").alias("__upper"),
+        count_of(text, "|").alias("__pipes"),
+        count_of(text, "!").alias("__bangs"),
+        occurrences(text, "[A-ZÀÂÄÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ]").alias("__upper"),
     )
     rate = lambda part, whole: F.round(F.col(part) / F.greatest(F.col(whole), F.lit(1)), 6)
     return stats.select(
@@ -85,15 +94,21 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         rate("n_repeat_words", "n_words").alias("repeat_rate"),
         rate("n_dup_lines", "__n_lines").alias("dup_line_rate"),
         rate("__upper", "word_chars").alias("upper_rate"),
-        rate("__digits", "word_chars").alias("digit_rate"),
-        rate("__points", "word_chars").alias("punct_rate"),
         rate("word_chars", "n_words").alias("word_len"),
         rate("__pipes", "word_chars").alias("pipe_rate"),
         rate("__bangs", "word_chars").alias("bang_rate"),
-        rate("__distinct", "n_words").alias("distinct_rate"),
+        F.monotonically_increasing_id().alias("__row"),  # see once()
     )
 
 
+def once(condition: Column) -> Column:
+    """``condition`` on statistics, tied to a column that Spark won't compute twice.
+
+    A plain filter would be pushed below the projection, and each statistic in it worked out again there.
+    """
+    return condition & (F.col("__row") >= 0)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -201,7 +216,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = LABEL_ROWS) -
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     part = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    seen = text_statistics(part).where(~base_failed()).select("doc_id", "quality", *FEATURES)
+    seen = text_statistics(part).where(once(~base_failed())).select("doc_id", "quality", *FEATURES)
     return [r.asDict() for r in seen.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
 
 
@@ -217,7 +232,7 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with base statistics, ``base_failed``, ``rule`` and ``kept``.
+    """``docs`` with base statistics, ``base_failed``, ``rule``, ``kept`` and ``__row``.
 
     ``docs`` needs ``doc_id`` and ``text``. Null and empty texts fail the base rules.
     Labels that are null, unknown or without a document are ignored; a document
@@ -232,6 +247,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.withColumn("kept", F.coalesce(F.col("rule") == 0, F.lit(False)))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, that :func:`judged` keeps."""
+    return judged(docs, labels).where(once(F.col("kept"))).select(*docs.columns)
+
+
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Digest of :func:`judged`."""
     named = docs.select(F.col("doc_id").cast("long"), "text")
