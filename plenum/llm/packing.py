@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from plenum.llm.storage import cut
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 200_000  # words whose ids a worker keeps
+CACHE_WORDS = 400_000  # words whose ids a worker keeps
 BUCKET_ROWS = 50_000  # pieces of one length that one task numbers
 
 
@@ -27,26 +29,67 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_ids: dict[str, dict[str, bytes]] = {}
+def byte_letters() -> dict[int, str]:
+    """Characters that a byte-level vocabulary writes for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text without special tokens, as unsigned 32-bit integers.
+BYTE_LETTERS = byte_letters()
+TAIL = ".,;:!?*#$%&"  # marks that are often written after a word
+CONTROLS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
+
 
-    The tokenizer drops white space before it looks at words, so a text's ids are
-    its blank-separated words' ids in a row; each word new to the worker is
-    encoded once, all of a batch together.
+class WordIds(dict):
+    """Ids of words without white space as bytes of unsigned 32-bit integers, worked out once a word.
+
+    The tokenizer drops white space first and then splits letters from marks, so
+    a word followed by marks is encoded as both in a row. A word of letters alone
+    is one pre-token: it goes straight to the tokenizer's own BPE model, after its
+    own normalizer if it is not ASCII. Everything else goes through the whole tokenizer.
+    The cache forgets all when it is full.
     """
-    known = _ids.setdefault(path, {})
-    split = [t.split(" ") if t.isprintable() else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    if len(known) + len(fresh) > CACHE_WORDS:
-        known.clear()
-        fresh = list({w for words in split for w in words})
-    for at in range(0, len(fresh), 20000):
-        part = fresh[at : at + 20000]
-        for word, encoding in zip(part, tokenizer(path).encode_batch(part, add_special_tokens=False)):
-            known[word] = np.array(encoding.ids, "<u4").tobytes()
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.whole = tokenizer(path)
+        self.model, self.normal = self.whole.model, self.whole.normalizer
+        self.cores: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self.cores.clear()
+        core = word.rstrip(TAIL)
+        if not core or core == word or not normalize("NFC", core[-1]).lower().isalnum():  # else its marks run on into the tail
+            value = self.core(word)
+        else:
+            value = self.core(core) + self[word[len(core) :]]
+        self[word] = value
+        return value
+
+    def core(self, word: str) -> bytes:
+        key = word.lower() if word.isascii() else word
+        if key not in self.cores:
+            self.cores[key] = np.array(self.ids(key), "<u4").tobytes()
+        return self.cores[key]
+
+    def ids(self, word: str) -> list[int]:
+        if word.isalpha():
+            text = word if word.isascii() else self.normal.normalize_str(word)
+            if text.isalpha():
+                return [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+
+word_ids = cache(WordIds)
+
+
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each text without special tokens, as unsigned 32-bit integers."""
+    known = word_ids(path)
+    split = (re.split("[ \t\n\r\f\v]+", t) if CONTROLS.search(t) else t.split() for t in texts)
     return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
