@@ -68,6 +68,7 @@ def mixture(docs: DataFrame, split_last: bool = True) -> DataFrame:
     plan = cut(plan.withColumn("slices", slices))
     head = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long")
     rows = narrow.join(plan, "source_key").withColumn("slice", F.floor(head * F.col("slices") / (1 << 32)).cast("long"))
+    rows = rows.repartition("source_key", "slice")  # else the window keeps the join's partitioning, a source to a task
     sums = rows.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("offset"))
