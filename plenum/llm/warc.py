@@ -17,6 +17,7 @@ from plenum.llm.storage import fresh_path
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
 SPLIT_BYTES = 8 << 20  # a task owns the records that start in its range of this length
+MOST_TASKS = 50_000  # beyond so many ranges a task gets several
 STEP = 1 << 20  # bytes read at a time
 HEAD_BYTES = 1 << 16  # decoded bytes in which a record's header must end
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -236,7 +237,8 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     starts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "length")
     ranges = starts.select("path", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(read, HEAD)
+    tasks = max(1, min(ranges.count(), MOST_TASKS))  # given by number: adaptive execution would merge so few bytes into one task
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, HEAD)
 
 
 def op8(pages: DataFrame) -> DataFrame:
