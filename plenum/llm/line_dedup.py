@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,33 +21,67 @@ MIN_WORDS = 5  # shorter lines are never removed
 RADIUS = 3  # differing SimHash bits of a link at most
 SIMILARITY = 0.8  # of a link's edit distance at least
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
-OTHER = re.compile(r"[^\w\s]+|_+")
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+FOLD = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
 
 
-def normal(line: str) -> list[str]:
-    """Words of a line for comparison: lower case, without punctuation."""
-    return OTHER.sub(" ", line.lower()).split()
+def folded(text: str) -> bytes:
+    """UTF-8 of a text for comparison: A-Z in lower case, ASCII punctuation as spaces; line feeds stay."""
+    return text.encode("utf-8", "surrogatepass").translate(FOLD)
+
+
+def normal(line: str) -> list[bytes]:
+    """Words of a line for comparison."""
+    return folded(line).split()
+
+
+class WordHashes(dict):
+    """XXH64 of each word that was met; it forgets all when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
 
 def line_marks(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
-    """SimHash of each line from its words' hashes, lines one after another (``counts`` words each, one at least)."""
-    out = np.zeros(len(counts), np.uint64)
+    """SimHash of each line from its words' hashes, lines one after another (``counts`` words each, one at least).
+
+    Bits are added as bytes, eight to a machine word; a byte holds lines of up to
+    255 words, longer ones are added by themselves.
+    """
     sizes = np.array(counts, np.int64)
     ends = np.cumsum(sizes)
+    ones = np.zeros((len(sizes), 64), np.int64)
     at = 0
     while at < len(sizes):
         base = ends[at] - sizes[at]
         upto = max(at + 1, int(np.searchsorted(ends, base + 200_000, side="right")))
-        part = hashes[base : ends[upto - 1]].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(np.unpackbits(part, axis=1), ends[at:upto] - sizes[at:upto] - base, axis=0, dtype=np.int32)
-        bits = np.packbits(2 * ones > sizes[at:upto, None], axis=1)
-        out[at:upto] = bits.view(">u8").ravel()
+        bits = np.unpackbits(hashes[base : ends[upto - 1]].astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        ones[at:upto] = np.add.reduceat(bits, ends[at:upto] - sizes[at:upto] - base, axis=0).view(np.uint8)
         at = upto
-    return out
+    for i in np.flatnonzero(sizes > 255):
+        part = hashes[ends[i] - sizes[i] : ends[i]].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones[i] = np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def same_start(a: str, b: str) -> int:
+    """Length of the common prefix, by bisection on slices."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over the characters of ``a``."""
+    """Levenshtein distance: between what common ends leave, bit-parallel over the characters of ``a``."""
+    n = same_start(a, b)
+    a, b = a[n:], b[n:]
+    n = same_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - n], b[: len(b) - n]
     if not a or not b:
         return len(a) or len(b)
     places: dict[str, int] = {}
@@ -84,14 +116,31 @@ def close_forest(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning forest of the pairs of ``marks`` at most ``radius`` bits apart."""
     label, out = np.arange(len(marks)), []
     for i in range(1, len(marks)):
-        near = np.flatnonzero(bits_apart(marks[:i], int(marks[i])) <= radius)
-        for other in np.unique(label[near]).tolist():
+        near = label[:i][bits_apart(marks[:i], int(marks[i])) <= radius]
+        for other in distinct(near):
             out.append((i, other))
-            low, high = sorted((int(label[i]), other))
-            label[: i + 1][label[: i + 1] == high] = low
+            join(label, i, other)
     return out
 
 
+def distinct(labels: np.ndarray) -> list[int]:
+    """Different values of ``labels``; one value, the usual case, is told without sorting."""
+    if not len(labels):
+        return []
+    least = int(labels.min())
+    return [least] if least == labels.max() else np.unique(labels).tolist()
+
+
+def join(label: np.ndarray, i: int, other: int) -> None:
+    """Put the group of ``i``, the last place so far, and the group ``other`` under the smaller label."""
+    mine = int(label[i])
+    if mine == i:
+        label[i] = other
+    elif mine != other:
+        low, high = min(mine, other), max(mine, other)
+        label[: i + 1][label[: i + 1] == high] = low
+
+
 def pigeonhole_masks(radius: int, extra: int = 2) -> list[int]:
     """Bit masks of every choice of ``extra`` out of ``radius + extra`` blocks."""
     n = radius + extra
@@ -108,29 +157,23 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        digest = xxhash.xxh64_intdigest
+        cache = WordHashes()
         for batch in batches:
             doc, number, keys, hashes, counts = [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, line in enumerate((text.as_py() or "").split("\n")):
-                    words = normal(line)
+                for i, line in enumerate(folded(text.as_py() or "").split(b"\n")):
+                    words = line.split()
                     if len(words) < MIN_WORDS:
                         continue
                     doc.append(name)
                     number.append(i)
-                    keys.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
+                    keys.append(hashlib.md5(b" ".join(words)).digest())
                     counts.append(len(words))
-                    for word in words:
-                        if word not in cache:
-                            cache[word] = digest(word.encode("utf-8", "surrogatepass"))
-                        hashes.append(cache[word])
-            if len(cache) > 300_000:
-                cache.clear()
+                    hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
             if not doc:
                 continue
             both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            mark = line_marks(np.array(hashes, np.uint64), counts).view(np.int64)
+            mark = line_marks(np.concatenate(hashes), counts).view(np.int64)
             columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], mark))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "high", "low", "mark"])
 
@@ -139,56 +182,91 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
 
 
 def hamming_links(marks: DataFrame, radius: int) -> DataFrame:
-    """Spanning links ``a``, ``b`` between distinct marks at most ``radius`` bits apart (column ``mark``)."""
+    """Spanning links ``a``, ``b`` between distinct marks at most ``radius`` bits apart (column ``mark``).
+
+    A row names its mask and the mark; the bucket, the mark under the mask, is
+    worked out where it is needed.
+    """
+    masks = pigeonhole_masks(radius)
+    wide = np.array(masks, np.uint64)
+
+    def bucket_of(table: pa.Table) -> np.ndarray:
+        number = table.column("mask").to_numpy()
+        return np.stack([number.astype(np.uint64), table.column("mark").to_numpy().view(np.uint64) & wide[number]])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, "bucket"):
-            bucket, mark = table.column("bucket").to_numpy(), table.column("mark").to_numpy()
-            a, b = [], []
-            begin, end = bounds(bucket)
-            for lo, hi in zip(begin[end - begin > 1], end[end - begin > 1]):
-                for i, j in close_forest(mark[lo:hi].view(np.uint64), radius):
-                    a.append(mark[lo + i])
-                    b.append(mark[lo + j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    signed = [m - (1 << 64) if m >> 63 else m for m in pigeonhole_masks(radius)]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("mark").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    dealt = marks.select(F.explode(keys).alias("bucket"), "mark").repartition("bucket").sortWithinPartitions("bucket", "mark")
+        for table in slabs(batches, bucket_of):
+            mark = table.column("mark").to_numpy()
+            begin, end = bounds(bucket_of(table))
+            pairs = begin[end - begin == 2]
+            pairs = pairs[np.bitwise_count((mark[pairs] ^ mark[pairs + 1]).view(np.uint64)) <= radius]
+            a, b = [mark[pairs + 1]], [mark[pairs]]
+            for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
+                found = close_forest(mark[lo:hi].view(np.uint64), radius)
+                a.append(mark[[lo + i for i, _ in found]] if found else mark[:0])
+                b.append(mark[[lo + j for _, j in found]] if found else mark[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    bucket = F.col("mark").bitwiseAND(F.get(signed, F.col("mask")))
+    dealt = marks.select(F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("mask"), "mark")
+    dealt = dealt.repartition(F.xxhash64("mask", bucket)).sortWithinPartitions("mask", bucket)
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def verified(group: pd.DataFrame) -> pd.DataFrame:
-    """Connected groups of one SimHash component's lines under the edit-similarity check.
+def verified(marks: list[int], texts: list[str]) -> list[int]:
+    """For each of one SimHash component's lines the first line of its connected group under the edit-similarity check.
 
     A line is checked against other groups only, nearest marks first, until one
     of the group's lines is alike; so n alike lines take about n checks.
     """
-    group = group.sort_values(["doc_id", "line_no"], kind="stable").reset_index(drop=True)
-    texts = [" ".join(normal(x)) for x in group["line"]]
-    marks = group["mark"].to_numpy().view(np.uint64)
-    label = np.arange(len(group))
-    for i in range(1, len(group)):
-        apart = bits_apart(marks[:i], int(marks[i]))
+    wide, label = np.array(marks, np.int64).view(np.uint64), np.arange(len(marks))
+    for i in range(1, len(marks)):
+        apart = bits_apart(wide[:i], int(wide[i]))
         near = np.flatnonzero(apart <= RADIUS)
-        near = near[np.argsort(apart[near], kind="stable")]
-        for other in np.unique(label[near]).tolist():
-            if any(alike(texts[i], texts[j]) for j in near[label[near] == other].tolist()):
-                low, high = sorted((int(label[i]), other))
-                label[: i + 1][label[: i + 1] == high] = low
-                near = near[label[near] != low]
-    out = group[["high", "low"]].copy()
-    out["keep_doc"], out["keep_line"] = group["doc_id"].to_numpy()[label], group["line_no"].to_numpy()[label]
-    return out
+        if not len(near):
+            continue
+        groups = label[near]
+        for other in distinct(groups):
+            own = near[groups == other]
+            nearest = int(own[apart[own].argmin()])
+            if alike(texts[i], texts[nearest]) or any(j != nearest and alike(texts[i], texts[j]) for j in own[np.argsort(apart[own], kind="stable")].tolist()):
+                join(label, i, other)
+    return label.tolist()
+
+
+def kept_lines(rows: DataFrame) -> DataFrame:
+    """First line (``keep_doc``, ``keep_line``) of each line's group, where that is another line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in slabs(batches, lambda t: t.column("component").to_numpy()[None, :], at_least=4096):
+            begin, end = bounds(table.column("component").to_numpy()[None, :])
+            doc, line_no, mark, high, low = (table.column(c).to_numpy() for c in ("doc_id", "line_no", "mark", "high", "low"))
+            texts = table.column("line")
+            at, first = [], []
+            for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
+                lines = [b" ".join(normal(x.as_py())).decode("utf-8", "surrogatepass") for x in texts.slice(lo, hi - lo)]
+                for i, root in enumerate(verified(mark[lo:hi].tolist(), lines)):
+                    if root != i:
+                        at.append(lo + i)
+                        first.append(lo + root)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high[at], low[at], doc[first], line_no[first])] if at else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())], ["high", "low", "keep_doc", "keep_line"])
+
+    dealt = rows.repartition("component").sortWithinPartitions("component", "doc_id", "line_no")
+    return dealt.select("component", "doc_id", "line_no", "high", "low", "mark", "line").mapInArrow(run, "high long, low long, keep_doc long, keep_line int")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the id that orders it (``__id``): both joins of texts use it, so they share one shuffle."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` (``doc_id``, ``line_no``, ...) with the ``line`` of the text there."""
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "doc_id"])).alias("places"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.split(F.col("text"), "\n", -1).alias("lines"))
-    found = texts.join(listed, "doc_id").select("doc_id", "lines", F.explode("places").alias("place"))
-    return found.select("doc_id", "place.*", F.get("lines", F.col("place.line_no")).alias("line")).where("line is not null")
+    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "doc_id"])).alias("places")).withColumnRenamed("doc_id", "__doc")
+    found = keyed(docs).join(listed, F.col("__id") == F.col("__doc"))
+    parts = found.select("__doc", F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place"))
+    return parts.select(F.col("__doc").alias("doc_id"), "place.*", F.coalesce(F.get("lines", F.col("place.line_no")), F.lit("")).alias("line"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -208,7 +286,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     parts = connected_components(hamming_links(marks.select("mark"), RADIUS)).select(F.col("node").alias("mark"), "component")
     suspects = marks.where("n > 1").select("mark").join(parts, "mark", "full").select("mark", F.coalesce("component", "mark").alias("component"))
     places = nodes.join(suspects, "mark").select("doc_id", "line_no", "high", "low", "mark", "component")
-    kept = lines_at(docs, places).groupBy("component").applyInPandas(verified, "high long, low long, keep_doc long, keep_line int")
+    kept = kept_lines(lines_at(docs, places).dropDuplicates(["high", "low"]))
     groups = nodes.join(kept, ["high", "low"], "left").withColumn("keep_doc", F.coalesce("keep_doc", "doc_id")).withColumn("keep_line", F.coalesce("keep_line", "line_no"))
     groups = groups.where("copies > 1 or keep_doc <> doc_id or keep_line <> line_no").select("high", "low", "keep_doc", "keep_line")
     found = lines.select("high", "low", "doc_id", "line_no").join(groups, ["high", "low"])
@@ -224,9 +302,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     count as one document: what goes from one goes from the other. An empty
     table gives an empty result.
     """
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
     plain = docs.drop("n_lines", "n_removed", "n_left")
-    joined = plain.join(gone, F.coalesce(plain["doc_id"].cast("long"), F.lit(LAST)) == gone["__id"], "left")
+    rows = keyed(plain)
+    named = F.when(F.col("__id") != LAST, F.col("__id")).cast(plain.schema["doc_id"].dataType)  # so the id travels once
+    joined = rows.drop("doc_id").join(gone, F.col("__id") == F.col("__doc"), "left").withColumn("doc_id", named)
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     joined = joined.withColumn("__lines", lines)
     stays = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)))

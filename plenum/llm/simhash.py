@@ -122,7 +122,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, "shard"):
+        for table in slabs(batches, lambda t: t.column("shard").to_numpy()):
             shard = table.column("shard").to_numpy()
             node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
             begin, end = bounds(shard)
@@ -165,12 +165,14 @@ def simhash_groups(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3)
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = 6, words_per_shingle: int = 5) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    All columns are kept as they are. Rows with a null doc_id stay.
+    Here fingerprints are over five words and link at six bits or fewer, an
+    estimated similarity of 0.9 or more. All columns are kept as they are. Rows with
+    a null doc_id stay.
     """
-    groups = simhash_groups(docs, radius)
+    groups = simhash_groups(docs, radius, words_per_shingle)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept
