@@ -18,8 +18,9 @@ from plenum.llm.storage import written
 from plenum.llm.words import words
 
 MIN_WORDS = 5  # shorter lines are never removed
-RADIUS = 3  # differing SimHash bits of a link at most
+RADIUS = 20  # differing SimHash bits of a link at most; the words of a pair at the similarity below differ by 13 or so
 SIMILARITY = 0.8  # of a link's edit distance at least
+BANDS, ROWS = 16, 4  # buckets of a line, and weighted minima that name a bucket
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
@@ -67,6 +68,48 @@ def line_marks(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def odd_numbers(n: int, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(str(i), seed) | 1 for i in range(n)], np.uint64)
+
+
+TIMES, MIX = odd_numbers(BANDS * ROWS, 1), np.uint64(0x9E3779B97F4A7C15)
+
+
+def minima(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS * ROWS`` values for each word, smaller the longer it is (as length to the power 1.5)."""
+    high = (hashes[:, None] * TIMES) >> np.uint64(32)
+    return high.astype(np.float32) * (lengths.astype(np.float32) ** np.float32(-1.5))[:, None]
+
+
+def line_bands(hashes: np.ndarray, lengths: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Bucket names (``BANDS`` of 32 bits) of each line from its words' hashes and lengths in bytes.
+
+    A name is made of ``ROWS`` weighted min-hashes over the set of words, so two
+    lines share it with the power ``ROWS`` of the similarity of their sets. Long
+    words count more: they are more of the edit distance, and rarer.
+    """
+    sizes = np.array(counts, np.int64)
+    ends = np.cumsum(sizes)
+    low = np.empty((len(sizes), BANDS * ROWS), np.float32)
+    at = 0
+    while at < len(sizes):
+        base = ends[at] - sizes[at]
+        upto = max(at + 1, int(np.searchsorted(ends, base + 50_000, side="right")))
+        word, first, place = np.unique(hashes[base : ends[upto - 1]], return_index=True, return_inverse=True)
+        size = lengths[base : ends[upto - 1]][first]
+        if upto == at + 1:
+            low[at] = np.min([minima(word[i : i + 50_000], size[i : i + 50_000]).min(axis=0) for i in range(0, len(word), 50_000)], axis=0)
+        else:
+            low[at:upto] = np.minimum.reduceat(minima(word, size)[place], ends[at:upto] - sizes[at:upto] - base, axis=0)
+        at = upto
+    bits = low.view(np.uint32).reshape(-1, BANDS, ROWS)
+    name = np.zeros(bits.shape[:2], np.uint64)
+    for i in range(ROWS):
+        name = (name ^ bits[:, :, i]) * MIX
+        name ^= name >> np.uint64(29)
+    return (name >> np.uint64(32)).astype("<u4")
+
+
 def same_start(a: str, b: str) -> int:
     """Length of the common prefix, by bisection on slices."""
     low, high = 0, min(len(a), len(b))
@@ -76,8 +119,11 @@ def same_start(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: between what common ends leave, bit-parallel over the characters of ``a``."""
+def edit_distance(a: str, b: str, limit: float = float("inf")) -> int:
+    """Levenshtein distance: between what common ends leave, bit-parallel over the characters of ``a``.
+
+    Once the distance is sure to be over ``limit``, a number over it is returned.
+    """
     n = same_start(a, b)
     a, b = a[n:], b[n:]
     n = same_start(a[::-1], b[::-1])
@@ -89,12 +135,14 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         eq = places.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         horizontal_plus = minus | (full & ~(diagonal | plus))
         horizontal_minus = plus & diagonal
         score += bool(horizontal_plus & high) - bool(horizontal_minus & high)
+        if score - left > limit:
+            return score - left
         horizontal_plus = (horizontal_plus << 1 | 1) & full
         plus = (horizontal_minus << 1 & full) | (full & ~(diagonal | horizontal_plus))
         minus = horizontal_plus & diagonal
@@ -105,7 +153,8 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - least) * longest + 1e-9:
         return False
-    return edit_distance(a, b) <= (1 - least) * longest + 1e-9
+    limit = (1 - least) * longest + 1e-9
+    return edit_distance(a, b, limit) <= limit
 
 
 def bits_apart(values: np.ndarray, value: int) -> np.ndarray:
@@ -150,7 +199,7 @@ def pigeonhole_masks(radius: int, extra: int = 2) -> list[int]:
 
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
-    """Comparable lines of ``docs``: ``doc_id``, ``line_no``, ``high``, ``low`` (MD5 of the normalised line) and ``mark``.
+    """Comparable lines of ``docs``: ``doc_id``, ``line_no``, ``high``, ``low`` (MD5 of the normalised line), ``mark`` and ``bands``.
 
     A text's lines end at line feeds. Null texts have none; lines of fewer than
     ``MIN_WORDS`` words are left out.
@@ -159,7 +208,7 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            doc, number, keys, hashes, counts = [], [], [], [], []
+            doc, number, keys, hashes, lengths, counts = [], [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for i, line in enumerate(folded(text.as_py() or "").split(b"\n")):
                     words = line.split()
@@ -170,34 +219,34 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
                     keys.append(hashlib.md5(b" ".join(words)).digest())
                     counts.append(len(words))
                     hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                    lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
             if not doc:
                 continue
             both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            mark = line_marks(np.concatenate(hashes), counts).view(np.int64)
-            columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], mark))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "high", "low", "mark"])
+            hashed = np.concatenate(hashes)
+            mark = line_marks(hashed, counts).view(np.int64)
+            bands = line_bands(hashed, np.concatenate(lengths), counts).view(f"S{4 * BANDS}")
+            bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(doc), [None, pa.py_buffer(bands)]).cast(pa.binary())
+            columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], mark)), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "high", "low", "mark", "bands"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, line_no int, high long, low long, mark long")
+    return source.mapInArrow(run, "doc_id long, line_no int, high long, low long, mark long, bands binary")
 
 
-def hamming_links(marks: DataFrame, radius: int) -> DataFrame:
-    """Spanning links ``a``, ``b`` between distinct marks at most ``radius`` bits apart (column ``mark``).
+def bucket_links(marks: DataFrame, radius: int) -> DataFrame:
+    """Links ``a``, ``b`` between distinct marks (columns ``mark``, ``bands``) that share a bucket and are at most ``radius`` bits apart; a spanning forest a bucket."""
 
-    A row names its mask and the mark; the bucket, the mark under the mask, is
-    worked out where it is needed.
-    """
-    masks = pigeonhole_masks(radius)
-    wide = np.array(masks, np.uint64)
-
-    def bucket_of(table: pa.Table) -> np.ndarray:
-        number = table.column("mask").to_numpy()
-        return np.stack([number.astype(np.uint64), table.column("mark").to_numpy().view(np.uint64) & wide[number]])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS).astype(np.int64)
+            buckets = (names << 8 | np.arange(BANDS)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "mark"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, bucket_of):
+        for table in slabs(batches, lambda t: t.column("bucket").to_numpy()):
             mark = table.column("mark").to_numpy()
-            begin, end = bounds(bucket_of(table))
+            begin, end = bounds(table.column("bucket").to_numpy())
             pairs = begin[end - begin == 2]
             pairs = pairs[np.bitwise_count((mark[pairs] ^ mark[pairs + 1]).view(np.uint64)) <= radius]
             a, b = [mark[pairs + 1]], [mark[pairs]]
@@ -207,11 +256,8 @@ def hamming_links(marks: DataFrame, radius: int) -> DataFrame:
                 b.append(mark[[lo + j for _, j in found]] if found else mark[:0])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
-    bucket = F.col("mark").bitwiseAND(F.get(signed, F.col("mask")))
-    dealt = marks.select(F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("mask"), "mark")
-    dealt = dealt.repartition(F.xxhash64("mask", bucket)).sortWithinPartitions("mask", bucket)
-    return dealt.mapInArrow(link, "a long, b long")
+    dealt = marks.select("mark", "bands").mapInArrow(deal, "bucket long, mark long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "mark").mapInArrow(link, "a long, b long")
 
 
 def verified(marks: list[int], texts: list[str]) -> list[int]:
@@ -275,15 +321,16 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     Lines that are equal once normalised form one node. Nodes link if their
     SimHash marks are at most ``RADIUS`` bits apart and their edit similarity
     (one minus distance over the longer length) is ``SIMILARITY`` or more. Marks meet
-    in pigeonhole buckets of two whole blocks; the text of a node is fetched only
-    if its mark has a neighbour or is shared. First means smallest doc_id (null
+    in the buckets of :func:`line_bands`, so a pair is found with a probability
+    that falls with the share of its words that differ; the text of a node is
+    fetched only if its mark has a neighbour or is shared. First means smallest doc_id (null
     counts as largest), then line number.
     """
     lines = written(corpus_lines(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), "lines")
-    nodes = lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("mark").alias("mark"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(nodes.select("high", "low", "mark", "copies", "at.*"), "nodes")
-    marks = nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    parts = connected_components(hamming_links(marks.select("mark"), RADIUS)).select(F.col("node").alias("mark"), "component")
+    nodes = lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("mark").alias("mark"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.select("high", "low", "mark", "bands", "copies", "at.*"), "nodes")
+    marks = nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands"))
+    parts = connected_components(bucket_links(marks, RADIUS)).select(F.col("node").alias("mark"), "component")
     suspects = marks.where("n > 1").select("mark").join(parts, "mark", "full").select("mark", F.coalesce("component", "mark").alias("component"))
     places = nodes.join(suspects, "mark").select("doc_id", "line_no", "high", "low", "mark", "component")
     kept = kept_lines(lines_at(docs, places).dropDuplicates(["high", "low"]))

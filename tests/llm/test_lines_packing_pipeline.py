@@ -127,6 +127,44 @@ def test_near_lines_are_found():
     assert plain_gone(docs) > repeats
 
 
+def test_alike_lines_become_candidates():
+    """Recall on planted copies that edit similarity alone calls alike: buckets and radius must not lose them."""
+    import xxhash
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    pairs = {"one": [], "fifth": []}
+    for _ in range(1500):
+        words = [word() for _ in range(rng.randint(5, 80))]
+        for kind, n in (("one", 1), ("fifth", max(1, len(words) // 5))):
+            other = list(words)
+            for i in rng.sample(range(len(words)), n):
+                other[i] = word()
+            if line_dedup.alike(" ".join(words), " ".join(other)):
+                pairs[kind].append((words, other))
+    for kind, least in (("one", 0.97), ("fifth", 0.9)):
+        lines = [[w.encode() for w in line] for pair in pairs[kind] for line in pair]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for line in lines for w in line], np.uint64)
+        counts = [len(line) for line in lines]
+        bands = line_dedup.line_bands(hashes, np.array([len(w) for line in lines for w in line]), counts)
+        marks = line_dedup.line_marks(hashes, counts)
+        met = (bands[::2] == bands[1::2]).any(axis=1) & (np.bitwise_count(marks[::2] ^ marks[1::2]) <= line_dedup.RADIUS)
+        assert len(met) > 800 and met.mean() >= least, (kind, met.mean())
+
+
+def test_lines_with_one_word_replaced_go(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    rows = []
+    for i in range(200):
+        words = [word() for _ in range(rng.randint(8, 40))]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(len(words))] = word()
+        rows.append((1000 + i, " ".join(words)))
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").collect()
+    assert len(done) >= 190 and all(r["doc_id"] >= 1000 for r in done)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bins_hold_everything(seed):
     rng = random.Random(seed)
