@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -260,8 +260,8 @@ def bucket_links(marks: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "mark").mapInArrow(link, "a long, b long")
 
 
-def verified(marks: list[int], texts: list[str]) -> list[int]:
-    """For each of one SimHash component's lines the first line of its connected group under the edit-similarity check.
+def verified(marks: list[int], texts: list, same: Callable[..., bool] = alike) -> list[int]:
+    """For each of one SimHash component's lines the first line of its connected group under the edit-similarity check (or what ``same`` checks).
 
     A line is checked against other groups only, nearest marks first, until one
     of the group's lines is alike; so n alike lines take about n checks.
@@ -276,7 +276,7 @@ def verified(marks: list[int], texts: list[str]) -> list[int]:
         for other in distinct(groups):
             own = near[groups == other]
             nearest = int(own[apart[own].argmin()])
-            if alike(texts[i], texts[nearest]) or any(j != nearest and alike(texts[i], texts[j]) for j in own[np.argsort(apart[own], kind="stable")].tolist()):
+            if same(texts[i], texts[nearest]) or any(j != nearest and same(texts[i], texts[j]) for j in own[np.argsort(apart[own], kind="stable")].tolist()):
                 join(label, i, other)
     return label.tolist()
 

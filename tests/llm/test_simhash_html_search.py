@@ -1,5 +1,6 @@
 """Operators 1 to 3 against brute force and on odd inputs."""
 
+import random
 import re
 
 import numpy as np
@@ -205,3 +206,30 @@ def test_blocks_of_queries_and_vectors(spark, monkeypatch):
 def test_columns_are_those_of_the_contract(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id int, text string")
     assert simhash.op1(docs).dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+
+
+def test_near_dedup_at_the_stated_similarity(spark):
+    """Planted copies at Jaccard 0.8 to 0.95 go; those below 0.8 stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rows, near, far = [], set(), set()
+    for i in range(240):
+        words = [word() for _ in range(rng.randint(150, 400))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.005, 0.035)))):
+            other[at] = word()
+        a, b = shingles(words), shingles(other)
+        similarity = len(a & b) / len(a | b)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+        if similarity >= 0.8:
+            near.add(1000 + i)
+        else:
+            far.add(1000 + i)
+    assert len(near) > 40 and len(far) > 40
+    left = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(240)) | far <= left
+    assert len(near & left) <= 0.01 * len(near)
