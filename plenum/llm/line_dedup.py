@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from plenum.llm.components import connected_components
 from plenum.llm.grouped import bounds, slabs
 from plenum.llm.storage import written
-from plenum.llm.words import words
 
-MIN_WORDS = 5  # shorter lines are never removed
+MIN_WORDS = 5  # shorter lines go only if they repeat exactly once folded
 RADIUS = 20  # differing SimHash bits of a link at most; the words of a pair at the similarity below differ by 13 or so
 SIMILARITY = 0.8  # of a link's edit distance at least
 BANDS, ROWS = 16, 4  # buckets of a line, and weighted minima that name a bucket
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NOT_BLANK = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"  # what stays of a line with a word
 FOLD = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
 
 
@@ -201,33 +201,41 @@ def pigeonhole_masks(radius: int, extra: int = 2) -> list[int]:
 def corpus_lines(docs: DataFrame) -> DataFrame:
     """Comparable lines of ``docs``: ``doc_id``, ``line_no``, ``high``, ``low`` (MD5 of the normalised line), ``mark`` and ``bands``.
 
-    A text's lines end at line feeds. Null texts have none; lines of fewer than
-    ``MIN_WORDS`` words are left out.
+    A text's lines end at line feeds. Null texts have none; lines without a word
+    are left out, those of fewer than ``MIN_WORDS`` words have no mark and bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            doc, number, keys, hashes, lengths, counts = [], [], [], [], [], []
+            doc, number, keys, hashes, lengths, counts, marked = [], [], [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for i, line in enumerate(folded(text.as_py() or "").split(b"\n")):
                     words = line.split()
-                    if len(words) < MIN_WORDS:
+                    if not words:
                         continue
                     doc.append(name)
                     number.append(i)
                     keys.append(hashlib.md5(b" ".join(words)).digest())
+                    if len(words) < MIN_WORDS:
+                        continue
+                    marked.append(len(doc) - 1)
                     counts.append(len(words))
                     hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
                     lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
             if not doc:
                 continue
             both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            hashed = np.concatenate(hashes)
-            mark = line_marks(hashed, counts).view(np.int64)
-            bands = line_bands(hashed, np.concatenate(lengths), counts).view(f"S{4 * BANDS}")
-            bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(doc), [None, pa.py_buffer(bands)]).cast(pa.binary())
-            columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], mark)), bands]
+            mark, bands = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary())
+            if marked:
+                at = np.full(len(doc), -1)
+                at[marked] = np.arange(len(marked))
+                at = pa.array(at, mask=at < 0)
+                hashed = np.concatenate(hashes)
+                mark = pa.array(line_marks(hashed, counts).view(np.int64)).take(at)
+                names = pa.py_buffer(line_bands(hashed, np.concatenate(lengths), counts))
+                bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(marked), [None, names]).cast(pa.binary()).take(at)
+            columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in both.T), mark, bands]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "high", "low", "mark", "bands"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -318,7 +326,8 @@ def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """Lines to remove: ``doc_id`` and ``line_no`` of all but the first of each connected group.
 
-    Lines that are equal once normalised form one node. Nodes link if their
+    Lines that are equal once normalised form one node. Nodes of ``MIN_WORDS``
+    words or more link if their
     SimHash marks are at most ``RADIUS`` bits apart and their edit similarity
     (one minus distance over the longer length) is ``SIMILARITY`` or more. Marks meet
     in the buckets of :func:`line_bands`, so a pair is found with a probability
@@ -329,7 +338,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = written(corpus_lines(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), "lines")
     nodes = lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("mark").alias("mark"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes.select("high", "low", "mark", "bands", "copies", "at.*"), "nodes")
-    marks = nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands"))
+    marks = nodes.where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands"))
     parts = connected_components(bucket_links(marks, RADIUS)).select(F.col("node").alias("mark"), "component")
     suspects = marks.where("n > 1").select("mark").join(parts, "mark", "full").select("mark", F.coalesce("component", "mark").alias("component"))
     places = nodes.join(suspects, "mark").select("doc_id", "line_no", "high", "low", "mark", "component")
@@ -343,7 +352,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines cut out of ``text``; adds ``n_lines``, ``n_removed`` and ``n_left``.
 
-    ``n_left`` counts the lines of ``MIN_WORDS`` words or more that stay. Lines
+    ``n_left`` counts the lines with a word that stay. Lines
     keep their order and are joined by line feeds; other columns are as they were.
     A null text stays null with no lines. Rows with equal doc_id and equal lines
     count as one document: what goes from one goes from the other. An empty
@@ -363,7 +372,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         *[text.alias(c) if c == "text" else F.col(c) for c in plain.columns],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.size(F.filter("__stays", lambda x: F.size(words(x)) >= MIN_WORDS)).cast("long").alias("n_left"),
+        F.size(F.filter("__stays", lambda x: x.rlike(NOT_BLANK))).cast("long").alias("n_left"),
     )
 
 

@@ -165,6 +165,14 @@ def test_lines_with_one_word_replaced_go(spark):
     assert len(done) >= 190 and all(r["doc_id"] >= 1000 for r in done)
 
 
+def test_short_and_unspaced_lines_repeat_exactly(spark):
+    unspaced = "日本語の長い段落は空白を含まない" * 20
+    rows = [(1, f"Read more\n{unspaced}\n--\nOk"), (2, f"read  more!\n{unspaced}\n--\nonly here"), (3, "Read most\n\n"), (4, "\u001c x\n\u001c x")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "--\nonly here", "Read most\n\n", "\u001c x"]
+    assert [(got[i]["n_removed"], got[i]["n_left"]) for i in (1, 2, 3, 4)] == [(0, 3), (2, 1), (0, 1), (1, 1)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bins_hold_everything(seed):
     rng = random.Random(seed)
