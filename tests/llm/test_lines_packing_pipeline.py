@@ -269,6 +269,15 @@ def test_stages_on_their_own_inputs(spark, sf_dir, tmp_path):
     assert sorted(map(str, whole.select(*key).collect())) == sorted(map(str, before.select(*key).collect()))
 
 
+def test_lines_stage_keeps_documents_with_text_left(spark, sf_dir):
+    shape = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    license = "All rights reserved by the city of nowhere"
+    texts = [f"{license}\nfirst of its kind", f"short\n{license}\nlines only", f"{license}\n--", "日本語の段落\n" + license]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], shape)
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, sf_dir).collect()}
+    assert left == {0: (texts[0], len(texts[0])), 1: ("short\nlines only", 16), 3: ("日本語の段落", 6)}
+
+
 def test_near_duplicate_stage_on_raw_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     near = dict(corpus_pipeline.STAGES)["near_duplicates"]
