@@ -19,7 +19,7 @@ VERSION = b"WARC/1.0\r\n"
 SPLIT_BYTES = 8 << 20  # a task owns the records that start in its range of this length
 MOST_TASKS = 50_000  # beyond so many ranges a task gets several
 STEP = 1 << 20  # bytes read at a time
-HEAD_BYTES = 1 << 16  # decoded bytes in which a record's header must end
+HEAD_BYTES = 1 << 16  # decoded bytes that show if a member is a record; most headers end in them
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 HEAD = "warc_type string, record_id string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -186,8 +186,13 @@ def records(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], b
         at = start
         while (at := ranges.find_magic(at, end)) >= 0:
             probe = ranges.inflate(at, HEAD_BYTES)
-            fields = parse_head(probe[0]) if probe else None
-            whole = ranges.inflate(at) if fields else None
+            whole = fields = None
+            if probe and probe[0].startswith(VERSION) and b"\r\n\r\n" not in probe[0]:  # a longer header
+                whole = ranges.inflate(at)
+                fields = parse_head(whole[0]) if whole else None
+                whole = whole if fields else None
+            elif probe and (fields := parse_head(probe[0])):
+                whole = ranges.inflate(at)
             if whole is None:
                 at += 1
                 continue

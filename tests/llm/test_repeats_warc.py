@@ -204,3 +204,15 @@ def test_range_ownership(tmp_path):
     for step in (50, 333, 1 << 20):
         ids = [int(f["x-page-id"]) for a in range(0, size, step) for f, _ in warc.records(str(file), a, min(a + step, size))]
         assert ids == list(range(20))
+
+
+def test_headers_longer_than_the_probe(tmp_path):
+    import gzip
+    import random
+
+    url = "data:" + random.Random(3).randbytes(150_000).hex()
+    file = tmp_path / "long.warc.gz"
+    head = b"WARC-Type: response\r\nWARC-Target-URI: " + url.encode() + b"\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    file.write_bytes(gzip.compress(warc.VERSION + head) + gzip.compress(warc.VERSION + b"no blank line" * 20_000))
+    found = list(warc.records(str(file), 0, file.stat().st_size))
+    assert [(f["warc-target-uri"], body) for f, body in found] == [(url, b"body")]
