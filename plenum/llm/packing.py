@@ -56,6 +56,7 @@ class WordIds(dict):
         self.whole = tokenizer(path)
         self.model, self.normal = self.whole.model, self.whole.normalizer
         self.cores: dict[str, bytes] = {}
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # found by exact case, before the normalizer
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -71,6 +72,8 @@ class WordIds(dict):
 
     def core(self, word: str) -> bytes:
         key = word.lower() if word.isascii() else word
+        if key != word and any(x in key or x in word for x in self.special):
+            key = word
         if key not in self.cores:
             self.cores[key] = np.array(self.ids(key), "<u4").tobytes()
         return self.cores[key]
