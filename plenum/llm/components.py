@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plenum.llm.storage import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node that has an edge.
 
     ``edges`` has long columns ``a`` and ``b``; direction, repeats and self-loops
@@ -16,12 +16,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``component`` (the smallest node reachable), one row per node. Every step is
     an aggregation with map-side combining and a join back, so a hub is never
     gathered in one task; the edge list is cut from its lineage each round by a
-    reliable checkpoint.
+    reliable checkpoint. Rounds go on until none changes the edges; their number
+    grows with the logarithm of the longest path.
     """
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tidy = cut(tidy)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = tidy.unionByName(tidy.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

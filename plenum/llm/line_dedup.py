@@ -3,380 +3,172 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.components import connected_components
-from plenum.llm.grouped import bounds, slabs
-from plenum.llm.storage import written
+from plenum.llm.edits import alike
+from plenum.llm.near import first_places, suspects, verified_links
+from plenum.llm.sketch import BANDS, CHUNK_BYTES, bands_of, marks_of, split_words, word_features
+from plenum.llm.storage import cut, written
 
-MIN_WORDS = 5  # shorter lines go only if they repeat exactly once folded
-RADIUS = 20  # differing SimHash bits of a link at most; the words of a pair at the similarity below differ by 13 or so
 SIMILARITY = 0.8  # of a link's edit distance at least
-BANDS, ROWS = 16, 4  # buckets of a line, and weighted minima that name a bucket
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOT_BLANK = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"  # what stays of a line with a word
 FOLD = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
+LINE_COLUMNS = ["doc_id", "body", "line_no", "high", "low", "mark", "bands", "again"]
 
 
-def folded(text: str) -> bytes:
-    """UTF-8 of a text for comparison: A-Z in lower case, ASCII punctuation as spaces; line feeds stay."""
-    return text.encode("utf-8", "surrogatepass").translate(FOLD)
+def normal(line: str) -> str:
+    """A line for comparison: A-Z in lower case, ASCII punctuation as spaces, words one space apart."""
+    return b" ".join(line.encode("utf-8", "surrogatepass").translate(FOLD).split()).decode("utf-8", "surrogatepass")
 
 
-def normal(line: str) -> list[bytes]:
-    """Words of a line for comparison."""
-    return folded(line).split()
+def id_and_body(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells documents apart: the id (a null is the largest) and a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-class WordHashes(dict):
-    """XXH64 of each word that was met; it forgets all when it is full."""
+def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``most`` bytes with the place of their first."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
-
-def line_marks(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
-    """SimHash of each line from its words' hashes, lines one after another (``counts`` words each, one at least).
-
-    Bits are added as bytes, eight to a machine word; a byte holds lines of up to
-    255 words, longer ones are added by themselves.
-    """
-    sizes = np.array(counts, np.int64)
-    ends = np.cumsum(sizes)
-    ones = np.zeros((len(sizes), 64), np.int64)
-    at = 0
-    while at < len(sizes):
-        base = ends[at] - sizes[at]
-        upto = max(at + 1, int(np.searchsorted(ends, base + 200_000, side="right")))
-        bits = np.unpackbits(hashes[base : ends[upto - 1]].astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
-        ones[at:upto] = np.add.reduceat(bits, ends[at:upto] - sizes[at:upto] - base, axis=0).view(np.uint8)
-        at = upto
-    for i in np.flatnonzero(sizes > 255):
-        part = hashes[ends[i] - sizes[i] : ends[i]].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones[i] = np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def odd_numbers(n: int, seed: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(str(i), seed) | 1 for i in range(n)], np.uint64)
-
-
-TIMES, MIX = odd_numbers(BANDS * ROWS, 1), np.uint64(0x9E3779B97F4A7C15)
-
-
-def minima(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS * ROWS`` values for each word, smaller the longer it is (as length to the power 1.5)."""
-    high = (hashes[:, None] * TIMES) >> np.uint64(32)
-    return high.astype(np.float32) * (lengths.astype(np.float32) ** np.float32(-1.5))[:, None]
-
-
-def line_bands(hashes: np.ndarray, lengths: np.ndarray, counts: list[int]) -> np.ndarray:
-    """Bucket names (``BANDS`` of 32 bits) of each line from its words' hashes and lengths in bytes.
-
-    A name is made of ``ROWS`` weighted min-hashes over the set of words, so two
-    lines share it with the power ``ROWS`` of the similarity of their sets. Long
-    words count more: they are more of the edit distance, and rarer.
-    """
-    sizes = np.array(counts, np.int64)
-    ends = np.cumsum(sizes)
-    low = np.empty((len(sizes), BANDS * ROWS), np.float32)
-    at = 0
-    while at < len(sizes):
-        base = ends[at] - sizes[at]
-        upto = max(at + 1, int(np.searchsorted(ends, base + 50_000, side="right")))
-        word, first, place = np.unique(hashes[base : ends[upto - 1]], return_index=True, return_inverse=True)
-        size = lengths[base : ends[upto - 1]][first]
-        if upto == at + 1:
-            low[at] = np.min([minima(word[i : i + 50_000], size[i : i + 50_000]).min(axis=0) for i in range(0, len(word), 50_000)], axis=0)
-        else:
-            low[at:upto] = np.minimum.reduceat(minima(word, size)[place], ends[at:upto] - sizes[at:upto] - base, axis=0)
-        at = upto
-    bits = low.view(np.uint32).reshape(-1, BANDS, ROWS)
-    name = np.zeros(bits.shape[:2], np.uint64)
-    for i in range(ROWS):
-        name = (name ^ bits[:, :, i]) * MIX
-        name ^= name >> np.uint64(29)
-    return (name >> np.uint64(32)).astype("<u4")
-
-
-def same_start(a: str, b: str) -> int:
-    """Length of the common prefix, by bisection on slices."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
-    return low
-
-
-def edit_distance(a: str, b: str, limit: float = float("inf")) -> int:
-    """Levenshtein distance: between what common ends leave, bit-parallel over the characters of ``a``.
-
-    Once the distance is sure to be over ``limit``, a number over it is returned.
-    """
-    n = same_start(a, b)
-    a, b = a[n:], b[n:]
-    n = same_start(a[::-1], b[::-1])
-    a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b:
-        return len(a) or len(b)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        eq = places.get(c, 0)
-        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
-        horizontal_plus = minus | (full & ~(diagonal | plus))
-        horizontal_minus = plus & diagonal
-        score += bool(horizontal_plus & high) - bool(horizontal_minus & high)
-        if score - left > limit:
-            return score - left
-        horizontal_plus = (horizontal_plus << 1 | 1) & full
-        plus = (horizontal_minus << 1 & full) | (full & ~(diagonal | horizontal_plus))
-        minus = horizontal_plus & diagonal
-    return score
-
-
-def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longest = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longest + 1e-9:
-        return False
-    limit = (1 - least) * longest + 1e-9
-    return edit_distance(a, b, limit) <= limit
-
-
-def bits_apart(values: np.ndarray, value: int) -> np.ndarray:
-    return np.bitwise_count(values ^ np.uint64(value))
-
-
-def close_forest(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of ``marks`` at most ``radius`` bits apart."""
-    label, out = np.arange(len(marks)), []
-    for i in range(1, len(marks)):
-        near = label[:i][bits_apart(marks[:i], int(marks[i])) <= radius]
-        for other in distinct(near):
-            out.append((i, other))
-            join(label, i, other)
-    return out
-
-
-def distinct(labels: np.ndarray) -> list[int]:
-    """Different values of ``labels``; one value, the usual case, is told without sorting."""
-    if not len(labels):
-        return []
-    least = int(labels.min())
-    return [least] if least == labels.max() else np.unique(labels).tolist()
-
-
-def join(label: np.ndarray, i: int, other: int) -> None:
-    """Put the group of ``i``, the last place so far, and the group ``other`` under the smaller label."""
-    mine = int(label[i])
-    if mine == i:
-        label[i] = other
-    elif mine != other:
-        low, high = min(mine, other), max(mine, other)
-        label[: i + 1][label[: i + 1] == high] = low
-
-
-def pigeonhole_masks(radius: int, extra: int = 2) -> list[int]:
-    """Bit masks of every choice of ``extra`` out of ``radius + extra`` blocks."""
-    n = radius + extra
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(masks, extra)]
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Lines with a word: text, line number, two halves of the MD5 of the normalised line, mark and bands."""
+    words = split_words(texts, FOLD)
+    hashes, weights, counts, line = word_features(words)
+    text = np.searchsorted(words.first_line, line, side="right") - 1
+    head = np.flatnonzero(np.diff(words.line, prepend=-1))
+    last = np.append(head[1:], len(words.line)) - 1
+    data = words.data.tobytes()
+    keys = b"".join([hashlib.md5(data[a:b]).digest() for a, b in zip(words.start[head].tolist(), words.end[last].tolist())] if len(head) else [])
+    both = np.frombuffer(keys, "<i8").reshape(-1, 2)
+    return text, line - words.first_line[text], both[:, 0], both[:, 1], marks_of(hashes, counts).view(np.int64), bands_of(hashes, weights, counts)
 
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
-    """Comparable lines of ``docs``: ``doc_id``, ``line_no``, ``high``, ``low`` (MD5 of the normalised line), ``mark`` and ``bands``.
+    """Lines of ``docs`` that have a word, one row each.
 
-    A text's lines end at line feeds. Null texts have none; lines without a word
-    are left out, those of fewer than ``MIN_WORDS`` words have no mark and bands.
+    ``high`` and ``low`` are the MD5 of the normalised line. ``again`` is true for lines
+    that are equal to an earlier one of the same Arrow batch; these go whatever
+    the rest of the corpus holds, so a very common line leaves each batch once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            doc, number, keys, hashes, lengths, counts, marked = [], [], [], [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, line in enumerate(folded(text.as_py() or "").split(b"\n")):
-                    words = line.split()
-                    if not words:
-                        continue
-                    doc.append(name)
-                    number.append(i)
-                    keys.append(hashlib.md5(b" ".join(words)).digest())
-                    if len(words) < MIN_WORDS:
-                        continue
-                    marked.append(len(doc) - 1)
-                    counts.append(len(words))
-                    hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-                    lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
-            if not doc:
+            doc, body = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            parts = []
+            for at, some in chunks(texts):
+                text, *rest = lines_of(some)
+                if len(text):
+                    parts.append((text + at, *rest))
+            if not parts:
                 continue
-            both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            mark, bands = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary())
-            if marked:
-                at = np.full(len(doc), -1)
-                at[marked] = np.arange(len(marked))
-                at = pa.array(at, mask=at < 0)
-                hashed = np.concatenate(hashes)
-                mark = pa.array(line_marks(hashed, counts).view(np.int64)).take(at)
-                names = pa.py_buffer(line_bands(hashed, np.concatenate(lengths), counts))
-                bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(marked), [None, names]).cast(pa.binary()).take(at)
-            columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in both.T), mark, bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "high", "low", "mark", "bands"])
-
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, line_no int, high long, low long, mark long, bands binary")
-
-
-def bucket_links(marks: DataFrame, radius: int) -> DataFrame:
-    """Links ``a``, ``b`` between distinct marks (columns ``mark``, ``bands``) that share a bucket and are at most ``radius`` bits apart; a spanning forest a bucket."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS).astype(np.int64)
-            buckets = (names << 8 | np.arange(BANDS)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "mark"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, lambda t: t.column("bucket").to_numpy()):
-            mark = table.column("mark").to_numpy()
-            begin, end = bounds(table.column("bucket").to_numpy())
-            pairs = begin[end - begin == 2]
-            pairs = pairs[np.bitwise_count((mark[pairs] ^ mark[pairs + 1]).view(np.uint64)) <= radius]
-            a, b = [mark[pairs + 1]], [mark[pairs]]
-            for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
-                found = close_forest(mark[lo:hi].view(np.uint64), radius)
-                a.append(mark[[lo + i for i, _ in found]] if found else mark[:0])
-                b.append(mark[[lo + j for _, j in found]] if found else mark[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    dealt = marks.select("mark", "bands").mapInArrow(deal, "bucket long, mark long")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "mark").mapInArrow(link, "a long, b long")
-
-
-def verified(marks: list[int], texts: list, same: Callable[..., bool] = alike) -> list[int]:
-    """For each of one SimHash component's lines the first line of its connected group under the edit-similarity check (or what ``same`` checks).
-
-    A line is checked against other groups only, nearest marks first, until one
-    of the group's lines is alike; so n alike lines take about n checks.
-    """
-    wide, label = np.array(marks, np.int64).view(np.uint64), np.arange(len(marks))
-    for i in range(1, len(marks)):
-        apart = bits_apart(wide[:i], int(wide[i]))
-        near = np.flatnonzero(apart <= RADIUS)
-        if not len(near):
-            continue
-        groups = label[near]
-        for other in distinct(groups):
-            own = near[groups == other]
-            nearest = int(own[apart[own].argmin()])
-            if same(texts[i], texts[nearest]) or any(j != nearest and same(texts[i], texts[j]) for j in own[np.argsort(apart[own], kind="stable")].tolist()):
-                join(label, i, other)
-    return label.tolist()
-
-
-def kept_lines(rows: DataFrame) -> DataFrame:
-    """First line (``keep_doc``, ``keep_line``) of each line's group, where that is another line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, lambda t: t.column("component").to_numpy()[None, :], at_least=4096):
-            begin, end = bounds(table.column("component").to_numpy()[None, :])
-            doc, line_no, mark, high, low = (table.column(c).to_numpy() for c in ("doc_id", "line_no", "mark", "high", "low"))
-            texts = table.column("line")
-            at, first = [], []
-            for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-                lines = [b" ".join(normal(x.as_py())).decode("utf-8", "surrogatepass") for x in texts.slice(lo, hi - lo)]
-                for i, root in enumerate(verified(mark[lo:hi].tolist(), lines)):
-                    if root != i:
-                        at.append(lo + i)
-                        first.append(lo + root)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high[at], low[at], doc[first], line_no[first])] if at else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())], ["high", "low", "keep_doc", "keep_line"])
-
-    dealt = rows.repartition("component").sortWithinPartitions("component", "doc_id", "line_no")
-    return dealt.select("component", "doc_id", "line_no", "high", "low", "mark", "line").mapInArrow(run, "high long, low long, keep_doc long, keep_line int")
+            text, number, high, low, mark, bands = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((number, body[text], doc[text], low, high))
+            same = lambda *columns: np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in columns])
+            again = np.zeros(len(text), bool)
+            again[order[1:]] = same(high, low)
+            once = np.ones(len(text), bool)
+            once[order[1:]] = ~(same(high, low, number) & same(body[text], doc[text]))  # else the line of a repeated row
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(text), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
+            hidden = pa.array(again)
+            columns = [pa.array(x) for x in (doc[text], body[text], number.astype(np.int32), high, low, mark)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.compute.if_else(hidden, pa.scalar(None, pa.binary()), packed), hidden], LINE_COLUMNS)
+            yield out if once.all() else out.filter(pa.array(once))
+
+    name, body = id_and_body(docs)
+    source = docs.select(name.alias("doc_id"), body.alias("body"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return source.mapInArrow(run, "doc_id long, body long, line_no int, high long, low long, mark long, bands binary, again boolean")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the id that orders it (``__id``): both joins of texts use it, so they share one shuffle."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    """``docs`` with ``__id`` and ``__body``: both joins of texts use them, so they share one shuffle."""
+    name, body = id_and_body(docs)
+    return docs.withColumn("__id", name).withColumn("__body", body)
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (``doc_id``, ``line_no``, ...) with the ``line`` of the text there."""
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "doc_id"])).alias("places")).withColumnRenamed("doc_id", "__doc")
-    found = keyed(docs).join(listed, F.col("__id") == F.col("__doc"))
-    parts = found.select("__doc", F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place"))
-    return parts.select(F.col("__doc").alias("doc_id"), "place.*", F.coalesce(F.get("lines", F.col("place.line_no")), F.lit("")).alias("line"))
+    """``places`` (``doc_id``, ``body``, ``line_no``, ...) with the ``line`` of the text there."""
+    rest = [c for c in places.columns if c not in ("doc_id", "body")]
+    listed = places.groupBy(F.col("doc_id").alias("__doc"), F.col("body").alias("__hash")).agg(F.collect_list(F.struct(*rest)).alias("places"))
+    found = keyed(docs).join(listed, (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")))
+    parts = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place"))
+    return parts.select("place.*", F.coalesce(F.get("lines", F.col("place.line_no")), F.lit("")).alias("line"))
+
+
+def same_lines(items: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Edit similarity of normalised lines; a pair of one line (a repeated document) is alike."""
+    needed = {i for pair in pairs for i in pair}
+    lines = {i: normal(items[i].as_py()) for i in needed}
+    return alike([(lines[i], lines[j]) for i, j in pairs], SIMILARITY)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """Lines to remove: ``doc_id`` and ``line_no`` of all but the first of each connected group.
-
-    Lines that are equal once normalised form one node. Nodes of ``MIN_WORDS``
-    words or more link if their
-    SimHash marks are at most ``RADIUS`` bits apart and their edit similarity
-    (one minus distance over the longer length) is ``SIMILARITY`` or more. Marks meet
-    in the buckets of :func:`line_bands`, so a pair is found with a probability
-    that falls with the share of its words that differ; the text of a node is
-    fetched only if its mark has a neighbour or is shared. First means smallest doc_id (null
-    counts as largest), then line number.
+    """Lines to remove: ``doc_id``, ``body`` and ``line_no`` of all but the first of each connected group.
+
+    Lines that are equal once normalised form one node. Nodes link if their edit
+    similarity (one minus distance over the longer length) is ``SIMILARITY`` or more.
+    They are compared if they share a bucket (:func:`plenum.llm.sketch.bands_of`) and
+    their SimHash marks are at most 20 bits apart, so a pair is found with a
+    probability that falls with the share of its words that differ. First means
+    smallest doc_id (null counts as largest), then hash of the text, then line number.
     """
-    lines = written(corpus_lines(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))), "lines")
-    nodes = lines.groupBy("high", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("mark").alias("mark"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(nodes.select("high", "low", "mark", "bands", "copies", "at.*"), "nodes")
-    marks = nodes.where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands"))
-    parts = connected_components(bucket_links(marks, RADIUS)).select(F.col("node").alias("mark"), "component")
-    suspects = marks.where("n > 1").select("mark").join(parts, "mark", "full").select("mark", F.coalesce("component", "mark").alias("component"))
-    places = nodes.join(suspects, "mark").select("doc_id", "line_no", "high", "low", "mark", "component")
-    kept = kept_lines(lines_at(docs, places).dropDuplicates(["high", "low"]))
-    groups = nodes.join(kept, ["high", "low"], "left").withColumn("keep_doc", F.coalesce("keep_doc", "doc_id")).withColumn("keep_line", F.coalesce("keep_line", "line_no"))
-    groups = groups.where("copies > 1 or keep_doc <> doc_id or keep_line <> line_no").select("high", "low", "keep_doc", "keep_line")
-    found = lines.select("high", "low", "doc_id", "line_no").join(groups, ["high", "low"])
-    return found.where("doc_id <> keep_doc or line_no <> keep_line").select("doc_id", "line_no")
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines cut out of ``text``; adds ``n_lines``, ``n_removed`` and ``n_left``.
-
-    ``n_left`` counts the lines with a word that stay. Lines
-    keep their order and are joined by line feeds; other columns are as they were.
-    A null text stays null with no lines. Rows with equal doc_id and equal lines
-    count as one document: what goes from one goes from the other. An empty
-    table gives an empty result.
+    lines = written(corpus_lines(docs), "lines")
+    placed = written(first_places(lines.where("not again").drop("again")), "places")
+    nodes = placed.where("node is not null")
+    near = suspects(nodes, nodes.count())
+    links = verified_links(lines_at(docs, near).withColumnRenamed("line", "item"), same_lines)
+    grouped = cut(connected_components(links).join(nodes.drop("mark", "bands"), "node"))
+    place = F.struct("doc_id", "body", "line_no")
+    keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
+    linked = grouped.join(keep, "component").where(place != F.col("keep"))
+    again = lines.where("again").unionByName(placed.where("node is null"), allowMissingColumns=True)
+    return again.select("doc_id", "body", "line_no").unionByName(linked.select("doc_id", "body", "line_no"))
+
+
+def dedup_lines(docs: DataFrame, counts: str = "line_counts") -> DataFrame:
+    """``docs`` with repeated lines cut out of ``text``, and a struct column ``counts`` (``n_lines``, ``n_removed``, ``n_left``).
+
+    ``n_left`` counts the lines with a word that stay. Lines keep their order and are
+    joined by line feeds; other columns are as they were, but for one named like
+    ``counts``, which is replaced. A null text stays null with no lines. Rows with
+    equal doc_id and equal text count as one document: what goes from one goes
+    from the other; rows that share an id, or have none, and differ in text are
+    different documents. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    plain = docs.drop("n_lines", "n_removed", "n_left")
-    rows = keyed(plain)
-    named = F.when(F.col("__id") != LAST, F.col("__id")).cast(plain.schema["doc_id"].dataType)  # so the id travels once
-    joined = rows.drop("doc_id").join(gone, F.col("__id") == F.col("__doc"), "left").withColumn("doc_id", named)
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    joined = joined.withColumn("__lines", lines)
+    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("body").alias("__hash")).agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+    joined = keyed(docs).join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")), "left")
+    joined = joined.withColumn("__lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     stays = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)))
     joined = joined.withColumn("__stays", stays)
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__stays", "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in plain.columns],
+    numbers = F.struct(
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.size(F.filter("__stays", lambda x: x.rlike(NOT_BLANK))).cast("long").alias("n_left"),
     )
+    plain = [c for c in docs.columns if c.lower() != counts.lower()]
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in plain], numbers.alias(counts))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     """Digest of :func:`dedup_lines`: counts, and the SHA-256 of the text that is left."""
     done = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return done.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    left = F.coalesce(F.col("text"), F.lit(""))
+    return done.select("doc_id", "line_counts.n_lines", "line_counts.n_removed", F.length(left).cast("long").alias("n_chars_left"), F.sha2(left, 256).alias("kept_sha256"))

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from plenum.llm.components import connected_components
 from plenum.llm.grouped import bounds, slabs
-from plenum.llm.line_dedup import BANDS, RADIUS, bucket_links, line_bands, line_marks, verified
+from plenum.llm.line_dedup import chunks, id_and_body, keyed
+from plenum.llm.near import first_places, suspects, verified_links
+from plenum.llm.sketch import BANDS, Words, bands_of, marks_of, shingle_features, split_words
 from plenum.llm.storage import cut, written
 
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
 
 def majority_bits(hashes: np.ndarray) -> int:
     """64-bit majority of unsigned hashes: a bit is 1 if set in over half of them."""
@@ -167,15 +171,9 @@ def simhash_groups(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3)
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def text_words(text: str | None) -> list[bytes]:
-    """Words as in :func:`fingerprint`."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_set(words: list[bytes], words_per_shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; shorter texts are one shingle as a whole."""
-    runs = map(b" ".join, zip(*(words[i:] for i in range(words_per_shingle)))) if len(words) >= words_per_shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64))
+def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text; shorter texts are one shingle as a whole."""
+    return np.unique(shingle_features(split_words([text], LOWER), words_per_shingle)[0])
 
 
 def jaccard_at_least(least: float, a: np.ndarray, b: np.ndarray) -> bool:
@@ -186,75 +184,64 @@ def jaccard_at_least(least: float, a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marked_texts(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """``doc_id``, ``high``, ``low`` (MD5 of the words), ``mark`` (SimHash of the shingle set) and ``bands`` of each row."""
+    """Each row's place, MD5 of its words (``high``, ``low``), SimHash ``mark`` and ``bands`` of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                split = [text_words(x.as_py()) for x in batch.column(1)]
-                both = np.frombuffer(b"".join(hashlib.md5(b" ".join(w)).digest() for w in split), "<i8").reshape(-1, 2)
-                sets = [shingle_set(w, words_per_shingle) for w in split]
-                hashes, counts = np.concatenate(sets), [len(x) for x in sets]
-                mark = line_marks(hashes, counts).view(np.int64)
-                names = line_bands(hashes, np.ones(len(hashes), np.int64), counts)
-                bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(sets), [None, pa.py_buffer(names)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in (both[:, 0], both[:, 1], mark)), bands], ["doc_id", "high", "low", "mark", "bands"])
-
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, high long, low long, mark long, bands binary")
-
-
-def kept_texts(rows: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """First node (``keep``) of the group of each text (``high``, ``low``) that has an earlier one, by exact shingle similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slabs(batches, lambda t: t.column("component").to_numpy(), at_least=1024):
-            begin, end = bounds(table.column("component").to_numpy())
-            node, mark, high, low = (table.column(c).to_numpy() for c in ("node", "mark", "high", "low"))
-            texts = table.column("text")
-            at, first = [], []
-            for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-                places, sets, met = [], [], set()
-                for i in range(lo, hi):
-                    words, key = text_words(texts[i].as_py()), (int(high[i]), int(low[i]))
-                    # rows that share a doc_id bring other texts, and the same one again
-                    if key in met or tuple(np.frombuffer(hashlib.md5(b" ".join(words)).digest(), "<i8").tolist()) != key:
-                        continue
-                    met.add(key)
-                    places.append(i)
-                    sets.append(shingle_set(words, words_per_shingle))
-                for i, root in enumerate(verified(mark[places].tolist(), sets, lambda a, b: jaccard_at_least(similarity, a, b))):
-                    if root != i:
-                        at.append(places[i])
-                        first.append(places[root])
-            yield pa.RecordBatch.from_arrays([pa.array(x[y].astype(np.int64)) for x, y in ((high, at), (low, at), (node, first))] if at else [pa.array([], pa.int64())] * 3, ["high", "low", "keep"])
-
-    dealt = rows.repartition("component").sortWithinPartitions("component", "node", "high", "low")
-    return dealt.select("component", "node", "high", "low", "mark", "text").mapInArrow(run, "high long, low long, keep long")
+        for batch in batches:
+            texts, columns = batch.column(2).cast(pa.binary()).to_pylist(), []
+            for _, some in chunks(texts):
+                words = split_words(some, LOWER)
+                hashes, counts = shingle_features(words, words_per_shingle)
+                edge = np.searchsorted(words.line, words.first_line).tolist() + [len(words.start)]
+                data = words.data.tobytes()
+                ends = [b" ".join(some_words(data, words, lo, hi)) for lo, hi in zip(edge, edge[1:])]
+                keys = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in ends), "<i8").reshape(-1, 2)
+                columns.append((keys[:, 0], keys[:, 1], marks_of(hashes, counts).view(np.int64), bands_of(hashes, np.ones(len(hashes), np.float32), counts)))
+            if not columns:
+                continue
+            high, low, mark, bands = (np.concatenate(x) for x in zip(*columns))
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(high), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
+            rest = [pa.array(np.zeros(len(high), np.int32)), *(pa.array(x) for x in (high, low, mark)), packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "body", "line_no", "high", "low", "mark", "bands"])
+
+    name, body = id_and_body(docs)
+    source = docs.select(name.alias("doc_id"), body.alias("body"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return source.mapInArrow(run, "doc_id long, body long, line_no int, high long, low long, mark long, bands binary")
+
+
+def some_words(data: bytes, words: Words, lo: int, hi: int) -> list[bytes]:
+    """The words of places ``lo`` to ``hi``, lines run together."""
+    return [data[words.start[lo] : words.end[hi - 1]]] if hi > lo and words.line[lo] == words.line[hi - 1] else [data[a:b] for a, b in zip(words.start[lo:hi].tolist(), words.end[lo:hi].tolist())]
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
 
     Rows link if the Jaccard similarity of their sets of five-word shingles is
-    ``similarity`` or more, which is checked on the texts. Candidates share a
-    bucket of four min-hashes (16 of them: 0.9998 of the pairs at 0.8) and have
-    SimHash marks within the radius of the line search. All columns are kept as
-    they are. Texts without words are alike. Rows with a null doc_id stay.
+    ``similarity`` or more, which is checked on the texts. They are compared if they
+    share a bucket of four min-hashes (14 of them: 0.999 of the pairs at 0.8) and have
+    SimHash marks at most 20 bits apart. All columns are kept as they are. Texts
+    without words are alike. Documents are told apart by doc_id and text, a null
+    id being the largest: rows that share both stay or go together.
     """
     rows = written(marked_texts(docs, words_per_shingle), "near-marks")
-    nodes = rows.where("doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.min("mark").alias("mark"), F.min("bands").alias("bands"))
-    marks = nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands"))
-    marks = cut(marks)
-    parts = connected_components(bucket_links(marks, RADIUS)).select(F.col("node").alias("mark"), "component")
-    suspects = marks.where("n > 1").select("mark").join(parts, "mark", "full").select("mark", F.coalesce("component", "mark").alias("component"))
-    places = nodes.join(suspects, "mark").select("node", "high", "low", "mark", "component")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    kept = kept_texts(places.join(texts, "node"), similarity, words_per_shingle)
-    first = nodes.join(kept, ["high", "low"], "left").select("high", "low", F.coalesce("keep", "node").alias("keep"))
-    gone = rows.join(first, ["high", "low"]).where("doc_id <> keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    placed = written(first_places(rows), "near-places")
+    nodes = placed.where("node is not null")
+    near = suspects(nodes, nodes.count())
+    texts = keyed(docs).select("__id", "__body", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item")).dropDuplicates(["__id", "__body"])
+    members = near.join(texts, (F.col("doc_id") == F.col("__id")) & (F.col("body") == F.col("__body")))
+
+    def check(items: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> np.ndarray:
+        known = {i: shingle_set(items[i].as_py().encode("utf-8", "surrogatepass"), words_per_shingle) for i in {i for pair in pairs for i in pair}}
+        return np.array([jaccard_at_least(similarity, known[i], known[j]) for i, j in pairs], bool)
+
+    grouped = cut(connected_components(verified_links(members, check)).join(nodes.drop("mark", "bands"), "node"))
+    place = F.struct("doc_id", "body")
+    keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
+    linked = grouped.join(keep, "component").where(place != F.col("keep")).select("doc_id", "body")
+    copies = rows.select("doc_id", "body").distinct().join(nodes.select("doc_id", "body"), ["doc_id", "body"], "left_anti")
+    gone = copies.unionByName(linked).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"))
+    return keyed(docs).join(gone, ["__id", "__body"], "left_anti").select(*docs.columns)
 
 
 def op1(docs: DataFrame) -> DataFrame:

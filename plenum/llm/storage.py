@@ -7,16 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}  # folders by application, for release()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    without that setting (tests on one machine) gets a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a session
+    that runs on one machine may do without: it gets a temporary folder. On a
+    cluster without the setting this raises, for executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plenum-checkpoint-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -28,7 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder for one table or archive in the shared folder; :func:`release` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate folders of this application and return how many there were.
+
+    Results of operators read them until they are saved, so call it after that.
+    (Checkpoints are Spark's own: ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes those.)
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows``: the session's setting, or more if a task would get over ``per_task`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

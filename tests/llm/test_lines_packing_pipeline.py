@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plenum.llm import line_dedup, packing
+from plenum.llm import edits, line_dedup, near, packing, sketch
 
 
 def levenshtein(a, b):
@@ -20,51 +20,97 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_edit_distance():
+def test_edit_similarity_of_many_pairs():
     rng = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 90))) for _ in range(2))
-        if rng.random() < 0.5:
-            b = a[: len(a) // 2] + rng.choice(["", "x"]) + a[len(a) // 2 + 1 :]
-        assert line_dedup.edit_distance(a, b) == levenshtein(a, b)
-        longest = max(len(a), len(b))
-        assert line_dedup.alike(a, b) == (levenshtein(a, b) <= 0.2 * longest + 1e-9)
-
-
-def test_pigeonhole_masks_catch_every_near_pair():
-    masks = line_dedup.pigeonhole_masks(3)
-    assert len(masks) == 10
-    for bits in itertools.combinations(range(0, 64, 3), 3):
-        flip = sum(1 << b for b in bits)
-        assert any(not flip & m for m in masks)
-
+    pairs = []
+    for k in range(900):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 3, 20, 63, 64, 65, 130, 200]) if k < 890 else 1500))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 3))):
+            if b and rng.random() < 0.5:
+                b.pop(rng.randrange(len(b)))
+            else:
+                b.insert(rng.randint(0, len(b)), rng.choice("abx é"))
+        pairs.append((a, "".join(b)))
+    got = edits.alike(pairs, 0.8)
+    want = [levenshtein(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert got.tolist() == want and 200 < sum(want) < 800
+    whole = [x for x in (edits.trimmed(a, b) for a, b in pairs) if all(x)]
+    whole.sort(key=lambda x: -len(x[1]))
+    assert edits.batch_distances(whole, np.full(len(whole), 10**6)).tolist() == [levenshtein(a, b) for a, b in whole]
+    for a, b in pairs[:300]:
+        assert edits.words_cost(a.split(" "), b.split(" "), 10**6) >= levenshtein(a, b)
+
+
+def test_words_and_marks_of_texts():
+    texts = [b"A  b,c\n\n x ", b"", b"\n\nq" + b" w" * 700, "é 日本".encode()]
+    words = sketch.split_words(texts, line_dedup.FOLD)
+    found = [words.data[a:b].tobytes() for a, b in zip(words.start, words.end)]
+    assert found == [b"a", b"b", b"c", b"x", b"q", *[b"w"] * 700, "é".encode(), "日本".encode()]
+    assert words.line.tolist() == [0, 0, 0, 2, *[6] * 701, 7, 7] and words.first_line.tolist() == [0, 3, 4, 7]
+    rng = np.random.default_rng(2)
+    counts = rng.choice([1, 5, 9, 255, 256, 700], 60)
+    hashes = rng.integers(0, 2**64, counts.sum(), dtype=np.uint64)
+    got, at = sketch.marks_of(hashes, counts), 0
+    for n, mark in zip(counts.tolist(), got.tolist()):
+        mine = hashes[at : at + n].tolist()
+        at += n
+        assert mark == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mine) > n)
+
+
+def test_parts_of_marks():
+    rng = random.Random(3)
+    marks = [rng.getrandbits(64) for _ in range(6)]
+    marks += [m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 14))) for m in marks for _ in range(40)]
+    label = near.close_parts(np.array(marks, np.uint64), 8)
+    root = list(range(len(marks)))
 
-def test_marks_in_batches():
-    import xxhash
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    rng = random.Random(2)
-    lines = [[rng.choice(["a", "bb", "ccc", "é"]) for _ in range(rng.choice([1, 5, 9, 255, 256, 700]))] for _ in range(50)]
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for x in lines for w in x], np.uint64)
-    got = line_dedup.line_marks(hashes, [len(x) for x in lines])
-    at = 0
-    for line, mark in zip(lines, got.tolist()):
-        mine = hashes[at : at + len(line)].tolist()
-        at += len(line)
-        assert mark == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mine) > len(mine))
+    for i, j in itertools.combinations(range(len(marks)), 2):
+        if (marks[i] ^ marks[j]).bit_count() <= 8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(marks)), 2) if find(i) == find(j)}
+    assert pairs == {(i, j) for i, j in itertools.combinations(range(len(marks)), 2) if label[i] == label[j]}
+
+
+@pytest.mark.parametrize("size", [2, 30, 700])
+def test_exploring_a_set_connects_what_alike_pairs_connect(size):
+    """Members are alike by a rule that the marks don't know; the search finds the same groups as all pairs."""
+    rng = random.Random(size)
+    base = rng.getrandbits(64)
+    marks = np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(size)], np.uint64)
+    kind = [rng.choice("aaaaaabbc" if size > 2 else "a") for _ in range(size)]
+    bands = np.array([[rng.choice([1, 2]), 7] for _ in range(size)], np.uint32)
+    asked = 0
+
+    def check(pairs):
+        nonlocal asked
+        asked += len(pairs)
+        return np.array([kind[i] == kind[j] for i, j in pairs], bool)
+
+    links = near.links_of(marks, bands, [(0, size, 0)], check)
+    label = list(range(size))
+    for i, j in links:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x == max(a, b) else x for x in label]
+    assert len(set(label)) == len(set(kind)) and all((label[i] == label[j]) == (kind[i] == kind[j]) for i in range(size) for j in range(i))
+    assert asked <= 1 + 20 * size + sum(kind.count(a) * kind.count(b) for a, b in itertools.combinations("abc", 2))
+    second = near.links_of(marks, bands, [(0, size, 1)], check)
+    assert all(bands[i, 0] != bands[j, 0] or size > near.BLOCK for i, j in second)
 
 
 def plain_gone(docs):
-    """Removed (doc_id, line) pairs by all pairs of distinct normalised lines."""
-    import xxhash
-
+    """Removed (doc_id, line) pairs by edit similarity of all pairs of distinct normalised lines."""
     nodes = {}
     for name, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
         for i, line in enumerate((text or "").split("\n")):
-            words = line_dedup.normal(line)
-            if len(words) >= line_dedup.MIN_WORDS:
-                nodes.setdefault(b" ".join(words).decode(), []).append((name, i))
+            if key := line_dedup.normal(line):
+                nodes.setdefault(key, []).append((name, i))
     keys = list(nodes)
-    marks = [int(line_dedup.line_marks(np.array([xxhash.xxh64_intdigest(w.encode()) for w in k.split(" ")], np.uint64), [len(k.split(" "))])[0]) for k in keys]
     root = list(range(len(keys)))
 
     def find(x):
@@ -72,8 +118,9 @@ def plain_gone(docs):
             x = root[x]
         return x
 
-    for i, j in itertools.combinations(range(len(keys)), 2):
-        if (marks[i] ^ marks[j]).bit_count() <= line_dedup.RADIUS and line_dedup.alike(keys[i], keys[j]):
+    pairs = list(itertools.combinations(range(len(keys)), 2))
+    for (i, j), same in zip(pairs, edits.alike([(keys[i], keys[j]) for i, j in pairs], 0.8).tolist()):
+        if same:
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     groups = {}
@@ -85,13 +132,13 @@ def plain_gone(docs):
 
 def line_docs(seed=4):
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
-    shared = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(12)]
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    shared = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(12)]
     docs = []
     for i in range(60):
         lines = []
         for _ in range(rng.randint(0, 6)):
-            line = rng.choice(shared) if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(1, 30)))
+            line = rng.choice(shared) if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(3, 30)))
             if rng.random() < 0.4:
                 words = line.split()
                 words[rng.randrange(len(words))] += rng.choice("xyz.,!")
@@ -111,26 +158,35 @@ def test_line_dedup_against_all_pairs(spark):
         lines = (text or "").split("\n")
         left = [x for i, x in enumerate(lines) if (name, i) not in want]
         assert got[name]["text"] == (None if text is None else "\n".join(left)), name
-        assert got[name]["n_removed"] == len(lines) - len(left) and got[name]["n_lines"] == (0 if text is None else len(lines))
+        counts = got[name]["line_counts"]
+        assert counts["n_removed"] == len(lines) - len(left) and counts["n_lines"] == (0 if text is None else len(lines))
+        assert (got[name]["component"], got[name]["mark"], got[name]["n_removed"]) == ("a", 1, 2)
     assert line_dedup.op9(frame).columns == ["doc_id", "n_lines", "n_removed", "n_chars_left", "kept_sha256"]
     assert line_dedup.op9(frame.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(frame.withColumnRenamed("mark", "line_counts")).columns == ["doc_id", "text", "component", "n_removed", "line_counts"]
 
 
-def test_near_lines_are_found():
-    """Some edits keep the mark within the radius, so the check above has fuzzy groups to find."""
-    docs = line_docs()
-    exact = {}
+def test_line_dedup_of_the_table_against_all_pairs(spark, sf_dir):
+    """The lines of the small table, by edit similarity alone: nothing goes that shouldn't, hardly anything stays that should go."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain_gone(docs)
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = set()
     for name, text in docs:
+        rest = iter(left[name].split("\n") if left[name] or text == "" else [])
+        now = next(rest, None)
         for i, line in enumerate(text.split("\n")):
-            exact.setdefault(b" ".join(line_dedup.normal(line)), []).append((name, i))
-    repeats = {p for k, places in exact.items() if len(k.split()) >= 5 for p in places[1:]}
-    assert plain_gone(docs) > repeats
+            if now is not None and line == now and (name, i) not in want:
+                now = next(rest, None)
+            elif now is not None and line == now:
+                now = next(rest, None)  # should have gone
+            else:
+                gone.add((name, i))
+    assert gone <= want and len(gone) >= 0.98 * len(want)
 
 
 def test_alike_lines_become_candidates():
     """Recall on planted copies that edit similarity alone calls alike: buckets and radius must not lose them."""
-    import xxhash
-
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
     pairs = {"one": [], "fifth": []}
@@ -140,15 +196,12 @@ def test_alike_lines_become_candidates():
             other = list(words)
             for i in rng.sample(range(len(words)), n):
                 other[i] = word()
-            if line_dedup.alike(" ".join(words), " ".join(other)):
-                pairs[kind].append((words, other))
+            pairs[kind].append((" ".join(words), " ".join(other)))
     for kind, least in (("one", 0.97), ("fifth", 0.9)):
-        lines = [[w.encode() for w in line] for pair in pairs[kind] for line in pair]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for line in lines for w in line], np.uint64)
-        counts = [len(line) for line in lines]
-        bands = line_dedup.line_bands(hashes, np.array([len(w) for line in lines for w in line]), counts)
-        marks = line_dedup.line_marks(hashes, counts)
-        met = (bands[::2] == bands[1::2]).any(axis=1) & (np.bitwise_count(marks[::2] ^ marks[1::2]) <= line_dedup.RADIUS)
+        chosen = [p for p, same in zip(pairs[kind], edits.alike(pairs[kind], 0.8)) if same]
+        hashes, weights, counts, _ = sketch.word_features(sketch.split_words([x.encode() for pair in chosen for x in pair], line_dedup.FOLD))
+        bands, marks = sketch.bands_of(hashes, weights, counts), sketch.marks_of(hashes, counts)
+        met = (bands[::2] == bands[1::2]).any(axis=1) & (np.bitwise_count(marks[::2] ^ marks[1::2]) <= sketch.RADIUS)
         assert len(met) > 800 and met.mean() >= least, (kind, met.mean())
 
 
@@ -161,16 +214,24 @@ def test_lines_with_one_word_replaced_go(spark):
         rows.append((i, " ".join(words)))
         words[rng.randrange(len(words))] = word()
         rows.append((1000 + i, " ".join(words)))
-    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").collect()
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("line_counts.n_removed = 1").collect()
     assert len(done) >= 190 and all(r["doc_id"] >= 1000 for r in done)
 
 
-def test_short_and_unspaced_lines_repeat_exactly(spark):
-    unspaced = "日本語の長い段落は空白を含まない" * 20
-    rows = [(1, f"Read more\n{unspaced}\n--\nOk"), (2, f"read  more!\n{unspaced}\n--\nonly here"), (3, "Read most\n\n"), (4, "\u001c x\n\u001c x")]
+def test_short_and_unspaced_lines_go(spark):
+    unspaced = "日本語の長い段落は空白を含まないのでひとつの語とされるが文字の並びで比べられる" * 4
+    rows = [(1, f"Read more\n{unspaced}\n--\nOk"), (2, f"read  more!\n{unspaced.replace('空白', '余白', 1)}\n--\nonly here"), (3, "Something else\n\n"), (4, "\u001c x\n\u001c x")]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "--\nonly here", "Read most\n\n", "\u001c x"]
-    assert [(got[i]["n_removed"], got[i]["n_left"]) for i in (1, 2, 3, 4)] == [(0, 3), (2, 1), (0, 1), (1, 1)]
+    assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "--\nonly here", "Something else\n\n", "\u001c x"]
+    assert [tuple(got[i]["line_counts"])[1:] for i in (1, 2, 3, 4)] == [(0, 3), (2, 1), (0, 1), (1, 1)]
+
+
+def test_rows_that_share_an_id_are_different_documents(spark):
+    line = "the same line stands in several documents of the table"
+    rows = [(1, line), (None, line + "\nsecond of its kind"), (None, "first words of a text without an id\nlast words of it"), (7, line + "\nx y z"), (7, "unlike the other one\nof this id"), (7, line + "\nx y z")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in got)
+    assert texts == sorted([("1", line), ("None", "second of its kind"), ("None", rows[2][1]), ("7", "x y z"), ("7", "x y z"), ("7", rows[4][1])])
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -233,3 +233,10 @@ def test_near_dedup_at_the_stated_similarity(spark):
     left = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(240)) | far <= left
     assert len(near & left) <= 0.01 * len(near)
+
+
+def test_near_dedup_tells_rows_by_id_and_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (None, b + " more"), (None, "of its own kind and no other"), (None, None)]
+    left = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == sorted([("1", a), ("5", b), ("None", rows[4][1]), ("None", "None")])
