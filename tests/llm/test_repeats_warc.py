@@ -216,3 +216,11 @@ def test_headers_longer_than_the_probe(tmp_path):
     file.write_bytes(gzip.compress(warc.VERSION + head) + gzip.compress(warc.VERSION + b"no blank line" * 20_000))
     found = list(warc.records(str(file), 0, file.stat().st_size))
     assert [(f["warc-target-uri"], body) for f, body in found] == [(url, b"body")]
+
+
+def test_rows_that_share_an_id_are_different_documents(spark):
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (7, a + "!"), (7, c), (7, c)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"], r["kept"] or b"") for r in got if r["n_removed"]) == sorted([("None", 150, b""), ("7", 150, b"!")])
