@@ -85,7 +85,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.size("__lines").cast("long").alias("__n_lines"),
         count_of(text, "|").alias("__pipes"),
         count_of(text, "!").alias("__bangs"),
-        occurrences(text, "[A-ZÀÂÄÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ]").alias("__upper"),
+        occurrences(text, r"\p{Lu}").alias("__upper"),
     )
     rate = lambda part, whole: F.round(F.col(part) / F.greatest(F.col(whole), F.lit(1)), 6)
     return stats.select(
@@ -238,7 +238,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels that are null, unknown or without a document are ignored; a document
     labelled twice counts as bad if either label does. Without labels the list
     is empty and everything that passes the base rules is kept. Repeated rows
-    keep their rows. One scan reads the texts of the labelled sample, one all.
+    keep their rows. Columns of ``docs`` with the name of an added one give way to it
+    (:func:`keep` returns them untouched). One scan reads the texts of the labelled sample, one all.
     """
     rules = learn(labelled_rows(docs, labels))
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES, "base_failed", "rule", "kept")
@@ -249,7 +250,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns as they are, that :func:`judged` keeps."""
-    return judged(docs, labels).where(once(F.col("kept"))).select(*docs.columns)
+    whole = F.struct(*docs.columns).alias("__whole")
+    told = judged(docs.select("doc_id", "text", whole), labels)
+    return told.where(once(F.col("kept"))).select("__whole.*")
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -43,10 +43,25 @@ def hash_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def mixture(docs: DataFrame, split_last: bool = True) -> DataFrame:
+def source_key() -> Column:
+    """The source, told apart from a null one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def body() -> Column:
+    """A hash of the text: with id and source it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """How many words the mix takes of each row of ``docs``: see :func:`shares`."""
+    return shares(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def shares(docs: DataFrame, split_last: bool = True) -> DataFrame:
     """How many words the mix takes of each row of ``docs`` (``doc_id``, ``source``, ``text``).
 
-    Adds ``size``, ``source_size``, ``target`` and ``taken``. Whole epochs are taken first; the rest of the
+    Returns ``doc_id``, ``source_key``, ``body``, ``size``, ``source_size``, ``target`` and ``taken``. Whole epochs are taken first; the rest of the
     target goes to the rows whose running total in hash order stays below it,
     the row on the edge giving only the words still missing (or, without
     ``split_last``, all of its words if at least half of them fit, else none).
@@ -55,12 +70,11 @@ def mixture(docs: DataFrame, split_last: bool = True) -> DataFrame:
     table of slices, and only rows of one slice are ordered together. So a source
     with a third of all rows is spread over as many tasks as its rows need.
     Null texts have size 0, the null source is a source of its own, null and
-    repeated ids are ordered by id, then size. An empty table gives an empty result.
+    repeated ids are ordered by id, then size, then a hash of the text. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     text_free = [c for c in ("doc_id", "source") if c in docs.columns]
-    narrow = docs.select(*text_free, n_words(F.col("text")).alias("size"))
-    narrow = narrow.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    narrow = docs.select(*text_free, n_words(F.col("text")).alias("size"), body().alias("body"))
+    narrow = narrow.withColumn("source_key", source_key())
     narrow = cut(narrow.withColumn("mix_key", hash_key()))
     per_source = narrow.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = targets(per_source).join(per_source.select("source_key", "n_rows"), "source_key")
@@ -72,7 +86,7 @@ def mixture(docs: DataFrame, split_last: bool = True) -> DataFrame:
     sums = rows.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_key", "slice").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "slice").orderBy("mix_key", "doc_id", "size", "body").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(offsets, ["source_key", "slice"])
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     full = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -80,21 +94,28 @@ def mixture(docs: DataFrame, split_last: bool = True) -> DataFrame:
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
     if not split_last:
         part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    return rows.withColumn("taken", (F.col("full") * F.col("size") + part).cast("long")).select("doc_id", "size", "source_size", "target", "taken")
+    return rows.withColumn("taken", (F.col("full") * F.col("size") + part).cast("long")).select("doc_id", "source_key", "body", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them, whole documents only.
 
     All columns are kept. Rows without words have no share and stay out, as do
-    rows past their source's budget. Repeated ids are told apart by content.
+    rows past their source's budget. Rows of one id, source and text share what
+    the mix takes of them all: each comes equally often, the first ones once more.
     """
-    counts = mixture(docs, split_last=False).where("taken > 0")
-    times = counts.select("doc_id", "size", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = times.groupBy("doc_id", "size").agg(F.max("__times").alias("__times")).withColumnRenamed("size", "__size").withColumnRenamed("doc_id", "__doc_id")
-    sized = docs.withColumn("__own", n_words(F.col("text")))
-    out = sized.join(times, sized["doc_id"].eqNullSafe(times["__doc_id"]) & (F.col("__own") == F.col("__size")))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    key = ["doc_id", "source_key", "body"]
+    counts = shares(docs, split_last=False).where("size > 0")
+    total, rows = F.sum((F.col("taken") / F.col("size")).cast("long")), F.count(F.lit(1))
+    times = counts.groupBy(*key).agg(total.alias("__total"), rows.alias("__rows")).where("__total > 0")
+    times = times.select(*[F.col(c).alias(f"__{c}") for c in key], "__total", "__rows")
+    named = docs.withColumn("__own_source", source_key()).withColumn("__own_body", body())
+    same = named["doc_id"].eqNullSafe(times["__doc_id"]) & (F.col("__own_source") == F.col("__source_key")) & (F.col("__own_body") == F.col("__body"))
+    out = named.join(times, same)
+    place = F.row_number().over(Window.partitionBy("__doc_id", "__source_key", "__body").orderBy(F.lit(1)))
+    extra = (F.when(F.col("__rows") == 1, F.lit(1)).otherwise(place) <= F.col("__total") % F.col("__rows")).cast("long")
+    copies = F.floor(F.col("__total") / F.col("__rows")) + extra
+    return out.withColumn("__n", copies).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
 
 
 def op5(docs: DataFrame) -> DataFrame:

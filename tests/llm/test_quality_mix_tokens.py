@@ -151,3 +151,20 @@ def test_parts_are_safe(model):
     parts = token_counts.parts(text, 500)
     assert len(parts) > 20 and sum(len(sp.encode(p)) for p in parts) == len(sp.encode(text))
     assert token_counts.splittable(path)
+
+
+def test_keep_leaves_clashing_columns_alone(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "mine", 7, 5), (2, "too short", "mine", 7, 5)], "doc_id long, text string, rule string, n_words int, kept int")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = decision_list.keep(docs, labels)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "mine", 7, 5)]
+
+
+def test_mixed_takes_of_repeated_rows_what_the_mix_says(spark):
+    rows = [(1, "a b c d e", "s")] * 8 + [(1, "v w x y z", "s"), (None, "k l m n o", "s"), (None, "k l m n q", None), (2, "", "s"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.shares(docs, split_last=False).agg({"taken": "sum"}).first()[0]
+    out = mixing.mixed(docs).collect()
+    assert sum(len(r["text"].split()) for r in out) == taken > 0
+    assert all(sum(r["text"] == t for r in out) <= 2 * sum(x[1] == t for x in rows) for t in {r["text"] for r in out})
