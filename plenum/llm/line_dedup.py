@@ -15,7 +15,7 @@ from plenum.llm.components import connected_components
 from plenum.llm.edits import alike
 from plenum.llm.near import first_places, suspects, verified_links
 from plenum.llm.sketch import BANDS, CHUNK_BYTES, bands_of, marks_of, split_words, word_features
-from plenum.llm.storage import cut, written
+from plenum.llm.storage import cut, drop_shuffles, written
 
 SIMILARITY = 0.8  # of a link's edit distance at least
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
@@ -132,9 +132,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = written(corpus_lines(docs), "lines")
     placed = written(first_places(lines.where("not again").drop("again")), "places")
     nodes = placed.where("node is not null")
-    near = suspects(nodes, nodes.count())
-    links = verified_links(lines_at(docs, near).withColumnRenamed("line", "item"), same_lines)
-    grouped = cut(connected_components(links).join(nodes.drop("mark", "bands"), "node"))
+    grouped = line_groups(docs, nodes)
+    drop_shuffles(docs.sparkSession)
     place = F.struct("doc_id", "body", "line_no")
     keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
     linked = grouped.join(keep, "component").where(place != F.col("keep"))
@@ -142,6 +141,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return again.select("doc_id", "body", "line_no").unionByName(linked.select("doc_id", "body", "line_no"))
 
 
+def line_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``component`` and place of every node that has a link."""
+    near = suspects(nodes, nodes.count())
+    drop_shuffles(docs.sparkSession)
+    links = verified_links(lines_at(docs, near).withColumnRenamed("line", "item"), same_lines)
+    return cut(connected_components(links).join(nodes.drop("mark", "bands"), "node"))
+
+
 def dedup_lines(docs: DataFrame, counts: str = "line_counts") -> DataFrame:
     """``docs`` with repeated lines cut out of ``text``, and a struct column ``counts`` (``n_lines``, ``n_removed``, ``n_left``).
 

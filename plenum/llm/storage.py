@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,16 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which on a driver with
+    memory to spare comes too late for steps that each shuffle the corpus.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows``: the session's setting, or more if a task would get over ``per_task`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
