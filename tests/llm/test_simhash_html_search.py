@@ -1,6 +1,7 @@
 """Operators 1 to 3 against brute force and on odd inputs."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -114,6 +115,51 @@ def test_page_without_container():
     assert got.startswith("Title here Paragraph 0") and got.endswith("more or less.") and "Home" not in got and "Imprint" not in got
 
 
+LONG = "This is a long paragraph of the story that goes on and on with words enough to count as content on any page. "
+
+
+def box_page(closing, long=3):
+    """A page of plain boxes: nothing but the text-to-tag ratio tells the story from what surrounds it."""
+    menu = "".join(f"<div>Item {i}</div>" for i in range(8))
+    story = "".join(f"<div><p>{LONG * long}</p></div>" for _ in range(4))
+    return f"<body>{menu}{story}<div><p>{closing}</p></div>" + "".join(f"<div>Legal {i}</div>" for i in range(4))
+
+
+def test_scores_select_the_regions_of_a_page_without_names(monkeypatch):
+    closing = "These are the closing words of the story."
+    page = box_page(closing)
+    story = " ".join([(LONG * 3).strip()] * 4)
+    assert html_text.main_text(page) == f"{story} {closing}"
+    assert html_text.main_text(page, sigma=0.01) == story  # without smoothing the last paragraph is lost
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert html_text.main_text(page) != f"{story} {closing}"  # without the threshold the menu comes along
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_labelled_pages(seed):
+    """Pages made of marked pieces: the marked text is exactly what comes out."""
+    rng = random.Random(seed)
+    sentence = lambda lo, hi: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(lo, hi))).capitalize() + "."
+    for _ in range(40):
+        blocks = [("h1", sentence(3, 8))] + [(rng.choice(["p", "p", "p", "h2", "blockquote", "li"]), sentence(1, 60)) for _ in range(rng.randint(2, 12))] + [("p", sentence(30, 60))]
+        want = " ".join(t for _, t in blocks)
+        inner = "".join(f"<{k}{rng.choice(['', ' class=lead', ' class=notice-board'])}>{t}</{k}>" + rng.choice(["", "", f"<div class='ad-slot'>{sentence(5, 40)}</div>", f"<aside><p>{sentence(5, 60)}</p></aside>", "<script>x</script>"]) for k, t in blocks)
+        shell = rng.choice(["<article>%s</article>", "<main><article>%s</article></main>", "<div class='post-content'>%s</div>", "<div id=content>%s</div>", "<div>%s</div>", "<form><div>%s</div></form>"])
+        page = (
+            f"<html><head><title>{sentence(2, 9)}</title></head><body><header><p>{sentence(2, 30)}</p></header><nav>{sentence(2, 30)}</nav>"
+            f"<div class='breadcrumbs'>{sentence(2, 9)}</div>{shell % inner}<div class='related-posts'><p>{sentence(9, 60)}</p></div>"
+            f"<section id='comments'><article class='comment'><p>{sentence(9, 90)}</p></article></section><footer>{sentence(5, 60)}</footer></body></html>"
+        )
+        assert html_text.main_text(page) == want, page
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<b>" * 100_000 + "x" * 50, "<p><div>" + "<b>" * 50_000 + "<p>x" * 20_000, "<div>" * 60_000 + "<p>hello there</p>", "<a>" * 50_000 + "<p>y" * 50_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 8  # well over 100 if each event searched the open elements
+
+
 def test_broken_pages():
     for page in (None, "", "<", "<p", "<!-- open", "<script>never closed", "plain text only", "<p>cut &am", "<b>" * 3000, "<p>x</p>" * 5000):
         assert isinstance(html_text.main_text(page), str)
