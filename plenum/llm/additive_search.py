@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ BEAM = 4
 TRAIN_ROWS = 8192  # rows the codebooks are fitted on; every row is encoded
 BLOCK_ROWS = 16384  # vectors scored by one task
 QUERY_ROWS = 16384  # queries held by one task
-RERANK = 160  # candidates of a query and block that are scored exactly
+RERANK = 640  # candidates of a query and block that are scored exactly: a twenty-fifth of a full block
 
 
 def kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -109,41 +110,54 @@ def top(scores: np.ndarray, keep: int) -> list[np.ndarray]:
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """Rows that take part: ``vec_id`` and vector not null, all components finite, not all zero."""
+    """Rows that take part: ``vec_id`` and vector not null, all components finite, not all zero; components keep their precision."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall("embedding", lambda x: x == 0)
-    chosen = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    chosen = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     return chosen.where("vec_id is not null and embedding is not null").where(~bad & ~zero)
 
 
+OUT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
     """The ``k`` rows of ``table`` with the largest inner product for each row of ``queries``.
 
     Both have ``vec_id`` and ``embedding``. Equal vectors form one class that is
     encoded and scored once and keeps its ``k + 1`` smallest ids, so a vector
-    that a third of the rows share costs as much as any other. The codebooks
-    are fitted on ``TRAIN_ROWS`` classes in hash order; every class is encoded. Classes and
-    queries are dealt at random to blocks of bounded size; a task scores one
-    block of codes against one block of queries by lookup tables (scaled by the
-    stored norm over the decoded norm), reranks the best ``rerank`` classes by
-    the exact double-precision product, and emits ``k`` rows a query. An id is
-    never its own neighbour. Rows with a null id, or a vector that is null, zero
-    or has a null or non-finite component take no part; repeated ids with equal
-    vectors count once. Empty tables give an empty result; fewer than ``k``
-    candidates give all of them.
+    that a third of the rows share costs as much as any other. A query meets the
+    vectors of its own length; each length that queries have gets its own
+    codebooks. An id is never its own neighbour. Rows with a null id, or a vector
+    that is null, zero or has a null or non-finite component take no part;
+    repeated ids with equal vectors count once. Empty tables give an empty
+    result; fewer than ``k`` candidates give all of them.
     """
     spark = table.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
     rank_ids = Window.partitionBy("embedding").orderBy("vec_id")
     rows = valid_vectors(table).withColumn("place", F.dense_rank().over(rank_ids)).where(F.col("place") <= k + 1)
     classes = rows.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    classes = cut(classes.select("embedding", "ids", F.element_at("ids", 1).alias("first")))
-    asked = cut(valid_vectors(queries).dropDuplicates(["vec_id"]))
-    total, wanted = classes.count(), asked.count()
-    if not total or not wanted:
-        return spark.createDataFrame([], out)
-    dims = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    classes, asked = (x.where(F.size("embedding") == dims) for x in (classes, asked))
+    classes = cut(classes.select("embedding", "ids", F.element_at("ids", 1).alias("first"), F.size("embedding").alias("length")))
+    asked = cut(valid_vectors(queries).dropDuplicates(["vec_id"]).withColumn("length", F.size("embedding")))
+    lengths = asked.groupBy("length").agg(F.count(F.lit(1)).alias("wanted")).join(classes.groupBy("length").agg(F.count(F.lit(1)).alias("total")), "length")
+    hits = [nearest_of_length(classes.where(F.col("length") == r["length"]), asked.where(F.col("length") == r["length"]), r["total"], r["wanted"], k, rerank) for r in lengths.orderBy("length").collect()]
+    if not hits:
+        return spark.createDataFrame([], OUT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted: int, k: int, rerank: int) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` of the best ``k`` rows a query and block; vectors have one length.
+
+    The codebooks are fitted on ``TRAIN_ROWS`` classes in hash order; every class is
+    encoded. Classes and queries are dealt at random to blocks of bounded size; a
+    task scores one block of codes against one block of queries by lookup tables
+    (scaled by the stored norm over the decoded norm), reranks the best
+    ``rerank`` classes by the exact double-precision product, and emits ``k`` rows a query.
+    """
+    spark = classes.sparkSession
+    kind = classes.schema["embedding"].dataType.simpleString()
     sample = classes.orderBy(F.xxhash64("first"), "first").limit(TRAIN_ROWS).select("embedding").toPandas()
     books = train(np.stack(sample["embedding"].to_numpy()), codewords=min(CODEWORDS, max(1, len(sample))))
     shared = spark.sparkContext.broadcast(books)  # CODEBOOKS x CODEWORDS x dimensions floats, whatever the table's size
@@ -152,7 +166,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RER
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = np.stack([np.asarray(x) for x in batch.column(0).to_numpy(zero_copy_only=False)]).astype(np.float32)
+            block = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
             codes, decoded = encode(block, shared.value)
             length, met = np.linalg.norm(block, axis=1), np.linalg.norm(decoded, axis=1)
             scale = np.where(met > 0, length / np.where(met > 0, met, 1), 0).astype(np.float32)
@@ -162,7 +176,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RER
             )
 
     blocks, shelves = -(-total // BLOCK_ROWS), -(-wanted // QUERY_ROWS)
-    coded = classes.mapInArrow(index, "embedding array<float>, ids array<long>, first long, codes binary, scale float")
+    coded = classes.select("embedding", "ids", "first").mapInArrow(index, f"embedding {kind}, ids array<long>, first long, codes binary, scale float")
     left = coded.withColumn("block", F.pmod(F.xxhash64("first"), F.lit(blocks))).withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))))
     right = asked.withColumn("shelf", F.pmod(F.xxhash64("vec_id"), F.lit(shelves)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -170,21 +184,25 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RER
         if not len(base) or not len(ask):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         base = base.sort_values("first", kind="stable")
-        vectors = np.stack(base["embedding"].to_numpy()).astype(np.float64)
+        vectors = np.stack(base["embedding"].to_numpy())
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
         scale, ids = base["scale"].to_numpy(np.float32), base["ids"].to_numpy()
         wide, word = shared.value, len(shared.value[0])
         names = ask["vec_id"].to_numpy()
         found: list[tuple] = []
         for at in range(0, len(ask), 256):
-            part = np.stack(ask["embedding"].iloc[at : at + 256].to_numpy()).astype(np.float32)
+            whole = np.stack(ask["embedding"].iloc[at : at + 256].to_numpy()).astype(np.float64)
+            part = whole.astype(np.float32)
             tables = np.einsum("mwd,qd->mwq", wide, part).reshape(len(wide), word, len(part))
             scores = tables[0][codes[:, 0]]
             for m in range(1, len(wide)):
                 scores += tables[m][codes[:, m]]
             scores *= scale[:, None]
             for q, columns in enumerate(top(np.ascontiguousarray(scores.T), rerank)):
-                exact = (vectors[columns] * part[q].astype(np.float64)).sum(1)
+                exact = vectors[columns].astype(np.float64) @ whole[q]
+                close = np.flatnonzero(exact >= np.partition(exact, -keep)[-keep] - 1e-9 * (1 + np.abs(exact).max())) if (keep := min(k + 1, len(exact))) else np.arange(0)
+                columns = columns[close]
+                exact = np.cumsum(vectors[columns].astype(np.float64) * whole[q], axis=1)[:, -1]  # in order of the components
                 columns, exact = columns[o := np.lexsort((columns, -exact))], exact[o]
                 me, got = names[at + q], []
                 for c, s in zip(columns, exact):
@@ -195,9 +213,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RER
                 found.extend((me, i, s) for i, s in got[:k])
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    hits = left.groupBy("block", "shelf").cogroup(right.groupBy("block", "shelf")).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("block", "shelf").cogroup(right.groupBy("block", "shelf")).applyInPandas(search, "query_id long, vec_id long, score double")
 
 
 def op3(embeddings: DataFrame) -> DataFrame:

@@ -49,4 +49,5 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES = {"op5_mixing": MIXING}
+# The query reranks 640 classes of a block, so on a table of no more vectors it is exhaustive itself.
+ORACLES = {"op3_additive_search": NEAREST, "op5_mixing": MIXING}
