@@ -97,6 +97,39 @@ def test_identifier_forms():
     assert f(None) is None and f("", "") is None
 
 
+def test_identifiers_as_printed():
+    """Printed examples: what is the item's own number, what is cited, unassigned or a date."""
+    f = lambda *x: (identifiers.find_identifier(*x) or identifiers.Identifier(None)).file
+    own = {
+        "Ordinance No. 2026-77 - Introduced by Council": "Ordinance 2026-77", "Council Bill 2026-138 (Horton)": "Bill 2026-138",
+        "CASE FILE NO. 2026-08-V": "File 2026-08-V", "CASE FILE NO. 2025-91-P(ETJ)": "File 2025-91-P", "File No. 15121 workers comp": "File 15121",
+        "2026-470 Advisory Boards and Committee Reports": "2026-470", "22-1201-S50CD 13Motion relative to the reappointment": "22-1201-S50",
+        "(PC-11016) Application by a church to rezone": "PC-11016", "ZON-26-05-0015 - Zoning Change/Concept Plan": "ZON-26-05-0015",
+        "CU-26-013 Conditional use permit for 12 Main St": "CU-26-013", "O-080-26 AN ORDINANCE AMENDING ORDINANCE NO. 103, SERIES 2016": "O-080-26",
+        "Adoption of Resolution No. 2026-15 approving the budget": "Resolution 2026-15", "Second Reading of Ordinance No. 1763, Land Development Code": "Ordinance 1763",
+        "Consideration of Resolution Number 2026 - 060 related to Horizon": "Resolution 2026-060", "Resolution No. 2026-16APPROVING a plat": "Resolution 2026-16",
+        "Settlement L24-1234 of a claim": "File L24-1234", "Master Contract No. 55555 and Contract No. 66666": "Contract 66666",
+    }
+    assert {k: f(k) for k in own} == own
+    nothing = [
+        "2026-05-20 Architectural Review Board Meeting Minutes", "2027-28 Urban Forestry Work Plan", "2026-2027 Operating Budget", "2026-0615 Review", "Approval of minutes 03-25",
+        "CC-06-15 Committee report on parks", "Item III.A - R-26-XXX- A RESOLUTION AUTHORIZING THE MANAGER", "Item III.B - Ordinance_No._26-_Ambulance_Charges.docx",
+        "A) Consideration of adopting Ordinance #O-26-___ increasing the rates", "Adopt Resolution No. 2026-XXX approving", "Adopt Resolution No. 2026-0XX approving", "Adopt Resolution No. XX-2026 approving",
+        "devices shall be on mute pursuant to District Ordinance No. 13.", "in accordance with Policy Resolution No. 11 (R2016-6).", "Annual Report in compliance with Ordinance #1869.",
+        "An ordinance to install speed humps pursuant to Ordinance Number 70334", "Repealing Ordinance No. 51 and Ordinance No. 52",
+    ]
+    assert {k: f(k) for k in nothing} == dict.fromkeys(nothing)
+    assert f("IH Borrower LP", "Section 2 (Zoning permit), from Ordinance no. 2927 of the City") is None
+
+
+def test_file_names(spark):
+    names = {
+        "Staff_Report_Park_Plan_final_(2).docx": "Staff Report Park Plan", "Budget Hearing Notice 06-15-2026.pdf": "Budget Hearing Notice", "Lease Agreement-draft-v3.DOC": "Lease Agreement",
+        "20260615.pdf": None, "agenda item: Sewer Rates 20260615": "Sewer Rates", "Water-Rate Study.xlsx": "Water-Rate Study", None: None,
+    }
+    assert {k: one(spark, text.title_from_filename(s(k))) for k in names} == names
+
+
 def test_files_and_periods(spark):
     assert [one(spark, identifiers.canonical_file(s(v))) for v in (" BL  25 ", "-----", "2026-XX", "Recommendation into Closure at 5", None)] == ["BL 25", None, None, None, None]
     day = datetime.date(2026, 6, 1)
