@@ -111,7 +111,7 @@ def feed_keys(body: Column) -> Column:
 
 def after_watermark(rows: DataFrame, state: DataFrame, key: str, modified: str, slack_seconds: int = 1) -> DataFrame:
     """Rows modified after their source's watermark, less some slack; a source without one is at its baseline and yields none."""
-    joined = rows.join(F.broadcast(state.select(key, "watermark")), key)  # one row a source
+    joined = rows.join(state.select(key, "watermark"), key)
     return joined.where(F.unix_micros(modified) > F.unix_micros("watermark") - slack_seconds * 1_000_000).drop("watermark")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -105,15 +106,18 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 def increasing(anchors: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """Longest subsequence whose offsets increase: anchors that stand in the items' order."""
-    best: list[tuple[int, int]] = []  # (length, index before)
+    ends: list[int] = []  # smallest last offset of an increasing run of each length
+    last: list[int] = []  # where that run ends
+    before: list[int] = []
     for i, (offset, _) in enumerate(anchors):
-        longest = max(((best[j][0], j) for j in range(i) if anchors[j][0] < offset), key=lambda x: (x[0], -x[1]), default=(0, -1))
-        best.append((longest[0] + 1, longest[1]))
-    at = max(range(len(best)), key=lambda i: best[i][0], default=-1)
+        n = bisect_left(ends, offset)
+        before.append(last[n - 1] if n else -1)
+        ends[n : n + 1], last[n : n + 1] = [offset], [i]
+    at = last[-1] if last else -1
     out = []
     while at >= 0:
         out.append(anchors[at])
-        at = best[at][1]
+        at = before[at]
     return out[::-1]
 
 

@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_COMMENTS = 10_000  # columns of a full matrix
+
+
 def imputed(votes: DataFrame, user: str = "user_id", comment: str = "comment_id", vote: str = "vote") -> DataFrame:
     """All pairs of participants and comments: the vote, or the comment's mean where there is none.
 
-    The product of both small dimensions is the matrix itself; both are distinct
-    lists, and the comment side, which the caller has approved, is broadcast after a check of its size.
+    The full matrix is what the projection needs and nothing else should ask for
+    (:func:`consensus` works on the votes). One discussion has a few hundred
+    comments; over ``MOST_COMMENTS`` this raises.
     """
     means = votes.groupBy(comment).agg(F.avg(vote).alias("mean"))
+    if (n := means.count()) > MOST_COMMENTS:
+        raise ValueError(f"{n} comments are too many for a full matrix; cluster by a part of them")
     people = votes.select(user).distinct()
-    grid = people.crossJoin(F.broadcast(means))
+    grid = people.crossJoin(F.broadcast(means))  # at most MOST_COMMENTS rows
     full = grid.join(votes.select(user, comment, F.col(vote).cast("double").alias("own")), [user, comment], "left")
     return full.select(user, comment, F.coalesce("own", "mean", F.lit(0.0)).alias("value"), F.col("own").isNotNull().alias("voted"))
 
@@ -43,14 +49,24 @@ def clusters(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(rows)
 
 
-def consensus(matrix: DataFrame, labels: DataFrame, user: str = "user_id", comment: str = "comment_id") -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame, labels: DataFrame, user: str = "user_id", comment: str = "comment_id", vote: str = "vote") -> tuple[DataFrame, DataFrame]:
     """Votes of each cluster and comment, and smoothed agreement of each comment averaged over clusters.
 
-    Counted on the imputed matrix: agreement is a value of exactly 1, disagreement
-    of exactly -1, and seen is the size of the cluster.
+    As on the imputed matrix: agreement is a value of exactly 1, disagreement of
+    exactly -1, and seen is the size of the cluster. A missing vote stands for the
+    comment's mean, so it counts only where that mean is 1 or -1; the matrix itself
+    is never built. Clusters are few (:func:`how_many`), so their product with the
+    comments is small.
     """
-    rows = matrix.join(labels.select(user, "cluster"), user)
-    groups = rows.groupBy("cluster", comment).agg(F.count_if(F.col("value") == 1).alias("agree"), F.count_if(F.col("value") == -1).alias("disagree"), F.count(F.lit(1)).alias("seen"))
+    means = votes.groupBy(comment).agg(F.avg(vote).alias("mean"))
+    people = labels.select(user, "cluster")
+    sizes = votes.select(user).distinct().join(people, user).groupBy("cluster").agg(F.count(F.lit(1)).alias("seen"))
+    said = votes.join(people, user).groupBy("cluster", comment).agg(F.count_if(F.col(vote) == 1).alias("yes"), F.count_if(F.col(vote) == -1).alias("no"), F.count(vote).alias("given"))
+    cells = means.crossJoin(sizes).join(said, ["cluster", comment], "left")
+    silent = F.col("seen") - F.coalesce("given", F.lit(0))
+    agree = F.coalesce("yes", F.lit(0)) + F.when(F.col("mean") == 1, silent).otherwise(0)
+    disagree = F.coalesce("no", F.lit(0)) + F.when(F.col("mean") == -1, silent).otherwise(0)
+    groups = cells.select("cluster", comment, agree.alias("agree"), disagree.alias("disagree"), "seen")
     score = groups.groupBy(comment).agg(F.avg((F.col("agree") + 1) / (F.col("seen") + 2)).alias("consensus"))
     return groups, score
 

@@ -86,9 +86,22 @@ def keyword_alerts(alerts: DataFrame, items: DataFrame, item_id: str, text: str,
 
 
 def phrase_alerts(alerts: DataFrame, items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """Case-sensitive containment of whole phrases: a theta join that is for alert lists of a checked size only."""
-    wanted = alerts.select("alert_id", F.posexplode("keywords").alias("place", "keyword"))
-    hits = items.join(F.broadcast(wanted), F.col(text).contains(F.col("keyword")))
+    """Case-sensitive containment of whole phrases, which may start and end inside words.
+
+    Each phrase looks for its longest inner word, one with marks or blanks around it
+    in the phrase, by an equality join on words, and is tested where that stands.
+    Phrases without an inner word can match inside any word; they meet all items,
+    so alert lists should have few of them.
+    """
+    wanted = alerts.select("alert_id", F.posexplode("keywords").alias("place", "keyword")).where("keyword <> ''")
+    inner = F.regexp_extract_all("keyword", F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = wanted.withColumn("word", longest)
+    words = items.select(item_id, text, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)")))).alias("word"))
+    here = F.col(text).contains(F.col("keyword"))
+    by_word = words.join(wanted.where("word is not null"), "word").where(here)
+    anywhere = items.join(wanted.where("word is null"), here)
+    hits = by_word.select("alert_id", item_id, "place", "keyword").unionByName(anywhere.select("alert_id", item_id, "place", "keyword"))
     return latest_per_key(hits, ["alert_id", item_id], [F.col("place")]).select("alert_id", item_id, "keyword")
 
 

@@ -23,10 +23,10 @@ def paths(events, first: int | None = None):
 
 @query(
     "path_patterns",
-    "SELECT pattern, count(*) AS n FROM (SELECT user_id, string_agg(event_type, ' > ' ORDER BY ts, event_id) AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 GROUP BY user_id) GROUP BY pattern ORDER BY n DESC, pattern LIMIT 20",
+    "SELECT pattern, count(*) AS n FROM (SELECT user_id, string_agg(event_type, ' > ' ORDER BY ts, event_id) AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 5 GROUP BY user_id) GROUP BY pattern ORDER BY n DESC, pattern LIMIT 20",
 )
 def path_patterns(spark, sf_dir):
-    found = paths(table(spark, sf_dir, "events"), first=3).select(F.array_join("path", " > ").alias("pattern"))
+    found = paths(table(spark, sf_dir, "events"), first=5).select(F.array_join("path", " > ").alias("pattern"))
     return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").limit(20)
 
 

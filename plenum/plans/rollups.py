@@ -231,14 +231,14 @@ def sync_stats_priority(spark, sf_dir):
 
 @query(
     "importance_score",
-    "SELECT o_orderkey, round(log10(o_totalprice + 1) + max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 6) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_orderstatus ORDER BY score DESC, o_orderkey LIMIT 100",
+    "SELECT o_orderkey, round(log10(o_totalprice + 1) + max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 6) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_orderstatus",
 )
 def importance_score(spark, sf_dir):
     orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
     weight = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
     best = lineitem.groupBy("l_orderkey").agg(F.max(weight).alias("w"))
     score = F.round(F.log10(F.col("o_totalprice") + 1) + F.col("w") + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0), 6)
-    return orders.join(best, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", score.alias("score")).orderBy(F.desc("score"), "o_orderkey").limit(100)
+    return orders.join(best, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", score.alias("score"))
 
 
 @query(

@@ -68,22 +68,22 @@ def filter_transitions(spark, sf_dir):
 
 @query(
     "summary_quality",
-    "SELECT doc_id, CASE WHEN length(s) < 100 THEN 'too_short' WHEN s LIKE '%...' THEN 'truncated' WHEN contains(s, '**') OR contains(s, '##') THEN 'good' ELSE 'suspicious' END AS quality FROM (SELECT doc_id, substr(text, 1, CAST(40 + doc_id % 200 AS INTEGER)) || CASE doc_id % 5 WHEN 0 THEN '...' WHEN 1 THEN '**' ELSE '' END AS s FROM documents)",
+    "SELECT doc_id, CASE WHEN length(s) < 100 THEN 'too_short' WHEN s LIKE '%...' THEN 'truncated' WHEN contains(s, '**') OR contains(s, '##') THEN 'good' ELSE 'suspicious' END AS quality FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN '...' WHEN 1 THEN '**' ELSE '' END AS s FROM documents)",
 )
 def summary_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tail = F.when(F.col("doc_id") % 5 == 0, "...").when(F.col("doc_id") % 5 == 1, "**").otherwise("")
-    summary = F.concat(F.substr("text", F.lit(1), (40 + F.col("doc_id") % 200).cast("int")), tail)
+    summary = F.concat("text", tail)
     return docs.select("doc_id", text.summary_quality(summary)["quality"].alias("quality"))
 
 
 @query(
     "garbled_padding",
-    "SELECT doc_id, length(trim(s)) >= 200 AND solid > 0 AND (ascii + digits) / solid < 0.2 AND (letters + digits) / solid < 0.35 AND (letters - ascii) / greatest(letters, 1) >= 0.35 AS garbled, length(s) > 2000 AND (length(s) - length(replace(s, ' ', ''))) / length(s) > 0.85 AS padded FROM (SELECT doc_id, s, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS ascii, length(regexp_replace(s, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(s, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(s, '\\s', '', 'g')) AS solid FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(substr(text, 1, 400), '[a-z]', '§', 'g') WHEN 1 THEN repeat(' ', 2500) || substr(text, 1, 20) ELSE text END AS s FROM documents))",
+    "SELECT doc_id, length(trim(s)) >= 200 AND solid > 0 AND (ascii + digits) / solid < 0.2 AND (letters + digits) / solid < 0.35 AND (letters - ascii) / greatest(letters, 1) >= 0.35 AS garbled, length(s) > 2000 AND (length(s) - length(replace(s, ' ', ''))) / length(s) > 0.85 AS padded FROM (SELECT doc_id, s, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS ascii, length(regexp_replace(s, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(s, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(s, '\\s', '', 'g')) AS solid FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '[a-z]', '§', 'g') WHEN 1 THEN repeat(' ', CAST(2500 + 8 * length(text) AS INTEGER)) || text ELSE text END AS s FROM documents))",
 )
 def garbled_padding(spark, sf_dir):
-    first = F.regexp_replace(F.substring("text", 1, 400), "[a-z]", "§")
-    sample = F.when(F.col("doc_id") % 3 == 0, first).when(F.col("doc_id") % 3 == 1, F.concat(F.repeat(F.lit(" "), F.lit(2500)), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    marred = F.regexp_replace("text", "[a-z]", "§")
+    sample = F.when(F.col("doc_id") % 3 == 0, marred).when(F.col("doc_id") % 3 == 1, F.concat(F.repeat(F.lit(" "), 2500 + 8 * F.length("text")), "text")).otherwise(F.col("text"))
     # the last test of padding, one line over 2000 characters, holds for the padded third
     return table(spark, sf_dir, "documents").select("doc_id", text.garbled(sample).alias("garbled"), text.padded_layout(sample).alias("padded"))
 
@@ -99,21 +99,24 @@ def contact_extraction(spark, sf_dir):
 
 @query(
     "keyword_alerts",
-    "WITH a AS (SELECT item_id AS alert_id, [x FOR x IN list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) IF regexp_full_match(x, '[a-z]{6,}')] AS k FROM benchmark), k AS (SELECT alert_id, unnest(k) AS keyword FROM a), d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS keyword FROM documents) SELECT alert_id, doc_id, count(*) AS n FROM k JOIN d USING (keyword) GROUP BY 1, 2",
+    "WITH a AS (SELECT item_id AS alert_id, [x FOR x IN list_distinct(string_split(lower(text), ' ')) IF regexp_full_match(x, '[a-z]{6,}')] AS k FROM benchmark), k AS (SELECT alert_id, unnest(k) AS keyword FROM a), d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS keyword FROM documents) SELECT alert_id, doc_id, count(*) AS n FROM k JOIN d USING (keyword) GROUP BY 1, 2",
 )
 def keyword_alerts(spark, sf_dir):
     """Alerts made of the long words of benchmark passages, against all documents."""
     benchmark, docs = tables(spark, sf_dir, "benchmark", "documents")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), " ", -1), lambda w: w.rlike("^[a-z]{6,}$")))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " ", -1), lambda w: w.rlike("^[a-z]{6,}$")))
     wanted = benchmark.select(F.col("item_id").alias("alert_id"), F.explode(words).alias("keyword"))
     found = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("keyword")).join(wanted, "keyword")
     return found.groupBy("alert_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("first_keyword_alerts")
+@query(
+    "first_keyword_alerts",
+    "WITH a AS (SELECT item_id AS alert_id, [x FOR x IN string_split(lower(text), ' ') IF regexp_full_match(x, '[a-z]{6,}')] AS k FROM benchmark), k AS (SELECT alert_id, unnest(k) AS keyword, unnest(range(len(k))) AS place FROM a), f AS (SELECT alert_id, keyword, min(place) AS place FROM k GROUP BY 1, 2), d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS keyword FROM documents) SELECT alert_id, doc_id, arg_min(keyword, place) AS keyword FROM f JOIN d USING (keyword) GROUP BY 1, 2",
+)
 def first_keyword_alerts(spark, sf_dir):
     benchmark, docs = tables(spark, sf_dir, "benchmark", "documents")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), " ", -1), lambda w: w.rlike("^[a-z]{6,}$")))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " ", -1), lambda w: w.rlike("^[a-z]{6,}$")))
     alerts = benchmark.select(F.col("item_id").alias("alert_id"), words.alias("keywords"))
     return search.keyword_alerts(alerts, docs, "doc_id", "text")
 
@@ -223,11 +226,10 @@ def flat_text_split(spark, sf_dir):
     return numbered.select("doc_id", F.explode(documents.split_agenda("text")).alias("i")).select("doc_id", "i.number", "i.title")
 
 
-@query("text_scalars", "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'), '[^A-Za-z0-9 ]', '', 'g'))) AS key, sha256(substr(text, 1, 80)) AS sha, split_part(source, 'c', 2) AS part FROM documents")
+@query("text_scalars", "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[^A-Za-z0-9 ]', '', 'g'))) AS key, sha256(text) AS sha, split_part(source, 'c', 2) AS part FROM documents")
 def text_scalars(spark, sf_dir):
-    head = F.substring("text", 1, 80)
-    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(head, r"\s+", " "), "[^A-Za-z0-9 ]", "")))
-    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.sha2(head, 256).alias("sha"), F.split_part("source", F.lit("c"), F.lit(2)).alias("part"))
+    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), "[^A-Za-z0-9 ]", "")))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.sha2("text", 256).alias("sha"), F.split_part("source", F.lit("c"), F.lit(2)).alias("part"))
 
 
 @query("vote_values", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'not_voting' END AS vote FROM orders")
@@ -245,6 +247,6 @@ def people_names(spark, sf_dir):
 
 @query("compact_text")
 def compact_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 1 = 0")
+    docs = table(spark, sf_dir, "documents")
     small = docs.select("doc_id", F.length("text").alias("before"), text.dictionary_encode(text.compact_runs("text")).alias("t"))
     return small.select("doc_id", "before", F.length("t").alias("after"))

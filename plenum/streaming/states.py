@@ -91,23 +91,35 @@ def leases(heartbeats: DataFrame, minutes: int, most: int = 3) -> DataFrame:
     return timed.groupBy("job").applyInPandasWithState(step, "job string, failures int, status string", "failures int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def merge_batches(stream: DataFrame, path: str, key: str, generation: str, checkpoint: str):
-    """Keep the newest row of each key under ``path``: each micro-batch is compacted, merged and written as a new version.
+def merge_batches(stream: DataFrame, path: str, key: str, generation: str, checkpoint: str, buckets: int = 64):
+    """Keep the newest row of each key under ``path``, in buckets of the key's hash.
 
-    Versions are named by batch id, so a batch that is run again writes the same
-    place; readers take the highest complete one.
+    A micro-batch is merged into the buckets that it touches only, each written as
+    a new version; the others stay. Versions are named by batch id, so a batch that
+    is run again writes the same place. :func:`merged` reads the newest of each bucket.
     """
     from plenum.operators.incremental import compact
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = latest_version(spark, path, batch_id)
-        rows = batch if before is None else batch.unionByName(spark.read.schema(batch.schema).parquet(before))
-        compact(rows, key, generation).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        for n in touched:
+            before = latest_version(spark, f"{path}/bucket={n}", batch_id)
+            mine = rows.where(F.col("bucket") == n).select(*batch.columns)
+            every = mine if before is None else mine.unionByName(spark.read.schema(batch.schema).parquet(before))
+            compact(every, key, generation).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/bucket={n}/version={batch_id:012d}")
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def merged(spark, path: str, schema, buckets: int = 64) -> DataFrame:
+    """The newest complete version of every bucket that :func:`merge_batches` wrote."""
+    found = [v for n in range(buckets) if (v := latest_version(spark, f"{path}/bucket={n}"))]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def latest_version(spark, path: str, before: int | None = None) -> str | None:
     """Newest complete version folder (with its success marker) under ``path``, earlier than ``before`` if given."""
     jvm = spark._jvm

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plenum.operators import incremental, keyed, merge, minutes, rosters, search
+from plenum.operators import incremental, keyed, merge, minutes, opinions, rosters, search
 from plenum.plans.facade import Records
 from plenum.sources import blobs, connectors, readonly
 from plenum.streaming import states
@@ -177,5 +177,24 @@ def test_streamed_merge_keeps_the_newest(spark, tmp_path):
     stream = stream_of(spark, tmp_path / "s", [[("a", 1, "x"), ("b", 1, "x")], [("a", 2, "y")], [("a", 1, "late")]], shape)
     query = states.merge_batches(stream, f"{tmp_path}/out", "key", "gen", f"{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    final = spark.read.schema(shape).parquet(states.latest_version(spark, f"{tmp_path}/out"))
+    final = states.merged(spark, f"{tmp_path}/out", shape)
     assert rows(final, "key", "gen", "v") == [("a", 2, "y"), ("b", 1, "x")]
+    touched = {p.name: sum(v.is_dir() for v in p.iterdir()) for p in (tmp_path / "out").iterdir()}
+    assert sorted(touched.values()) == [1, 3]  # the bucket of b was written once
+    assert states.merged(spark, f"{tmp_path}/none", shape).count() == 0
+
+
+def test_consensus_without_the_full_matrix(spark):
+    votes = [(u, c, v) for u, c, v in [(1, 1, 1), (2, 1, 1), (3, 1, -1), (1, 2, 1), (4, 2, 1), (2, 3, -1), (5, 3, -1), (5, 4, 0)]]
+    frame = spark.createDataFrame(votes, "user_id long, comment_id long, vote long")
+    labels = spark.createDataFrame([(u, u % 2) for u in range(1, 7)], "user_id long, cluster long")
+    full = opinions.imputed(frame).join(labels, "user_id").groupBy("cluster", "comment_id").agg(F.count_if("value = 1").alias("agree"), F.count_if("value = -1").alias("disagree"), F.count("value").alias("seen"))
+    columns = ["cluster", "comment_id", "agree", "disagree", "seen"]
+    assert rows(opinions.consensus(frame, labels)[0], *columns) == rows(full, *columns)
+
+
+def test_phrase_alerts_inside_words_and_across_them(spark):
+    alerts = spark.createDataFrame([(1, ["zoning map", "map"]), (2, ["new zoning map"]), (3, ["ning"]), (4, ["", "Zoning"])], "alert_id long, keywords array<string>")
+    items = spark.createDataFrame([(1, "rezoning maps"), (2, "a new zoning mapping"), (3, "nothing here")], "item long, text string")
+    got = rows(search.phrase_alerts(alerts, items, "item", "text"), "alert_id", "item", "keyword")
+    assert got == [(1, 1, "zoning map"), (1, 2, "zoning map"), (2, 2, "new zoning map"), (3, 1, "ning"), (3, 2, "ning")]
