@@ -105,16 +105,28 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 
 def increasing(anchors: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Longest subsequence whose offsets increase: anchors that stand in the items' order."""
-    ends: list[int] = []  # smallest last offset of an increasing run of each length
-    last: list[int] = []  # where that run ends
+    """Longest subsequence whose offsets increase: anchors that stand in the items' order; among equals the earliest.
+
+    The longest run before an offset is a maximum over smaller offsets, kept in a
+    tree of prefix maxima, so the work grows with n log n.
+    """
+    ranks = sorted({offset for offset, _ in anchors})
+    tree = [(0, 1)] * (len(ranks) + 1)  # (length, minus the anchor's place); a place of -1 for none
     before: list[int] = []
+    best = (0, 1)
     for i, (offset, _) in enumerate(anchors):
-        n = bisect_left(ends, offset)
-        before.append(last[n - 1] if n else -1)
-        ends[n : n + 1], last[n : n + 1] = [offset], [i]
-    at = last[-1] if last else -1
-    out = []
+        at = bisect_left(ranks, offset)
+        longest, node = (0, 1), at
+        while node > 0:
+            longest = max(longest, tree[node])
+            node -= node & -node
+        before.append(-longest[1])
+        mine, node = (longest[0] + 1, -i), at + 1
+        while node < len(tree):
+            tree[node] = max(tree[node], mine)
+            node += node & -node
+        best = max(best, mine)
+    out, at = [], -best[1]
     while at >= 0:
         out.append(anchors[at])
         at = before[at]

@@ -188,7 +188,7 @@ def test_consensus_without_the_full_matrix(spark):
     votes = [(u, c, v) for u, c, v in [(1, 1, 1), (2, 1, 1), (3, 1, -1), (1, 2, 1), (4, 2, 1), (2, 3, -1), (5, 3, -1), (5, 4, 0)]]
     frame = spark.createDataFrame(votes, "user_id long, comment_id long, vote long")
     labels = spark.createDataFrame([(u, u % 2) for u in range(1, 7)], "user_id long, cluster long")
-    full = opinions.imputed(frame).join(labels, "user_id").groupBy("cluster", "comment_id").agg(F.count_if("value = 1").alias("agree"), F.count_if("value = -1").alias("disagree"), F.count("value").alias("seen"))
+    full = opinions.imputed(frame).join(labels, "user_id").groupBy("cluster", "comment_id").agg(F.count_if(F.col("value") == 1).alias("agree"), F.count_if(F.col("value") == -1).alias("disagree"), F.count("value").alias("seen"))
     columns = ["cluster", "comment_id", "agree", "disagree", "seen"]
     assert rows(opinions.consensus(frame, labels)[0], *columns) == rows(full, *columns)
 
