@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +67,13 @@ def drop_shuffles(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files of plans that nothing refers to any more.
 
     Its cleaner follows the driver's garbage collection, which on a driver with
-    memory to spare comes too late for steps that each shuffle the corpus.
+    memory to spare comes too late for steps that each shuffle the corpus. The
+    plan of the step before is let go by the first collection, its shuffles by the second.
     """
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
