@@ -71,7 +71,7 @@ def token_lengths(texts: list[str], path: str) -> list[int]:
         for part in parts(text) if safe else [text]:
             batch.append(part)
             owner.append(i)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
             if size >= BATCH_BYTES:
                 flush()
     if batch:
