@@ -212,3 +212,30 @@ def outline_levels(outline: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("page", "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = lambda n: F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(w)
     return outline.withColumn("section", at(1)).withColumn("item", at(2))
+
+
+# What makes a text a table, and marks a redline.
+TABLE_LINES, WIDE_SHARE, NUMBER_SHARE, REPEATING_LINES = 200, 0.20, 0.45, 20
+STRUCK_SPANS = 3
+
+
+def fixed_width_table(text: Column) -> Column:
+    """True for report output in columns: many lines with two wide gaps, many of mostly digits, or some that repeat the same few words.
+
+    Whole texts are looked at; those of fewer than ``TABLE_LINES`` lines are never tables.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]", -1), lambda x: F.trim(x) != "")
+    gaps = lambda x: F.regexp_count(x, F.lit(r"[ \t]{2,}")) >= 2
+    digits = lambda x: F.regexp_count(x, F.lit("[0-9]"))
+    numeric = lambda x: (digits(x) >= 4) & (digits(x) >= 0.20 * F.length(F.trim(x)))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"(\S+)"))
+    repeating = lambda x: (F.size(words(x)) >= 8) & (2 * F.size(F.array_distinct(words(x))) <= F.size(words(x)))
+    total = F.size(lines)
+    count = lambda test: F.size(F.filter(lines, test))
+    shaped = (count(gaps) >= WIDE_SHARE * total) | (count(numeric) >= NUMBER_SHARE * total) | (count(repeating) >= REPEATING_LINES)
+    return (total >= TABLE_LINES) & shaped
+
+
+def redline_counts(struck: Column, underlined: Column) -> Column:
+    """True if so many struck and underlined spans mark a redline: three struck ones, or one of each."""
+    return (struck >= STRUCK_SPANS) | (F.least(struck, underlined) >= 1)

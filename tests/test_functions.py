@@ -265,3 +265,15 @@ def test_sinks(spark, tmp_path):
     for minute, times in ((0, 1), (30, 1), (90, 2)):
         stored = sinks.snapshot(spark, f"{tmp_path}/s", compute, datetime.datetime(2025, 1, 1, 0, 0) + datetime.timedelta(minutes=minute))
         assert stored.count() == 1 and len(calls) == times
+
+
+def test_table_shapes_and_redlines(spark):
+    from plenum.operators import documents
+
+    prose = "\n".join(f"Line {i} of an ordinary report that has words and few numbers in it" for i in range(300))
+    columns = "\n".join(f"Precinct {i}   {i * 7}   {i * 3}" for i in range(250))
+    numbers = "\n".join(f"{i}00 {i}50 x" for i in range(1000, 1250))
+    repeats = prose + "\n" + "\n".join(["yes no yes no yes no yes no"] * 25)
+    got = [one(spark, documents.fixed_width_table(s(x))) for x in (prose, columns, numbers, repeats, "\n".join(columns.split("\n")[:150]), "", None)]
+    assert got == [False, True, True, True, False, False, False]
+    assert [one(spark, documents.redline_counts(F.lit(a), F.lit(b))) for a, b in ((3, 0), (1, 1), (2, 0), (0, 9), (0, 0))] == [True, True, False, False, False]
