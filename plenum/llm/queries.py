@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import additive_search, decision_list, html_text, line_dedup, mixing, packing, repeats, simhash, token_counts, warc
+from plenum.llm import additive_search, decision_list, html_text, line_dedup, mixing, packing, prefix_trie, repeats, shingle_join, simhash, target_sampling, token_counts, warc
 from plenum.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.op4(documents, labels)
 
 
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return target_sampling.op12(documents, benchmark)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": over("documents", simhash.op1),
@@ -33,6 +38,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": over("pages", warc.op8),
         "op9_line_dedup": over("documents", line_dedup.op9),
         "op10_packing": over("documents", packing.op10),
+        "op11_prefix_trie": over("conversations", prefix_trie.op11),
+        "op12_target_sampling": target_resampling,
+        "op13_shingle_join": over("documents", shingle_join.op13),
     }
 
 
