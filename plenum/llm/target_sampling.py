@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from plenum.llm.storage import cut, written
 
 BUCKETS = 10_000
-BLOCK_BYTES = 1 << 20  # of text that one block of the matrix covers, or one text if that is longer
+BLOCK_ENTRIES = 1 << 12  # from which a block of the matrix ends: it has so many and one document's entries at most, so that tasks read small rows
 PIECE = 1 << 18  # words of a long text that are counted at a time
 LEAST_WORDS = 20  # of a document that may be drawn
 PERCENT = 25
 BAND = 8  # scores that are ranked together; see ranked()
-BLOCK = "doc_id array<long>, n_words array<long>, indptr array<long>, indices array<int>, counts array<long>"
+BLOCK = "doc_id array<long>, n_words array<long>, indptr array<long>, indices binary, counts binary"
 
 NOT_WORD = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -67,8 +67,8 @@ def csr_blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 text = text.as_py()
                 ids.append(doc.as_py())
                 rows.append(bucket_counts(text, buckets))
-                size += len(text or "") + 64
-                if size >= BLOCK_BYTES:
+                size += len(rows[-1][1]) + 1
+                if size >= BLOCK_ENTRIES:
                     yield block(ids, rows)
                     ids, rows, size = [], [], 0
         if ids:
@@ -78,15 +78,16 @@ def csr_blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         n_words, indices, counts = zip(*rows)
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         indptr = np.cumsum([0, *map(len, indices)])
-        columns = [one(ids, pa.int64()), one(n_words, pa.int64()), one(indptr, pa.int64()), one(np.concatenate(indices), pa.int32()), one(np.concatenate(counts), pa.int64())]
+        columns = [one(ids, pa.int64()), one(n_words, pa.int64()), one(indptr, pa.int64()), *(pa.array([np.concatenate(x).astype("<i4").tobytes()], pa.binary()) for x in (indices, counts))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "indptr", "indices", "counts"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, BLOCK)
 
 
-def values(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+def entries(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """Buckets or counts of each block of a batch."""
+    return [np.frombuffer(x.as_py(), "<i4") for x in batch.column(name)]
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -95,8 +96,8 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                sums += np.bincount(values(batch, "indices", i), values(batch, "counts", i), buckets).astype(np.int64)
+            for indices, counts in zip(entries(batch, "indices"), entries(batch, "counts")):
+                sums += np.bincount(indices, counts, buckets).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["bucket", "n"])
 
     total = np.zeros(buckets, np.int64)
@@ -118,14 +119,18 @@ def weighed(blocks: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                indptr, indices, counts = (values(batch, c, i) for c in ("indptr", "indices", "counts"))
-                sums = np.concatenate(([0], np.cumsum(counts * gains[indices])))
-                features = np.concatenate(([0], np.cumsum(counts)))
-                sums, features = sums[indptr[1:]] - sums[indptr[:-1]], features[indptr[1:]] - features[indptr[:-1]]
-                weight = np.where(features > 0, sums // np.maximum(features, 1), 0)
-                columns = [batch.column("doc_id")[i].values, batch.column("n_words")[i].values, pa.array(features), pa.array(weight)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight"])
+            if not batch.num_rows:
+                continue
+            parts = []
+            for indptr, indices, counts in zip(batch.column("indptr"), entries(batch, "indices"), entries(batch, "counts")):
+                ends = indptr.values.to_numpy()
+                sums = np.concatenate(([0], np.cumsum(counts * gains[indices])))[ends]
+                features = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[ends]
+                parts.append((np.diff(sums), np.diff(features)))
+            sums, features = (np.concatenate(x) for x in zip(*parts))
+            weight = np.where(features > 0, sums // np.maximum(features, 1), 0)
+            columns = [batch.column("doc_id").flatten(), batch.column("n_words").flatten(), pa.array(features), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
