@@ -151,6 +151,8 @@ MEETING_SKIP = [r"\bmock\b", r"\btest\b", r"\bdemo\b", r"\btraining\b", r"\bprac
 MATTER_TYPES_SKIP = ["Minutes (Min)", "Introduction & Referral Calendar (IRC)", "Information Item (Inf)", "Information Item", "Information Only", "Minutes", "Min", "IRC", "Referral Calendar"]
 # Kinds of titles that are no titles, tried in this order.
 GARBAGE_TITLES = [
+    ("filename", r"(?i)\.(pdf|docx?|pptx?|xlsx?)\s*$"),
+    ("cover_page", r"(?i)^[-–\s]*cover\s*page\s*$"),
     ("generic_label", r"(?i)^[-–\s]*(agenda|attachment|staff\s*report|item|memo(randum)?|exhibit)\s*$"),
     ("numeric_or_date", r"^[\d\s.,()$/:–-]+$"),
     ("register_code", r"(?i)^[A-Z]\d{5,}\s+\d+$"),

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.functions import identity, rules, text
-from plenum.operators import documents, search
+from plenum.operators import documents, search, textindex
 from plenum.plans.base import query
+from plenum.sources.commits import shared_folder
 from plenum.sources.tables import table, tables
 
 # Titles of our own, dealt to events by id: the driver tables hold no agenda.
 TITLES = [
     "Roll Call and Invocation", "Approval of the Minutes", "Ordinance 2025-11 amending the zoning map for parcel 7", "Proclamation for Arbor Day",
     "Proclamations of a local emergency", "Appointment to the Library Board", "Liquor license for 12 Main Street", "Resolution to purchase a fire engine",
-    "Adjournment", "Telecommunications franchise agreement", "Communications", "Recession outlook report", "Staff report", "12/31/2024", "R12345 7", "OK",
+    "Adjournment", "Telecommunications franchise agreement", "Communications", "Recession outlook report", "Staff report", "12/31/2024", "R12345 7", "OK", "Staff Report.pdf", "- Cover Page", "Budget memo.DOCX ", "Cover page of the annual plan",
     "FIRST READING: Ordinance adopting the consolidated fee schedule for 2026", "Parcel list and tax parcel map", "Draft EIR for the harbour tunnel", "Notice of Public Hearing",
 ]
 
@@ -53,7 +54,14 @@ def attachment_filter(spark, sf_dir):
 
 @query(
     "garbage_classifier",
-    f"SELECT event_id, CASE {' '.join(f'WHEN regexp_matches(trim(title), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{label}{chr(39)}' for label, p in rules.GARBAGE_TITLES)} END AS label FROM ({TITLE_SQL})",
+    f"""SELECT event_id, CASE
+      WHEN regexp_matches(lower(trim(title)), '[.](pdf|doc|docx|ppt|pptx|xls|xlsx)$') THEN 'filename'
+      WHEN ltrim(lower(trim(title)), '-– ') IN ('cover page', 'coverpage') THEN 'cover_page'
+      WHEN ltrim(lower(trim(title)), '-– ') IN ('agenda', 'attachment', 'staff report', 'staffreport', 'item', 'memo', 'memorandum', 'exhibit') THEN 'generic_label'
+      WHEN translate(trim(title), '0123456789 .,()$/:–-', '') = '' AND trim(title) <> '' THEN 'numeric_or_date'
+      WHEN regexp_full_match(upper(trim(title)), '[A-Z][0-9]{{5,}} +[0-9]+') THEN 'register_code'
+      WHEN length(trim(title)) <= 2 THEN 'empty_or_tiny' END AS label
+    FROM ({TITLE_SQL})""",
 )
 def garbage_classifier(spark, sf_dir):
     return titled(table(spark, sf_dir, "events")).select("event_id", rules.garbage_title(F.col("title")).alias("label"))
@@ -128,13 +136,52 @@ def fulltext_match(spark, sf_dir):
     return docs.where(hit).select("doc_id", "source")
 
 
-@query("fulltext_ranked")
+def stem_sql(word: str) -> str:
+    """The light stemmer of :mod:`plenum.operators.search` in SQL: the first suffix that leaves three characters goes."""
+    tests = [f"WHEN {word} LIKE '%{s}' AND length({word}) >= {len(s) + 3}{f' AND {word} NOT LIKE {chr(39)}%ss{chr(39)}' if s == 's' else ''} THEN left({word}, length({word}) - {len(s)}) || '{put}'" for s, put in search.SUFFIXES]
+    return f"CASE {' '.join(tests)} ELSE {word} END"
+
+
+def ranked_sql(query_text: str, limit: int) -> str:
+    wanted = textindex.stems(query_text)
+    names = ", ".join(f"'{t}'" for t in wanted)
+    stops = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+    last = [f"max(CASE WHEN term = '{t}' THEN pos END) OVER so_far" for t in wanted]
+    start = f"least({', '.join(last)})" if len(last) > 1 else last[0]
+    whole = " AND ".join(f"{x} IS NOT NULL" for x in last)
+    return f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+    p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+    t AS (SELECT doc_id, n, pos, {stem_sql("word")} AS term FROM p WHERE word NOT IN ({stops})),
+    s AS (SELECT doc_id, n, pos, CASE WHEN {whole} THEN {start} END AS start FROM t WHERE term IN ({names})
+      WINDOW so_far AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    c AS (SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM s)
+    SELECT doc_id, round(sum({len(wanted)} / (pos - start + 1)) / (1 + ln(any_value(n))), 6) AS score FROM c
+    WHERE start IS NOT NULL AND (before IS NULL OR start > before) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {limit}"""
+
+
+def document_index(spark, docs) -> textindex.TextIndex:
+    """All documents in a stored index, in two segments: a later one replaces documents of the first."""
+    index = textindex.TextIndex(spark, shared_folder(spark, "text-index"))
+    index.add(docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, "an older version").otherwise(F.col("text"))), "doc_id", "text")
+    index.add(docs.where("doc_id % 5 = 0"), "doc_id", "text")
+    return index
+
+
+@query("fulltext_ranked", ranked_sql("thin of the tion", 50))
 def fulltext_ranked(spark, sf_dir):
-    """Stemmed search over a token table, ranked, with marked fragments of the page's rows only."""
+    """The best page of a search of a stored index: every term, ranked by cover density."""
+    docs = table(spark, sf_dir, "documents")
+    page = document_index(spark, docs).ranked("thin of the tion").withColumn("score", F.round("score", 6))
+    return page.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), "score")
+
+
+@query("fulltext_fragments")
+def fulltext_fragments(spark, sf_dir):
+    """The same page with the densest passage of each document, its hits marked."""
     docs = table(spark, sf_dir, "documents")
-    tokens = search.index(docs, "doc_id", "text")
-    ranked = search.match_all(tokens, "doc_id", ["thin", "tion"]).orderBy(F.desc("score"), "doc_id").limit(20)
-    return docs.join(F.broadcast(ranked), "doc_id").select("doc_id", F.round("score", 6).alias("score"), search.headline(["thin", "tion"])("text").alias("fragment"))
+    found = textindex.search(document_index(spark, docs), docs, "doc_id", "text", "thin of the tion", 50)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "fragment")
 
 
 @query("context_snippet")
