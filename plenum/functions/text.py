@@ -239,7 +239,7 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text)
 
 
-TITLES = re.compile(r"(?i)^(?:(?:council\s*(?:member|man|woman|person)|alder(?:man|woman|person)|commissioner|supervisor|trustee|mayor(?:\s+pro\s+tem(?:pore)?)?|vice\s+mayor|president|vice\s+president|chair(?:man|woman|person)?|vice\s+chair|mr|mrs|ms|dr|hon)\b\.?\s*)+")
+TITLES = re.compile(r"(?i)^(?:(?:council(?:l?or|\s*(?:member|man|woman|person))|(?:board|committee|commission)?\s*member|ald|alder(?:man|woman|person)|commissioner|supervisor|trustee|mayor(?:\s+pro\s+tem(?:pore)?)?|vice[\s-]+mayor|president|vice[\s-]+president|chair(?:man|woman|person)?|vice[\s-]+chair(?:man|woman|person)?|mr|mrs|ms|dr|hon)\b\.?\s*)+")
 
 
 def clean_person(name: str | None) -> str | None:
