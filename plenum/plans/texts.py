@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.functions import identity, rules, text
-from plenum.operators import documents, search, textindex
+from plenum.operators import alerts, documents, search, textindex
 from plenum.plans.base import query
 from plenum.sources.commits import shared_folder
 from plenum.sources.tables import table, tables
@@ -129,6 +129,45 @@ def first_keyword_alerts(spark, sf_dir):
     return search.keyword_alerts(alerts, docs, "doc_id", "text")
 
 
+# Alerts are made of runs of four words at every seventh word of the benchmark passages, and of the same without their outer characters.
+PHRASES_SQL = """s AS (SELECT list_sort(list(DISTINCT source)) AS sources FROM documents WHERE source IS NOT NULL),
+    p AS (SELECT item_id AS alert_id, string_split(text, ' ') AS w FROM benchmark),
+    q AS (SELECT alert_id, flatten(list_transform(range(0, len(w) - 3, 7), lambda i: [array_to_string(w[i + 1:i + 4], ' '), array_to_string(w[i + 1:i + 4], ' ')[2:-2]])) AS k FROM p),
+    k AS (SELECT alert_id, unnest(k) AS phrase, unnest(range(len(k))) AS place FROM q),
+    c AS (SELECT alert_id, unnest(list_filter(sources, lambda x: (length(x) + ascii(right(x, 1)) + alert_id) % 3 <> 0)) AS banana FROM (SELECT DISTINCT alert_id FROM q) CROSS JOIN s)"""
+
+
+def dual_track_frames(spark, sf_dir):
+    """Documents as items, each number modulo 211 a matter whose text is that of its first document."""
+    benchmark, docs = tables(spark, sf_dir, "benchmark", "documents")
+    sources = docs.where("source is not null").agg(F.array_sort(F.collect_set("source")).alias("sources"))  # one row
+    w = F.split("text", " ", -1)
+    run = lambda i: F.array_join(F.slice(w, i + 1, 4), " ")
+    starts = F.when(F.size(w) > 3, F.sequence(F.lit(0), F.size(w) - 4, F.lit(7))).otherwise(F.array().cast("array<int>"))
+    keywords = F.flatten(F.transform(starts, lambda i: F.array(run(i), F.substr(run(i), F.lit(2), F.length(run(i)) - 2))))
+    mine = F.filter("sources", lambda x: (F.length(x) + F.ascii(F.right(x, F.lit(1))) + F.col("item_id")) % 3 != 0)
+    alerts = benchmark.crossJoin(F.broadcast(sources)).select(F.col("item_id").alias("alert_id"), mine.alias("cities"), keywords.alias("keywords"), F.lit(True).alias("active"))
+    day = F.lit("2025-01-01").cast("date")
+    items = docs.select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 17).alias("meeting_id"), F.col("source").alias("banana"), day.alias("date"), F.when(F.col("doc_id") % 19 == 0, "Cancelled").alias("status"), F.lit(None).cast("string").alias("title"), F.col("text").alias("summary"))
+    appearances = docs.select((F.col("doc_id") % 211).alias("matter_id"), F.col("doc_id").alias("item_id"), (F.col("doc_id") % 17).alias("meeting_id"), day.alias("date"), F.lit("heard").alias("action"))
+    matters = docs.groupBy((F.col("doc_id") % 211).alias("matter_id")).agg(F.min_by(F.struct("source", "text"), "doc_id").alias("d")).select("matter_id", F.col("d.source").alias("banana"), F.lit(None).cast("string").alias("title"), F.col("d.text").alias("summary"), day.alias("last_seen"))
+    return alerts, items, matters, appearances
+
+
+@query(
+    "dual_track_alerts",
+    f"""WITH {PHRASES_SQL},
+    m AS (SELECT doc_id % 211 AS matter_id, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM documents GROUP BY 1),
+    t AS (SELECT 'keyword' AS match_type, doc_id AS id, doc_id AS item_id, source AS banana, text, CAST(NULL AS INTEGER) AS n_steps FROM documents WHERE doc_id % 19 <> 0
+      UNION ALL SELECT 'matter', matter_id, last, source, text, CAST(n AS INTEGER) FROM m JOIN documents ON doc_id = first)
+    SELECT alert_id, match_type, id, arg_min(phrase, place) AS keyword, any_value(item_id) AS item_id, any_value(item_id) % 17 AS meeting_id, any_value(n_steps) AS n_steps
+    FROM t JOIN c USING (banana) JOIN k USING (alert_id) WHERE phrase <> '' AND contains(text, phrase) GROUP BY alert_id, match_type, id""",
+)
+def dual_track_alerts(spark, sf_dir):
+    """Alerts on items and on matters at once, whole texts against all phrases."""
+    return alerts.match_both(*dual_track_frames(spark, sf_dir), since=F.lit("2024-12-31").cast("date"))
+
+
 @query("fulltext_match", "SELECT doc_id, source FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['ing', 'of', 'the']) OR source ILIKE '%src1_%'".replace("['ing', 'of', 'the']", "['ing', 'thin']"))
 def fulltext_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
