@@ -1,8 +1,9 @@
 """A stored full-text index: positions of stemmed words on disk, searched by term.
 
 Layout under the index's folder: ``log`` (a :class:`CommitLog` of segments), and for each
-segment ``postings`` (``term``, ``id``, ``positions``; partitioned by ``bucket``, a hash of the term, and
-sorted by term) and ``docs`` (``id``, ``n_terms``). A search reads the buckets of its
+segment ``postings`` (blocks of a ``term``'s ``ids``, with the ``sizes`` of the documents and the
+``places`` of the term in each; partitioned by ``bucket``, a hash of the term, and
+sorted by term) and ``docs`` (``id``, ``gone``). A search reads the buckets of its
 terms only, and of those the row groups that may hold them.
 """
 
@@ -10,16 +11,19 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plenum.operators.search import STOP_WORDS, SUFFIXES, query_terms, stem
+from plenum.operators.search import STOP_WORDS, SUFFIXES, query_terms
 from plenum.sources.commits import CommitLog
 
 BUCKETS = 64
-WORD = r"([\p{L}\p{N}]+)"
+BLOCK_WORDS = 1 << 20  # words of text that a task groups by term at a time
 
 
 def stem_of(word: str) -> str:
@@ -40,11 +44,58 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(docs: DataFrame, id_column: str, *texts: str) -> DataFrame:
-    """``id``, ``term`` and ascending ``positions``. Stop words hold a place but are no terms."""
-    words = F.posexplode(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(WORD))).alias("pos", "word")
-    rows = docs.select(F.col(id_column).alias("id"), words).where(~F.col("word").isin(STOP_WORDS))
-    return rows.select("id", stem(F.col("word")).alias("term"), "pos").groupBy("id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def posting_blocks(docs: DataFrame, id_column: str, *texts: str) -> DataFrame:
+    """Postings of ``docs``: ``term``, ``ids``, ``sizes`` (words of each document) and ``places`` (of the term in it, ascending).
+
+    A term has a block for each ``BLOCK_WORDS`` words of text that a task reads, so postings are
+    grouped before they are shuffled. Stop words hold a place but are no terms.
+    """
+    stops = frozenset(STOP_WORDS)
+    rows = docs.select(F.col(id_column).alias("id"), F.concat_ws(" ", *texts).alias("text"))
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem_cache: dict[str, str | None] = {}
+        held: dict[str, tuple[list, list, list]] = {}
+        words = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = re.findall(r"[^\W_]+", (text or "").lower())
+                spots: dict[str, list[int]] = {}
+                for place, word in enumerate(tokens):
+                    term = stem_cache.get(word, "")
+                    if term == "":
+                        if len(stem_cache) > 1 << 18:
+                            stem_cache.clear()
+                        term = stem_cache[word] = None if word in stops else stem_of(word)
+                    if term is not None:
+                        spots.setdefault(term, []).append(place)
+                for term, places in spots.items():
+                    ids, sizes, listed = held.setdefault(term, ([], [], []))
+                    ids.append(name)
+                    sizes.append(len(tokens))
+                    listed.append(places)
+                words += len(tokens)
+                if words >= BLOCK_WORDS:
+                    yield from blocks(held)
+                    held, words = {}, 0
+        yield from blocks(held)
+
+    def blocks(held: dict[str, tuple[list, list, list]]) -> Iterator[pa.RecordBatch]:
+        terms = list(held)
+        for lo in range(0, len(terms), 4096):
+            some = terms[lo : lo + 4096]
+            ids, sizes, places = ([held[t][i] for t in some] for i in range(3))
+            columns = [pa.array(some, pa.string()), pa.array(ids, pa.list_(id_type)), pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "sizes", "places"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"term string, ids array<{kind}>, sizes array<int>, places array<array<int>>").withColumn("bucket", bucket_of(F.col("term")))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Blocks by bucket, sorted by term in each file; Spark splits a bucket that a very common term makes large."""
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 class TextIndex:
@@ -61,17 +112,14 @@ class TextIndex:
         segment once it is whole; writers at the same time get segments one after another.
         """
         name = f"segment-{uuid.uuid4().hex}"
-        found = postings(docs, id_column, *texts).withColumn("bucket", bucket_of(F.col("term")))
-        sorted_ = found.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-        sorted_.write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
-        size = F.size(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(WORD)))
-        docs.select(F.col(id_column).alias("id"), size.cast("long").alias("n_terms")).write.parquet(f"{self.path}/{name}/docs")
+        write_blocks(posting_blocks(docs, id_column, *texts), f"{self.path}/{name}/postings")
+        docs.select(F.col(id_column).alias("id"), F.lit(False).alias("gone")).write.parquet(f"{self.path}/{name}/docs")
         self.log.transact(lambda _: {"add": name})
 
     def remove(self, ids: DataFrame, id_column: str) -> None:
         """Take documents out: a segment that has their ids and no text."""
         name = f"segment-{uuid.uuid4().hex}"
-        ids.select(F.col(id_column).alias("id"), F.lit(None).cast("long").alias("n_terms")).distinct().write.parquet(f"{self.path}/{name}/docs")
+        ids.select(F.col(id_column).alias("id"), F.lit(True).alias("gone")).distinct().write.parquet(f"{self.path}/{name}/docs")
         self.log.transact(lambda _: {"remove": name})
 
     def compact(self) -> None:
@@ -80,10 +128,17 @@ class TextIndex:
         if not entries:
             return
         name = f"segment-{uuid.uuid4().hex}"
-        live = self._live(self._segments(entries))
-        rows = self._read(self._segments(entries), None).join(live, ["id", "segment"], "left_semi").drop("segment")
-        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
-        live.select("id", "n_terms").write.parquet(f"{self.path}/{name}/docs")
+        segments = self._segments(entries)
+        live = self._live(segments)
+        docs = live.count()
+        rows = self._read(segments, None).join(live, ["id", "segment"], "left_semi")
+        # Blocks of some 4,096 documents, however common a term is.
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, docs // 4096)))
+        listed = F.array_sort(F.collect_list(F.struct("id", "n_terms", "positions")))
+        blocks = rows.groupBy("bucket", "term", block.alias("block")).agg(listed.alias("x"))
+        blocks = blocks.select("bucket", "term", F.col("x.id").alias("ids"), F.col("x.n_terms").alias("sizes"), F.col("x.positions").alias("places"))
+        write_blocks(blocks, f"{self.path}/{name}/postings")
+        live.select("id", F.lit(False).alias("gone")).write.parquet(f"{self.path}/{name}/docs")
         self.log.transact(lambda now: {"compact": name} if len(now) == len(entries) else None)
 
     def _segments(self, entries: list[dict]) -> list[tuple[str, bool]]:
@@ -95,18 +150,16 @@ class TextIndex:
         return out
 
     def _live(self, segments: list[tuple[str, bool]]) -> DataFrame:
-        """``id``, ``segment`` (its number) and ``n_terms`` of every document's newest version that is not a removal."""
+        """``id`` and ``segment`` (its number) of every document's newest version that is not a removal."""
         docs = None
         for number, (name, _) in enumerate(segments):
             rows = self.spark.read.parquet(f"{self.path}/{name}/docs").withColumn("segment", F.lit(number))
             docs = rows if docs is None else docs.unionByName(rows)
-        if len(segments) == 1:
-            return docs.where("n_terms is not null")
-        newest = docs.groupBy("id").agg(F.max(F.struct("segment", "n_terms")).alias("at"))
-        return newest.select("id", "at.segment", "at.n_terms").where("n_terms is not null")
+        newest = docs.groupBy("id").agg(F.max("segment").alias("segment"), F.max_by("gone", "segment").alias("gone"))
+        return newest.where("not gone").drop("gone")
 
     def _read(self, segments: list[tuple[str, bool]], terms: list[str] | None) -> DataFrame:
-        """Postings of the segments, of ``terms`` only if given: filters on bucket and term reach the scan."""
+        """``bucket``, ``term``, ``id``, ``n_terms``, ``positions`` and ``segment``, of ``terms`` only if given: filters on bucket and term reach the scan."""
         out = None
         for number, (name, has) in enumerate(segments):
             if not has:
@@ -115,8 +168,9 @@ class TextIndex:
             if terms is not None:
                 buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).collect()]
                 rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-            rows = rows.withColumn("segment", F.lit(number))
-            out = rows if out is None else out.unionByName(rows)
+            each = rows.select("bucket", "term", F.inline(F.arrays_zip("ids", "sizes", "places")))
+            each = each.select("bucket", "term", F.col("ids").alias("id"), F.col("sizes").alias("n_terms"), F.col("places").alias("positions"), F.lit(number).alias("segment"))
+            out = each if out is None else out.unionByName(each)
         return out
 
     def ranked(self, query: str) -> DataFrame:
@@ -126,11 +180,13 @@ class TextIndex:
         if not wanted or not any(has for _, has in segments):
             id_type = dict(self.spark.read.parquet(f"{self.path}/{segments[0][0]}/docs").dtypes)["id"] if segments else "long"
             return self.spark.createDataFrame([], f"id {id_type}, score double")
-        hits = self._read(segments, wanted).select("id", "segment", "term", "positions")
+        hits = self._read(segments, wanted).drop("bucket")
         if len(wanted) > 1:
             full = hits.groupBy("id", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
             hits = hits.join(full.drop("n"), ["id", "segment"], "left_semi")
-        return cover_density(hits.join(self._live(segments), ["id", "segment"]), wanted)
+        if len(segments) > 1:
+            hits = hits.join(self._live(segments), ["id", "segment"], "left_semi")
+        return cover_density(hits, wanted)
 
 
 def cover_density(hits: DataFrame, wanted: list[str]) -> DataFrame:
