@@ -13,17 +13,17 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from plenum.operators.search import STOP_WORDS, SUFFIXES, query_terms
 from plenum.sources.commits import CommitLog
 
 BUCKETS = 64
-BLOCK_WORDS = 1 << 20  # words of text that a task groups by term at a time
+BLOCK_WORDS = 1 << 22  # words of text that a task groups by term at a time
 
 
 def stem_of(word: str) -> str:
@@ -52,41 +52,61 @@ def posting_blocks(docs: DataFrame, id_column: str, *texts: str) -> DataFrame:
     """
     stops = frozenset(STOP_WORDS)
     rows = docs.select(F.col(id_column).alias("id"), F.concat_ws(" ", *texts).alias("text"))
-    id_type = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stem_cache: dict[str, str | None] = {}
-        held: dict[str, tuple[list, list, list]] = {}
+        number_of: dict[str, int] = {}  # of a word's term in ``terms``, -1 for stop words
+        terms: list[str] = []
+        known: dict[str, int] = {}
+        ids: list[pa.Array] = []
+        numbers: list[np.ndarray] = []
+
+        def number(word: str) -> int:
+            found = -1
+            if word not in stops:
+                term = stem_of(word)
+                found = known.setdefault(term, len(terms))
+                if found == len(terms):
+                    terms.append(term)
+            number_of[word] = found
+            return found
+
         words = 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = re.findall(r"[^\W_]+", (text or "").lower())
-                spots: dict[str, list[int]] = {}
-                for place, word in enumerate(tokens):
-                    term = stem_cache.get(word, "")
-                    if term == "":
-                        if len(stem_cache) > 1 << 18:
-                            stem_cache.clear()
-                        term = stem_cache[word] = None if word in stops else stem_of(word)
-                    if term is not None:
-                        spots.setdefault(term, []).append(place)
-                for term, places in spots.items():
-                    ids, sizes, listed = held.setdefault(term, ([], [], []))
-                    ids.append(name)
-                    sizes.append(len(tokens))
-                    listed.append(places)
+            at = 0
+            for i, text in enumerate(batch.column(1)):
+                tokens = re.findall(r"[^\W_]+", (text.as_py() or "").lower())
+                get = number_of.get
+                numbers.append(np.array([n if (n := get(w)) is not None else number(w) for w in tokens], np.int32))
                 words += len(tokens)
                 if words >= BLOCK_WORDS:
-                    yield from blocks(held)
-                    held, words = {}, 0
-        yield from blocks(held)
-
-    def blocks(held: dict[str, tuple[list, list, list]]) -> Iterator[pa.RecordBatch]:
-        terms = list(held)
-        for lo in range(0, len(terms), 4096):
-            some = terms[lo : lo + 4096]
-            ids, sizes, places = ([held[t][i] for t in some] for i in range(3))
-            columns = [pa.array(some, pa.string()), pa.array(ids, pa.list_(id_type)), pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
+                    ids.append(batch.column(0).slice(at, i + 1 - at))
+                    yield from blocks(terms, ids, numbers)
+                    number_of.clear(), terms.clear(), known.clear()
+                    ids, numbers, words, at = [], [], 0, i + 1
+            if at < batch.num_rows:
+                ids.append(batch.column(0).slice(at))
+        yield from blocks(terms, ids, numbers)
+
+    def blocks(terms: list[str], ids: list[pa.Array], numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not terms:
+            return
+        sizes = np.array([len(n) for n in numbers], np.int32)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        term = np.concatenate(numbers)
+        order = np.argsort(term, kind="stable")[np.count_nonzero(term < 0) :]  # by term, then document, then place
+        term, doc, place = term[order], doc[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))  # of each document in a term
+        spots = np.append(first, len(term)).astype(np.int32)
+        docs_of = np.append(np.flatnonzero(np.concatenate(([True], term[first][1:] != term[first][:-1]))), len(first)).astype(np.int32)
+        names, size = pa.concat_arrays(ids), pa.array(sizes)
+        for lo in range(0, len(docs_of) - 1, 4096):
+            edge = docs_of[lo : lo + 4097]
+            inner = doc[first[edge[0] : edge[-1]]]
+            outer = pa.array(edge - edge[0])
+            spot = spots[edge[0] : edge[-1] + 1]
+            listed = pa.ListArray.from_arrays(pa.array(spot - spot[0]), pa.array(place[spot[0] : spot[-1]]))
+            columns = [pa.array([terms[t] for t in term[first[edge[:-1]]]]), *(pa.ListArray.from_arrays(outer, x) for x in (names.take(pa.array(inner)), size.take(pa.array(inner)), listed))]
             yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "sizes", "places"])
 
     kind = rows.schema["id"].dataType.simpleString()
