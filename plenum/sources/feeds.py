@@ -208,13 +208,29 @@ def response_stream(spark: SparkSession, path: str, reader: str | None = None, m
 # Parsers ---------------------------------------------------------------------
 
 KEY = ["vendor", "city", "fetched_at", "file", "line"]  # where a record came from
-START_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "MMMM d, yyyy - h:mm a", "MMMM d, yyyy h:mm a", "MMM d, yyyy - h:mm a", "MMM d, yyyy h:mm a", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy h:mm a", "M/d/yyyy", "M/d/yy"]
+# Shapes of printed times and the formats that read them; a shape is tested first, since a failed parse is slow.
+CLOCK = r" \d{1,2}:\d\d [AaPp][Mm]$"
+START_FORMATS = [
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\p{L}{3} \d{1,2}, \d{4} -" + CLOCK, "MMM d, yyyy - h:mm a"),
+    (r"^\p{L}{3} \d{1,2}, \d{4}" + CLOCK, "MMM d, yyyy h:mm a"),
+    (r"^\p{L}{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\p{L}{4,} \d{1,2}, \d{4} -" + CLOCK, "MMMM d, yyyy - h:mm a"),
+    (r"^\p{L}{4,} \d{1,2}, \d{4}" + CLOCK, "MMMM d, yyyy h:mm a"),
+    (r"^\p{L}{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}" + CLOCK, "M/d/yyyy h:mm a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+]
 
 
 def start_of(text: Column) -> Column:
     """Local time that a platform prints, with or without a zone that is ignored; null if no format fits."""
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s ]+", " "), r"(?<=\d)(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)$", ""))
-    return F.coalesce(*[F.try_to_timestamp(tidy, F.lit(f)) for f in START_FORMATS])
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s\u00A0]+", " "), r"(?<=\d)(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)$", ""))
+    read = F.lit(None).cast("timestamp")
+    for shape, form in reversed(START_FORMATS):
+        read = F.when(tidy.rlike(shape), F.try_to_timestamp(tidy, F.lit(form))).otherwise(read)
+    return read
 
 
 def text_of(value: Column) -> Column:
@@ -440,10 +456,11 @@ def granicus(rows: DataFrame) -> DataFrame:
     without a name takes that of the tab above. A link without a host belongs to the page's.
     """
     found = each(read_or_problem(rows.where("kind = 'listing'"), listing("body")), F.col("value"))
-    cells = [F.get("e.cells", i) for i in (0, 1)]
-    turned = start_of(cells[1]).isNull() & start_of(cells[0]).isNotNull()
-    title = F.when(turned, F.when(F.lower(cells[1]) != "agenda", cells[1])).otherwise(cells[0])
-    start = F.when(turned, start_of(cells[0])).otherwise(start_of(cells[1]))
+    found = found.withColumn("name", F.get("e.cells", 0)).withColumn("when", F.get("e.cells", 1))
+    found = found.withColumn("name_start", start_of(F.col("name"))).withColumn("when_start", start_of(F.col("when")))
+    turned = F.col("when_start").isNull() & F.col("name_start").isNotNull()
+    title = F.when(turned, F.when(F.lower("when") != "agenda", F.col("when"))).otherwise(F.col("name"))
+    start = F.coalesce("when_start", "name_start")
     found = found.withColumn("title", F.coalesce(text_of(title), F.col("e.section"))).withColumn("start", start)
 
     def link(test: Callable[[Column], Column]) -> Column:
