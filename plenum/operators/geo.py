@@ -1,123 +1,11 @@
-"""Polygons without a geometry library: areas, clipping, and an area-ratio join over grid cells.
-
-A polygon is an array of rings; a ring is an array of (x, y) pairs, the first ring the outer one, holes after it.
-"""
+"""Audit of geometry columns. Repair, areas and the spatial join are in :mod:`plenum.operators.shapes`."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ring_area(ring: list) -> float:
-    """Signed area of a closed or open ring."""
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]])) / 2 if len(ring) > 2 else 0.0
-
-
-def area(polygon: list) -> float:
-    """Area of the outer ring less its holes."""
-    return abs(ring_area(polygon[0])) - sum(abs(ring_area(r)) for r in polygon[1:]) if polygon else 0.0
-
-
-def counter_clockwise(ring: list) -> list:
-    return list(ring) if ring_area(ring) >= 0 else list(ring)[::-1]
-
-
-def half_plane(ring: list, a: tuple, b: tuple) -> list:
-    """Part of a ring on the left of the line from a to b."""
-    side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-    out = []
-    for p, q in zip(ring, [*ring[1:], ring[0]]):
-        s, t = side(p), side(q)
-        if s >= 0:
-            out.append(p)
-        if (s > 0 > t) or (s < 0 < t):
-            r = s / (s - t)
-            out.append((p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1])))
-    return out
-
-
-def triangles(ring: list) -> list:
-    """Ear clipping of a simple ring."""
-    points, out = counter_clockwise(ring[:-1] if ring and tuple(ring[0]) == tuple(ring[-1]) else ring), []
-    points = [tuple(p) for p in points]
-    cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
-    while len(points) > 3:
-        for i in range(len(points)):
-            a, b, c = points[i - 1], points[i], points[(i + 1) % len(points)]
-            inside = any(p not in (a, b, c) and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in points)
-            if cross(a, b, c) > 0 and not inside:
-                out.append([a, b, c])
-                del points[i]
-                break
-        else:
-            del points[0]  # a degenerate corner
-    return [*out, points] if len(points) == 3 else out
-
-
-def ring_overlap(a: list, b: list) -> float:
-    total = 0.0
-    for s in triangles(a):
-        for t in triangles(b):
-            piece = s
-            for p, q in zip(t, [*t[1:], t[0]]):
-                piece = half_plane(piece, p, q) if piece else piece
-            total += abs(ring_area(piece))
-    return total
-
-
-def overlap(a: list, b: list) -> float:
-    """Area of the intersection of two polygons: outer rings less what holes take, by inclusion and exclusion."""
-    if not a or not b:
-        return 0.0
-    total = ring_overlap(a[0], b[0])
-    total -= sum(ring_overlap(h, b[0]) for h in a[1:]) + sum(ring_overlap(a[0], h) for h in b[1:])
-    return total + sum(ring_overlap(g, h) for g in a[1:] for h in b[1:])
-
-
-def cells(polygon: list, size: float) -> list[str]:
-    """Grid cells under a polygon's bounding box."""
-    if not polygon:
-        return []
-    xs, ys = [p[0] for p in polygon[0]], [p[1] for p in polygon[0]]
-    span = lambda v: range(math.floor(min(v) / size), math.floor(max(v) / size) + 1)
-    return [f"{i}:{j}" for i in span(xs) for j in span(ys)]
-
-
-POLYGON = "array<array<array<double>>>"
-
-
-def assign_by_area(left: DataFrame, right: DataFrame, fraction: float, size: float) -> DataFrame:
-    """Pairs (``left_id``, ``right_id``, ``shared``) whose shared area is at least ``fraction`` of the smaller polygon.
-
-    Both sides have ``id`` and ``polygon``. Candidates meet in grid cells; a pair
-    is measured once, in Arrow batches.
-    """
-    from pyspark.sql.types import ArrayType, DoubleType, StringType
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cell_of(polygon: pd.Series) -> pd.Series:
-        return polygon.map(lambda p: cells([[tuple(x) for x in r] for r in p], size))
-
-    @F.pandas_udf(DoubleType())
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        plain = lambda p: [[tuple(map(float, x)) for x in r] for r in p]
-        return pd.Series([overlap(plain(p), plain(q)) for p, q in zip(a, b)])
-
-    @F.pandas_udf(DoubleType())
-    def size_of(a: pd.Series) -> pd.Series:
-        return a.map(lambda p: area([[tuple(map(float, x)) for x in r] for r in p]))
-
-    spread = lambda df, name: df.select(F.col("id").alias(name), F.explode(cell_of("polygon")).alias("cell"))
-    pairs = spread(left, "left_id").join(spread(right, "right_id"), "cell").select("left_id", "right_id").distinct()
-    full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("polygon").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("polygon").alias("b")), "right_id")
-    measured = full.select("left_id", "right_id", shared("a", "b").alias("shared"), F.least(size_of("a"), size_of("b")).alias("smaller"))
-    return measured.where((F.col("shared") > 0) & (F.col("shared") >= fraction * F.col("smaller"))).drop("smaller")
-
-
 def geometry_audit(df: DataFrame, geometry: str = "geom", srid: int = 4326) -> DataFrame:
     """Rows, missing geometries, and those that name another reference system (column ``srid``), in one row."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(geometry).isNull()).alias("missing"), F.count_if(F.col(geometry).isNotNull() & ~F.col("srid").eqNullSafe(srid)).alias("wrong_srid"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions import dates, identifiers, identity, rules, text
-from plenum.operators import documents, geo, minutes, series
+from plenum.operators import documents, minutes, series, shapes
 
 
 def one(spark, column, **values):
@@ -174,16 +174,17 @@ def test_documents(spark):
 
 def test_geometry(spark):
     square = lambda x, y, n: [[(x, y), (x + n, y), (x + n, y + n), (x, y + n)]]
-    assert geo.area(square(0, 0, 4)) == 16 and abs(geo.overlap(square(0, 0, 4), square(2, 2, 4)) - 4) < 1e-9
     ell = [[(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]]
-    assert geo.area(ell) == 7 and abs(geo.overlap(ell, square(0, 0, 2)) - 3) < 1e-9 and geo.overlap(ell, square(9, 9, 1)) == 0
     hole = [square(0, 0, 4)[0], square(1, 1, 2)[0]]
-    assert abs(geo.overlap(hole, square(0, 0, 4)) - 12) < 1e-9
     plain = lambda p: [[list(map(float, q)) for q in r] for r in p]
-    shape = f"id string, polygon {geo.POLYGON}"
+    two = [(square(0, 0, 4), square(2, 2, 4), 4), (ell, ell, 7), (ell, square(0, 0, 2), 3), (ell, square(9, 9, 1), None), (hole, square(0, 0, 4), 12)]
+    rows = spark.createDataFrame([(i, plain(p), plain(q)) for i, (p, q, _) in enumerate(two)], f"id int, p {shapes.SHAPE}, q {shapes.SHAPE}")
+    got = {r["id"]: round(r["area"], 6) for r in shapes.covered_area(rows, ["p", "q"]).collect()}
+    assert got == {i: a for i, (_, _, a) in enumerate(two) if a}
+    shape = f"id string, polygon {shapes.SHAPE}"
     left = spark.createDataFrame([("a", plain(square(0, 0, 4))), ("b", plain(square(50, 50, 4)))], shape)
     right = spark.createDataFrame([("z", plain(square(1, 1, 4))), ("y", plain(square(3, 3, 4)))], shape)
-    assert [(r["left_id"], r["right_id"], round(r["shared"], 6)) for r in geo.assign_by_area(left, right, 0.25, 3.0).collect()] == [("a", "z", 9.0)]
+    assert [(r["left_id"], r["right_id"], round(r["shared"], 6)) for r in shapes.assign_by_area(left, right, 0.25, 3.0).collect()] == [("a", "z", 9.0)]
 
 
 MINUTES = """ROLL CALL
