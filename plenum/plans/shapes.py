@@ -9,7 +9,7 @@ from plenum.operators import shapes
 from plenum.plans.base import query
 from plenum.sources.tables import table
 
-FINE = 1e-9  # areas are compared as whole numbers, so corners are kept finer than in practice
+FINE = 1e-9  # doubled areas are compared as whole numbers (whole corners make halves), so corners are kept finer than in practice
 SIDE = 40  # of a zone's square
 
 ODD_AREA = """, ends AS (SELECT * FROM edges),
@@ -40,11 +40,11 @@ def routes(spark, sf_dir) -> DataFrame:
     "WINDOW w AS (PARTITION BY id ORDER BY o_orderkey, px, py ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
     + ODD_AREA
     + ", areas AS (SELECT id, sum((high - low) * tall) AS area FROM steps WHERE one % 2 = 1 GROUP BY id) "
-    "SELECT i.id AS custkey, round(coalesce(area, 0))::BIGINT AS area FROM (SELECT DISTINCT id FROM stops) i LEFT JOIN areas a ON a.id = i.id",
+    "SELECT i.id AS custkey, round(2 * coalesce(area, 0))::BIGINT AS doubled FROM (SELECT DISTINCT id FROM stops) i LEFT JOIN areas a ON a.id = i.id",
 )
 def shape_repair(spark, sf_dir):
-    """Area of each customer's route once it is made valid."""
-    return shapes.repaired(routes(spark, sf_dir), grain=FINE).select(F.col("id").alias("custkey"), F.round(shapes.area(F.col("polygons")), 0).cast("long").alias("area"))
+    """Twice the area of each customer's route once it is made valid."""
+    return shapes.repaired(routes(spark, sf_dir), grain=FINE).select(F.col("id").alias("custkey"), F.round(2 * shapes.area(F.col("polygons")), 0).cast("long").alias("doubled"))
 
 
 def zones(spark, sf_dir) -> DataFrame:
@@ -71,9 +71,9 @@ def lots(spark, sf_dir) -> DataFrame:
     "edges AS (SELECT * FROM corners)"
     + ODD_AREA
     + ", shared AS (SELECT id, sum((high - low) * tall) AS shared FROM steps WHERE one % 2 = 1 AND two % 2 = 1 GROUP BY id) "
-    f"SELECT zone, lot, round(shared)::BIGINT AS shared FROM near JOIN shared ON shared.id = near.id WHERE shared >= 0.25003 * least({SIDE * SIDE // 2}, abs(wide * wide - 35) / 2)",
+    f"SELECT zone, lot, round(2 * shared)::BIGINT AS doubled FROM near JOIN shared ON shared.id = near.id WHERE shared >= 0.25003 * least({SIDE * SIDE // 2}, abs(wide * wide - 35) / 2)",
 )
 def zone_lots(spark, sf_dir):
-    """Lots that share a quarter of the smaller area, or more, with a zone."""
+    """Lots that share a quarter of the smaller area, or more, with a zone, and twice the area shared."""
     found = shapes.assign_by_area(zones(spark, sf_dir), lots(spark, sf_dir), 0.25003, 2.0 * SIDE, FINE)  # no pair lies at this share
-    return found.select(F.col("left_id").alias("zone"), F.col("right_id").alias("lot"), F.round("shared", 0).cast("long").alias("shared"))
+    return found.select(F.col("left_id").alias("zone"), F.col("right_id").alias("lot"), F.round(2 * F.col("shared"), 0).cast("long").alias("doubled"))
