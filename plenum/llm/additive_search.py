@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from plenum.llm.storage import cut
 
-CODEBOOKS = 8
+CODEBOOKS = 8  # at least; one for each 8 dimensions, so that a dimension has a bit whatever the length
 CODEWORDS = 256
 BEAM = 4
 TRAIN_ROWS = 8192  # rows the codebooks are fitted on; every row is encoded
 BLOCK_ROWS = 16384  # vectors scored by one task
 QUERY_ROWS = 16384  # queries held by one task
-RERANK = 640  # candidates of a query and block that are scored exactly: a twenty-fifth of a full block
+RERANK = 640  # candidates of a query and block that are scored exactly at first: a twenty-fifth of a full block
+DEVIATIONS = 3.0  # then every other one whose score may be off by this many deviations and reach the best
+REFIT = 8  # codebooks that are refitted together
 
 
 def kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -67,8 +69,23 @@ def encode(rows: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.nd
     return codes[pick, best], rows - residual[pick, best]
 
 
+def refit(rows: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Codebooks that decode ``codes`` nearest to ``rows``: ridge least squares around ``books``."""
+    codebooks, codewords, _ = books.shape
+    total = codebooks * codewords
+    hit = (codes + np.arange(codebooks)[None, :] * codewords).astype(np.int64)
+    gram, right = np.zeros((total, total)), np.zeros((total, rows.shape[1]))
+    for m in range(codebooks):
+        np.add.at(right, hit[:, m], rows)
+        for other in range(codebooks):
+            np.add.at(gram, (hit[:, m], hit[:, other]), 1.0)
+    start = books.reshape(total, -1).astype(np.float64)
+    change = np.linalg.solve(gram + 0.05 * np.eye(total), right - gram @ start)
+    return (start + change).reshape(books.shape).astype(np.float32)
+
+
 def train(rows: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, seed: int = 7) -> np.ndarray:
-    """Codebooks (codebook, word, dimension): residual k-means, then least-squares refits of all books together."""
+    """Codebooks (codebook, word, dimension): residual k-means, then least-squares refits of ``REFIT`` books together."""
     rng = np.random.default_rng(seed)
     rows = rows.astype(np.float32)
     books = []
@@ -80,18 +97,13 @@ def train(rows: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWOR
         books.append(book)
     books = np.stack(books).astype(np.float32)
     for _ in range(2):
-        codes, _ = encode(rows, books)
-        total = codebooks * codewords
-        hit = (codes + np.arange(codebooks)[None, :] * codewords).astype(np.int64)
-        gram = np.zeros((total, total))
-        right = np.zeros((total, rows.shape[1]))
-        for m in range(codebooks):
-            np.add.at(right, hit[:, m], rows)
-            for other in range(codebooks):
-                np.add.at(gram, (hit[:, m], hit[:, other]), 1.0)
-        gram[np.diag_indices(total)] += 0.05
-        start = books.reshape(total, -1)
-        books = (start + np.linalg.solve(gram, right - (gram - 0.05 * np.eye(total)) @ start)).reshape(books.shape).astype(np.float32)
+        codes, decoded = encode(rows, books)
+        for at in range(0, codebooks, REFIT):
+            part = range(at, min(at + REFIT, codebooks))
+            own = sum(books[m][codes[:, m]] for m in part)
+            fitted = refit(rows - decoded + own, books[part.start : part.stop], codes[:, part.start : part.stop])
+            books[part.start : part.stop] = fitted
+            decoded = decoded - own + sum(books[m][codes[:, m]] for m in part)
     return books
 
 
@@ -154,13 +166,16 @@ def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted:
     encoded. Classes and queries are dealt at random to blocks of bounded size; a
     task scores one block of codes against one block of queries by lookup tables
     (scaled by the stored norm over the decoded norm), reranks the best
-    ``rerank`` classes by the exact double-precision product, and emits ``k`` rows a query.
+    ``rerank`` classes by the exact double-precision product, then all others whose decoded product plus
+    ``DEVIATIONS`` times its error (stored residual norm times the query's over the root of the
+    dimensions) reaches the best ``k`` so far, and emits ``k`` rows a query.
     """
     spark = classes.sparkSession
     kind = classes.schema["embedding"].dataType.simpleString()
     sample = classes.orderBy(F.xxhash64("first"), "first").limit(TRAIN_ROWS).select("embedding").toPandas()
-    books = train(np.stack(sample["embedding"].to_numpy()), codewords=min(CODEWORDS, max(1, len(sample))))
-    shared = spark.sparkContext.broadcast(books)  # CODEBOOKS x CODEWORDS x dimensions floats, whatever the table's size
+    rows = np.stack(sample["embedding"].to_numpy())
+    books = train(rows, max(CODEBOOKS, -(-rows.shape[1] // 8)), min(CODEWORDS, max(1, len(sample))))
+    shared = spark.sparkContext.broadcast(books)  # codebooks x CODEWORDS x dimensions floats, whatever the table's size
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,13 +185,14 @@ def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted:
             codes, decoded = encode(block, shared.value)
             length, met = np.linalg.norm(block, axis=1), np.linalg.norm(decoded, axis=1)
             scale = np.where(met > 0, length / np.where(met > 0, met, 1), 0).astype(np.float32)
+            error = np.linalg.norm(block - decoded, axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)],
-                ["embedding", "ids", "first", "codes", "scale"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)],
+                ["embedding", "ids", "first", "codes", "scale", "error"],
             )
 
     blocks, shelves = -(-total // BLOCK_ROWS), -(-wanted // QUERY_ROWS)
-    coded = classes.select("embedding", "ids", "first").mapInArrow(index, f"embedding {kind}, ids array<long>, first long, codes binary, scale float")
+    coded = classes.select("embedding", "ids", "first").mapInArrow(index, f"embedding {kind}, ids array<long>, first long, codes binary, scale float, error float")
     left = coded.withColumn("block", F.pmod(F.xxhash64("first"), F.lit(blocks))).withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))))
     right = asked.withColumn("shelf", F.pmod(F.xxhash64("vec_id"), F.lit(shelves)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -186,7 +202,7 @@ def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted:
         base = base.sort_values("first", kind="stable")
         vectors = np.stack(base["embedding"].to_numpy())
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
-        scale, ids = base["scale"].to_numpy(np.float32), base["ids"].to_numpy()
+        scale, error, ids = base["scale"].to_numpy(np.float32), base["error"].to_numpy(np.float32), base["ids"].to_numpy()
         wide, word = shared.value, len(shared.value[0])
         names = ask["vec_id"].to_numpy()
         found: list[tuple] = []
@@ -197,9 +213,15 @@ def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted:
             scores = tables[0][codes[:, 0]]
             for m in range(1, len(wide)):
                 scores += tables[m][codes[:, m]]
+            may = scores + error[:, None] * (DEVIATIONS * np.linalg.norm(part, axis=1) / np.sqrt(part.shape[1]))[None, :]
             scores *= scale[:, None]
             for q, columns in enumerate(top(np.ascontiguousarray(scores.T), rerank)):
                 exact = vectors[columns].astype(np.float64) @ whole[q]
+                if k + 1 < len(exact) < len(base):  # one more than k, for the query itself may be among them
+                    more = may[:, q] >= np.partition(exact, -k - 1)[-k - 1]
+                    more[columns] = False
+                    columns = np.concatenate([columns, np.flatnonzero(more)])
+                    exact = vectors[columns].astype(np.float64) @ whole[q]
                 close = np.flatnonzero(exact >= np.partition(exact, -keep)[-keep] - 1e-9 * (1 + np.abs(exact).max())) if (keep := min(k + 1, len(exact))) else np.arange(0)
                 columns = columns[close]
                 exact = np.cumsum(vectors[columns].astype(np.float64) * whole[q], axis=1)[:, -1]  # in order of the components

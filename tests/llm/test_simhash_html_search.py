@@ -224,6 +224,23 @@ def test_search_odd_rows(spark):
     assert [(r["vec_id"], r["rank"], r["score"]) for r in few] == [(1, 1, 0.5)]
 
 
+@pytest.mark.parametrize("length", [48, 160])
+def test_search_recall_on_long_vectors(spark, length):
+    """Gaussian vectors, a fiftieth of which is reranked at first: codebooks follow the length, error bounds bring the rest."""
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((5000, length)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in additive_search.nearest(frame, frame.where("vec_id % 200 = 0"), rerank=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 5000, 200):
+        scores = rows.astype(np.float64) @ rows[q].astype(np.float64)
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 25
+
+
 @pytest.mark.parametrize("spread", [0.0, 1.0])
 def test_search_recall_on_sixteen_thousand_vectors(spark, spread):
     """One full block, so only a twenty-fifth of the classes is reranked; with and without clusters."""
