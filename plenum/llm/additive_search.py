@@ -220,8 +220,8 @@ def nearest_of_length(classes: DataFrame, asked: DataFrame, total: int, wanted:
                 if k + 1 < len(exact) < len(base):  # one more than k, for the query itself may be among them
                     more = may[:, q] >= np.partition(exact, -k - 1)[-k - 1]
                     more[columns] = False
-                    columns = np.concatenate([columns, np.flatnonzero(more)])
-                    exact = vectors[columns].astype(np.float64) @ whole[q]
+                    more = np.flatnonzero(more)
+                    columns, exact = np.concatenate([columns, more]), np.concatenate([exact, vectors[more].astype(np.float64) @ whole[q]])
                 close = np.flatnonzero(exact >= np.partition(exact, -keep)[-keep] - 1e-9 * (1 + np.abs(exact).max())) if (keep := min(k + 1, len(exact))) else np.arange(0)
                 columns = columns[close]
                 exact = np.cumsum(vectors[columns].astype(np.float64) * whole[q], axis=1)[:, -1]  # in order of the components
