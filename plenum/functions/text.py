@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
@@ -274,16 +273,6 @@ def looks_like_name(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^\p{Lu}[\p{L}'’.-]*(?: \p{Lu}?[\p{L}'’.-]+){0,3}$") & ~name.rlike(r"\d"), F.lit(False))
 
 
-def close_matches(names: list[str], n: int = 5, cutoff: float = 0.8):
-    """Fuzzy lookup among a bounded list of known names, best first."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def match(asked: pd.Series) -> pd.Series:
-        return asked.map(lambda x: difflib.get_close_matches((x or "").lower(), names, n=n, cutoff=cutoff))
-
-    return match
-
-
 def run_lengths(line: str, least: int = 4) -> str:
     """Runs of ``least`` or more equal tokens as VALUE*N."""
     out, tokens, i = [], line.split(" "), 0

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import banana_key, city_state, close_matches, context
+from plenum.functions.text import banana_key, city_state, context
 from plenum.operators import search
+from plenum.operators.fuzzy import close_names, name_index
 from plenum.operators.keyed import latest_per_key
 from plenum.plans.scans import clamp_limit
 
@@ -85,10 +86,11 @@ class Records:
         hits = named.join(F.broadcast(key.withColumnRenamed("key", "asked").withColumnRenamed("state", "asked_state")), (F.col("key") == F.col("asked")) | (F.col("asked_state").isNull() & (F.col("bare") == F.col("asked"))))
         return hits.drop("key", "bare", "asked", "asked_state").orderBy(F.col("population").desc_nulls_last(), "banana")
 
-    def close_cities(self, text: str, names: list[str]) -> DataFrame:
-        """Known names close to what was typed; the list of names is the registry's, of a bounded size."""
+    def close_cities(self, text: str, names: list[str] | None = None) -> DataFrame:
+        """Known names close to what was typed, best first: of all jurisdictions, or of a list of names."""
         spark = self.jurisdictions.sparkSession
-        return spark.createDataFrame([(text,)], "t string").select(F.explode(close_matches([n.lower() for n in names])("t")).alias("name"))
+        known = self.jurisdictions if names is None else spark.createDataFrame([(n,) for n in names], "name string")
+        return close_names(spark.createDataFrame([(text,)], "name string"), name_index(known)).orderBy("rank").select("name")
 
     def happening(self, happening: DataFrame, banana: str, now: Column, limit: int | None = None) -> DataFrame:
         rows = happening.where((F.col("banana") == banana) & (F.col("expires_at") > now)).join(self.meetings.select(F.col("id").alias("meeting_id"), "status", "date"), "meeting_id")
