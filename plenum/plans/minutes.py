@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plenum.operators import rollcall
+from plenum.operators import anchoring, rollcall
 from plenum.plans.base import query
 from plenum.sources.tables import tables
 
@@ -58,3 +59,40 @@ def written_minutes(spark, sf_dir):
 def vote_evidence(spark, sf_dir):
     """Minutes are written from the tables and read back: every outcome, tally and vote returns, and what is wrong or double is held back."""
     return rollcall.claims(*written_minutes(spark, sf_dir)).select("meeting_id", "item_id", "claim", "value", "member", "withheld")
+
+
+def minutes_with_decoys(spark, sf_dir):
+    """``meetings`` and ``items``: a meeting for each customer, an item for each order in the order of its key.
+
+    The text first lists all items backwards; the body of an item names the title of the next one before that begins. A
+    quarter of the items each has a file number, a code in the title, an agenda number, and a title that wraps.
+    """
+    (orders,) = tables(spark, sf_dir, "orders")
+    letters = lambda c: F.translate(F.lpad(F.col(c).cast("string"), 7, "0"), "0123456789", "abcdefghij")
+    key, shape = F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.col("o_orderkey") % 4
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    head = F.concat(F.when(shape == 1, F.concat(F.lit("ORD"), key, F.lit(" "))).otherwise(""), F.lit("Purchase of "), letters("o_orderkey"), F.lit(" goods"))
+    tail = F.concat(F.lit("from x"), letters("o_custkey"), F.lit(" under "), F.regexp_replace("o_orderpriority", "[^A-Za-z]", ""), F.lit(" terms"))
+    rows = orders.select(
+        F.col("o_custkey").alias("meeting_id"), F.col("o_orderkey").alias("item_id"), F.row_number().over(order).alias("sequence"),
+        F.when(shape == 0, F.concat(F.lit("RES 95-"), key)).alias("matter_file"), F.when(shape == 2, F.row_number().over(order).cast("string")).alias("agenda_number"),
+        F.concat_ws(" ", head, tail).alias("title"), F.when(shape == 3, F.concat_ws("\n", head, tail)).otherwise(F.concat_ws(" ", head, tail)).alias("printed"),
+    )
+    following = F.lead("title").over(Window.partitionBy("meeting_id").orderBy("sequence"))
+    rows = rows.withColumn("body", F.concat(F.lit("The clerk read it"), F.coalesce(F.concat(F.lit("; it was heard together with "), following), F.lit(""))))
+    listed = F.concat(F.lit("Deferred last week: "), F.col("title"), F.coalesce(F.concat(F.lit(" ("), F.col("matter_file"), F.lit(")")), F.lit("")))
+    begun = F.concat(F.coalesce(F.concat(F.col("matter_file"), F.lit(": ")), F.concat(F.col("agenda_number"), F.lit(". ")), F.lit("")), F.col("printed"), F.lit("\n"), F.col("body"))
+    parts = rows.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("sequence", listed.alias("listed"), begun.alias("begun")))).alias("p"))
+    text = F.concat_ws("\n", F.lit("Minutes of the meeting"), F.array_join(F.reverse(F.transform("p", lambda x: x["listed"])), "\n"), F.array_join(F.transform("p", lambda x: x["begun"]), "\n"))
+    return parts.select("meeting_id", text.alias("text")), rows.select("meeting_id", "item_id", "sequence", "matter_file", "agenda_number", "title")
+
+
+@query(
+    "item_anchors",
+    """SELECT o_custkey AS meeting_id, o_orderkey AS item_id, CASE o_orderkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'code' ELSE 'title' END AS kind,
+        CAST(1 + count(*) OVER (PARTITION BY o_custkey) + coalesce(sum(CASE WHEN o_orderkey % 4 = 3 THEN 3 ELSE 2 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line_no
+    FROM orders""",
+)
+def item_anchors(spark, sf_dir):
+    """Every item is anchored at its own heading, neither where the list names it nor where the item before does."""
+    return anchoring.anchors(*minutes_with_decoys(spark, sf_dir)).select("meeting_id", "item_id", "kind", "line_no")
