@@ -13,9 +13,9 @@ from plenum.sources.tables import tables
     "document_profiles",
     r"""WITH p AS (SELECT doc_id // 20 AS packet, doc_id, doc_id % 20 + 1 AS page, (doc_id % 9 + 1) || '. ' || coalesce(text, '') AS text FROM documents)
     SELECT packet AS doc_id, max(page) AS page_count, least(max(page), 15) AS scanned_pages,
-        coalesce(sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) FILTER (page <= 5), 0) AS text_chars,
+        CAST(coalesce(sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) FILTER (page <= 5), 0) AS BIGINT) AS text_chars,
         coalesce(sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) FILTER (page <= 5), 0) >= 50 AS has_text_layer,
-        coalesce(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:\d{1,3}\.(?:\d{1,2}|[a-zA-Z])[.)]?|\d{1,3}[.)]|[A-Z][.)]|[IVXLC]{1,6}[.)])\s+\S')))) FILTER (page <= 15), 0) AS item_number_lines,
+        CAST(coalesce(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:\d{1,3}\.(?:\d{1,2}|[a-zA-Z])[.)]?|\d{1,3}[.)]|[A-Z][.)]|[IVXLC]{1,6}[.)])\s+\S')))) FILTER (page <= 15), 0) AS BIGINT) AS item_number_lines,
         count(*) FILTER (page <= 15 AND doc_id % 3 = 0) AS external_links, count(*) FILTER (page <= 15 AND doc_id % 5 = 0) AS internal_links,
         coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (page <= 15 AND (doc_id % 3 = 0 OR doc_id % 5 = 0)), '') AS link_pages,
         count(*) FILTER (doc_id % 4 = 0) AS toc_entries, count(*) FILTER (doc_id % 4 = 0 AND doc_id % 8 > 0) AS toc_real_entries,
