@@ -1,8 +1,8 @@
 """Groups of near-equal items: candidates from shared buckets, links verified inside the candidate sets.
 
 Items are rows with a unique long ``node``, a SimHash ``mark`` and ``bands`` (bucket
-names, see :mod:`plenum.llm.sketch`). Two items are candidates if they share a
-bucket and their marks are at most ``RADIUS`` bits apart. A check on the items
+names, as many for each item, see :mod:`plenum.llm.sketch`). Two items are candidates if
+they share a bucket and their marks are at most ``RADIUS`` bits apart. A check on the items
 themselves decides which candidates link.
 """
 
@@ -24,6 +24,7 @@ ENTRIES = 4_000_000  # bucket entries that one task sorts, 12 bytes each
 BLOCK = 256  # members of a set that are compared with all before at a time
 
 Check = Callable[[pa.ChunkedArray, list[tuple[int, int]]], np.ndarray]
+Parts = Callable[[np.ndarray, int], np.ndarray]
 
 
 def close_parts(marks: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -51,8 +52,11 @@ def close_parts(marks: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate sets (``set``, ``mark``, ``band``) of bucket entries: parts of two entries or more of one bucket, equal sets once with their first band."""
+def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int = RADIUS, parts: Parts = close_parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate sets (``set``, ``mark``, ``band``) of bucket entries: parts of two entries or more of one bucket, equal sets once with their first band.
+
+    ``parts`` labels the marks of a bucket; two are compared right away.
+    """
     order = np.lexsort((mark, name))
     name, mark, band = name[order], mark[order], band[order]
     begin, end = bounds(name)
@@ -60,7 +64,7 @@ def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int =
     two = two[np.bitwise_count(mark[two] ^ mark[two + 1]) <= radius]
     at, part = [two, two + 1], [two, two]
     for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
-        label = close_parts(mark[lo:hi], radius)
+        label = parts(mark[lo:hi], radius)
         size = np.bincount(label, minlength=hi - lo)[label]
         at.append(lo + np.flatnonzero(size > 1))
         part.append(lo + label[size > 1])
@@ -80,20 +84,20 @@ def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int =
     return sets[once], mark[once], band[once]
 
 
-def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """``set``, ``mark`` and ``band`` of the candidate sets among ``items`` (``mark``, ``bands``), ``count`` rows or so.
+def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS, keys: int = BANDS, parts: Parts = close_parts) -> DataFrame:
+    """``set``, ``mark`` and ``band`` of the candidate sets among ``items`` (``mark``, ``bands`` of ``keys`` names), ``count`` rows or so.
 
     Bucket entries travel packed: a row is what one Arrow batch has for one of
     ``width`` partitions of the bucket names, so the shuffle moves few rows. Only
     buckets with candidates give rows. Each part of a bucket is one set; a set
     that several buckets have is kept once, with the first of their bands.
     """
-    width = shuffle_width(items.sparkSession, count * BANDS, ENTRIES)
+    width = shuffle_width(items.sparkSession, count * keys, ENTRIES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4")
-            marks, bands = np.repeat(batch.column(0).to_numpy(), BANDS), np.tile(np.arange(BANDS, dtype=np.uint8), batch.num_rows)
+            marks, bands = np.repeat(batch.column(0).to_numpy(), keys), np.tile(np.arange(keys, dtype=np.uint8), batch.num_rows)
             place = names % np.uint32(width)
             order = np.argsort(place, kind="stable")
             begin, end = bounds(place[order])
@@ -105,7 +109,7 @@ def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS) -> DataFr
         for batch in batches:
             for column, some in zip(held, batch.columns):
                 column += some.to_pylist()
-        found = sets_of(*(np.frombuffer(b"".join(x), kind) for x, kind in zip(held, ("<u4", np.uint64, np.uint8))), radius)
+        found = sets_of(*(np.frombuffer(b"".join(x), kind) for x, kind in zip(held, ("<u4", np.uint64, np.uint8))), radius, parts)
         for lo in range(0, len(found[0]), 100_000):
             sets, marks, bands = (x[lo : lo + 100_000] for x in found)
             yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(marks.view(np.int64)), pa.array(bands.astype(np.int32))], ["set", "mark", "band"])
@@ -207,7 +211,7 @@ def verified_links(members: DataFrame, check: Check, at_least: int = 1 << 16) ->
         for table in slabs(batches, lambda t: t.column("set").to_numpy(), at_least):
             begin, end = bounds(table.column("set").to_numpy())
             node, mark, band, items = table.column("node").to_numpy(), table.column("mark").to_numpy().view(np.uint64), table.column("band").to_numpy(), table.column("item")
-            bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, BANDS)
+            bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(table.num_rows, -1)
             ranges = [(lo, hi, int(band[lo])) for lo, hi in zip(begin.tolist(), end.tolist()) if hi - lo > 1]
             found = np.array(links_of(mark, bands, ranges, lambda pairs: check(items, pairs)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
@@ -216,9 +220,9 @@ def verified_links(members: DataFrame, check: Check, at_least: int = 1 << 16) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def suspects(items: DataFrame, count: int) -> DataFrame:
+def suspects(items: DataFrame, count: int, keys: int = BANDS, parts: Parts = close_parts) -> DataFrame:
     """``set``, ``band`` and the columns of every item in a candidate set."""
-    return cut(candidate_sets(items, count)).join(items, "mark")
+    return cut(candidate_sets(items, count, keys=keys, parts=parts)).join(items, "mark")
 
 
 def first_places(rows: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ from plenum.llm.components import connected_components
 from plenum.llm.grouped import bounds, slabs
 from plenum.llm.line_dedup import chunks, id_and_body, keyed
 from plenum.llm.near import first_places, suspects, verified_links
-from plenum.llm.sketch import BANDS, Words, bands_of, marks_of, shingle_features, split_words
+from plenum.llm.sketch import BANDS, BASE, Words, bands_of, marks_of, mixed, shingle_features, split_words
 from plenum.llm.storage import cut, drop_shuffles, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+BLOCK_RADIUS, BLOCKS_EQUAL = 2, 3  # differing bits that shards of whole bit blocks never miss, and the blocks of such a shard
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -102,18 +103,55 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def block_keys(fp: Column, radius: int, extra: int = 3) -> Column:
-    """Shard keys of a fingerprint: every choice of ``extra`` out of ``radius + extra`` bit blocks.
+def tree_parts(values: np.ndarray, radius: int) -> np.ndarray:
+    """Label of each fingerprint's part, parts being connected by edges of at most ``radius`` bits, found in a BK-tree.
+
+    The tree is that of :class:`BKTree` over the distinct fingerprints, split from the
+    root down by distance, and all of them search it at once: a search follows only edges
+    whose label can lead within the radius. One whose part a whole subtree belongs to does not
+    enter it, so near copies of one text cost a comparison or two each, however many they are.
+    """
+    distinct, where = np.unique(values, return_inverse=True)
+    label = np.arange(len(distinct))
+    stack = [(label.copy(), label.copy())]  # a subtree, its root first, and those that search it
+    while stack:
+        tree, seekers = stack.pop()
+        root, below = tree[0], tree[1:]
+        if (label[below] == label[root]).all():
+            seekers = seekers[label[seekers] != label[root]]
+        if not len(seekers):
+            continue
+        apart = np.bitwise_count(distinct[seekers] ^ distinct[root]).astype(np.int64)
+        joined = np.unique(np.append(label[seekers[apart <= radius]], label[root]))
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+        edge = np.bitwise_count(distinct[below] ^ distinct[root]).astype(np.int64)
+        stack.extend((below[edge == name], seekers[np.abs(apart - name) <= radius]) for name in np.unique(edge).tolist())
+    return label[where]
+
+
+def block_masks(radius: int, extra: int) -> list[int]:
+    """Masks of every choice of ``extra`` out of ``radius + extra`` bit blocks.
 
     Two fingerprints within ``radius`` differ in at most ``radius`` blocks, so
-    they agree on ``extra`` whole blocks and share the shard of that choice.
+    they agree on the ``extra`` whole blocks of a choice.
     """
     n = radius + extra
     edges = [round(64 * i / n) for i in range(n + 1)]
     masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(masks, extra)]
+
+
+def block_names(fps: np.ndarray, radius: int = BLOCK_RADIUS, extra: int = BLOCKS_EQUAL) -> np.ndarray:
+    """Shard names (32 bits, a column a choice of :func:`block_masks`) of fingerprints."""
+    names = [mixed(mixed(fps & np.uint64(mask)) * np.uint64(BASE) + np.uint64(i)) for i, mask in enumerate(block_masks(radius, extra))]
+    return (np.stack(names, axis=1) >> np.uint64(32)).astype("<u4")
+
+
+def block_keys(fp: Column, radius: int, extra: int = BLOCKS_EQUAL) -> Column:
+    """Shard keys of a fingerprint, one for each choice of :func:`block_masks`."""
     keys = []
-    for number, chosen in enumerate(combinations(masks, extra)):
-        mask = sum(chosen)
+    for number, mask in enumerate(block_masks(radius, extra)):
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(signed))))
     return F.array(*keys)
@@ -183,8 +221,11 @@ def jaccard_at_least(least: float, a: np.ndarray, b: np.ndarray) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+SHARDS = BANDS + len(block_masks(BLOCK_RADIUS, BLOCKS_EQUAL))
+
+
 def marked_texts(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """Each row's place, MD5 of its words (``high``, ``low``), SimHash ``mark`` and ``bands`` of its shingles."""
+    """Each row's place, MD5 of its words (``high``, ``low``), SimHash ``mark`` of its shingles, and ``bands``: the names of the ``SHARDS`` shards it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +237,13 @@ def marked_texts(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 data = words.data.tobytes()
                 ends = [b" ".join(some_words(data, words, lo, hi)) for lo, hi in zip(edge, edge[1:])]
                 keys = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in ends), "<i8").reshape(-1, 2)
-                columns.append((keys[:, 0], keys[:, 1], marks_of(hashes, counts).view(np.int64), bands_of(hashes, np.ones(len(hashes), np.float32), counts)))
+                mark = marks_of(hashes, counts)
+                shards = np.concatenate([bands_of(hashes, np.ones(len(hashes), np.float32), counts), block_names(mark)], axis=1)
+                columns.append((keys[:, 0], keys[:, 1], mark.view(np.int64), shards))
             if not columns:
                 continue
             high, low, mark, bands = (np.concatenate(x) for x in zip(*columns))
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(high), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SHARDS), len(high), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
             rest = [pa.array(np.zeros(len(high), np.int32)), *(pa.array(x) for x in (high, low, mark)), packed]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "body", "line_no", "high", "low", "mark", "bands"])
 
@@ -217,17 +260,21 @@ def some_words(data: bytes, words: Words, lo: int, hi: int) -> list[bytes]:
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Rows link if the Jaccard similarity of their sets of five-word shingles is
-    ``similarity`` or more, which is checked on the texts. They are compared if they
-    share a bucket of four min-hashes (14 of them: 0.999 of the pairs at 0.8) and have
-    SimHash marks at most 20 bits apart. All columns are kept as they are. Texts
+    The steps are those of :func:`simhash_groups`: SimHash fingerprints of the word shingles,
+    shards, in each shard a BK-tree over the distinct fingerprints and its edges, components.
+    Edges reach 20 bits, since texts of similarity 0.8 differ in ten bits or so, and fingerprints
+    meet in the shards of whole bit blocks, which miss none within two bits, and in
+    shards named by four min-hashes (14 of them: 0.999 of the pairs at 0.8), for bit blocks
+    would be too short at 20. What a tree connects is a candidate set; inside it rows link if the
+    Jaccard similarity of their sets of five-word shingles is ``similarity`` or more, which is
+    checked on the texts (by 64-bit hashes of the shingles). All columns are kept as they are. Texts
     without words are alike. Documents are told apart by doc_id and text, a null
     id being the largest: rows that share both stay or go together.
     """
     rows = written(marked_texts(docs, words_per_shingle), "near-marks")
     placed = written(first_places(rows), "near-places")
     nodes = placed.where("node is not null")
-    near = suspects(nodes, nodes.count())
+    near = suspects(nodes, nodes.count(), SHARDS, tree_parts)
     drop_shuffles(docs.sparkSession)
     texts = keyed(docs).select("__id", "__body", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item")).dropDuplicates(["__id", "__body"])
     members = near.join(texts, (F.col("doc_id") == F.col("__id")) & (F.col("body") == F.col("__body")))

@@ -325,6 +325,22 @@ def test_near_dedup_at_the_stated_similarity(spark):
     assert len(near & left) <= 0.01 * len(near)
 
 
+def test_near_duplicate_shards_are_searched_through_a_bk_tree():
+    """Parts from the tree are those of all pairs, near copies cost no pairs, and two bits keep a shard of whole blocks."""
+    rng = random.Random(13)
+    marks = [rng.getrandbits(64) for _ in range(30)]
+    marks += [m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12))) for m in marks for _ in range(12)] + marks[:5]
+    for radius in (0, 2, 8, 20):
+        got = simhash.tree_parts(np.array(marks, np.uint64), radius).tolist()
+        want = list(plain_components(dict(enumerate(marks)), radius).values())
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    near = np.array([marks[0] ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(64) for j in range(i) for k in range(j)], np.uint64)
+    begin = time.time()
+    assert len(set(simhash.tree_parts(near, 20).tolist())) == 1 and time.time() - begin < 5  # 41,664 of them
+    names = [simhash.block_names(np.array([a, a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))], np.uint64)) for a in marks]
+    assert all((a[0] == a[1]).any() and a.shape == (2, simhash.SHARDS - simhash.BANDS) for a in names)
+
+
 def test_near_dedup_tells_rows_by_id_and_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [(1, a), (5, a), (5, b), (None, b + " more"), (None, "of its own kind and no other"), (None, None)]
