@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 WORD_BITS = 64
-MOST_WORDS = 16  # machine words of a pattern in a batch; longer ones are done one by one
+MOST_WORDS = 512  # machine words of a pattern in a batch; longer ones are done one by one
+LANES = 1 << 13  # machine words of a batch
+BINS = 64  # of letter counts; the letters a to z have bins of their own
 TABLE = 1 << 20  # entries of a batch's table of character places
 
 
@@ -73,61 +75,99 @@ def one_distance(a: str, b: str, limit: float) -> int:
 
 
 def batch_distances(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of non-empty pairs, the same bit-parallel columns for all pairs, ``WORD_BITS`` rows a machine word.
+    """Levenshtein distances of non-empty pairs, the bit-parallel columns of all pairs at once, ``WORD_BITS`` rows a machine word.
 
-    Pairs come by falling length of the second, so those still at work are the first ones. A pair
-    that is sure to be over its limit may get any number over it.
+    A lane is a machine word of a pair. At step ``s`` the word ``w`` does column ``s - w``, with what
+    the word before carried out a step ago, so each step takes the lanes of all pairs together.
+    A pair that is sure to be over its limit may get any number over it.
     """
     one, top = np.uint64(1), np.uint64(WORD_BITS - 1)
-    n = len(pairs)
     rows, columns = (np.array([len(x[i]) for x in pairs]) for i in (0, 1))
-    points, code = np.unique(np.frombuffer("".join(a + b for a, b in pairs).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    starts = np.cumsum(rows + columns) - rows - columns
-    words = -(-int(rows.max()) // WORD_BITS)
-    every, shortest = np.arange(n), int(rows.min())
-    table = np.zeros((words, len(points) * n), np.uint64)
-    for i in range(int(rows.max())):
-        live = every[rows > i] if i >= shortest else every
-        table[i // WORD_BITS, code[starts[live] + i] * n + live] |= one << np.uint64(i % WORD_BITS)
-    second = np.zeros((int(columns.max()), n), np.int64)
-    for j in range(len(second)):
-        k = int(np.searchsorted(-columns, -j))  # pairs with more than j columns
-        second[j, :k] = code[starts[:k] + rows[:k] + j] * n + every[:k]
-    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    last_bit, last_word = ((rows - 1) % WORD_BITS).astype(np.uint64), (rows - 1) // WORD_BITS
-    least_word = int(last_word.min())
-    score, out, who = rows.copy(), np.full(n, np.iinfo(np.int64).max), every
-    for j in range(len(second)):
-        k = int(np.searchsorted(-columns, -j))
-        if j % 32 == 31:  # pairs that are over their limit whatever follows leave
-            stay = score[:k] - (columns[:k] - j) <= limits[:k]
+    words = -(-rows // WORD_BITS)
+    who = np.argsort(-(columns + words), kind="stable")  # those still at work are the first ones
+    found = np.frombuffer("".join([x for pair in pairs for x in pair]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    met = np.zeros(int(found.max()) + 1, bool)
+    met[found] = True
+    points = np.flatnonzero(met)
+    code = (np.cumsum(met) - 1)[found]
+    begin = (np.cumsum(rows + columns) - rows - columns)[who]
+    rows, columns, words, limits = rows[who], columns[who], words[who], np.asarray(limits)[who]
+    last = np.cumsum(words) - 1
+    first = last - words + 1
+    row = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    letter = code[np.repeat(begin, rows) + row]
+    table = np.zeros(len(points) * int(words.sum()), np.uint64)
+    np.bitwise_or.at(table, (np.repeat(first, rows) + row // WORD_BITS) * len(points) + letter, one << (row % WORD_BITS).astype(np.uint64))
+    word = np.arange(words.sum()) - np.repeat(first, words)
+    longest = int(words[0] if len(words) == 1 else words.max())
+    code = np.concatenate([np.zeros(longest, np.int64), code, np.zeros(longest, np.int64)])
+    at = np.repeat(begin + rows, words) - word + longest  # place of column 0 in ``code``, less the lane's delay
+    own = np.arange(words.sum()) * len(points)
+    plus, minus = np.full(len(word), ~np.uint64(0)), np.zeros(len(word), np.uint64)
+    last_bit = ((rows - 1) % WORD_BITS).astype(np.uint64)
+    score, out = rows.copy(), np.full(len(pairs), np.iinfo(np.int64).max)
+    up_out, down_out = np.zeros((2, len(word)), np.uint64)
+    ends = -(columns + words)
+    for s in range(int(columns[0] + words[0]) - 1):
+        k = int(np.searchsorted(ends, -s - 1))  # pairs whose last word has columns left
+        if s % 32 == 31:  # pairs that are over their limit whatever follows leave
+            left = columns[:k] - (s - words[:k] + 1)
+            stay = (score[:k] - left <= limits[:k]) | (left >= columns[:k])
             if 4 * np.count_nonzero(stay) < 3 * k:
                 out[who[k:]] = score[k:]
-                chosen = np.flatnonzero(stay)
-                who, columns, score, limits, last_bit, last_word = (x[chosen] for x in (who, columns, score, limits, last_bit, last_word))
-                plus, minus, second = plus[:, chosen], minus[:, chosen], second[:, chosen]
-                k = len(chosen)
+                lanes = np.repeat(stay, words[:k])
+                n = len(lanes)
+                at, own, word, plus, minus, up_out, down_out = (x[:n][lanes] for x in (at, own, word, plus, minus, up_out, down_out))
+                who, columns, words, score, limits, last_bit, rows, ends = (x[:k][stay] for x in (who, columns, words, score, limits, last_bit, rows, ends))
+                last = np.cumsum(words) - 1
+                first = last - words + 1
+                k = len(who)
         if not k:
             break
-        places = second[j, :k]
-        carry_up, carry_down = np.ones(k, np.uint64), np.zeros(k, np.uint64)
-        for w in range(words):
-            p, m, eq = plus[w, :k], minus[w, :k], table[w].take(places)
-            vertical = eq | m
-            eq |= carry_down
-            diagonal = (((eq & p) + p) ^ p) | eq
-            up, down = m | ~(diagonal | p), p & diagonal
-            if w >= least_word:
-                change = ((up >> last_bit[:k]) & one).astype(np.int64) - ((down >> last_bit[:k]) & one).astype(np.int64)
-                score[:k] += change if least_word == words - 1 else np.where(last_word[:k] == w, change, 0)
-            next_up, next_down = up >> top, down >> top
-            up, down = up << one | carry_up, down << one | carry_down
-            plus[w, :k], minus[w, :k] = down | ~(vertical | up), up & vertical
-            carry_up, carry_down = next_up, next_down
+        n = int(last[k - 1]) + 1
+        if s < longest:  # lanes that begin here forget what they did before
+            fresh = np.flatnonzero(word[:n] == s)
+            plus[fresh], minus[fresh] = ~np.uint64(0), 0
+            fresh = words[:k] == s + 1
+            score[:k][fresh] = rows[:k][fresh]
+        carry_up, carry_down = np.empty((2, n), np.uint64)
+        carry_up[1:], carry_down[1:] = up_out[: n - 1], down_out[: n - 1]
+        carry_up[first[:k]], carry_down[first[:k]] = 1, 0
+        p, m = plus[:n], minus[:n]
+        eq = table.take(own[:n] + code.take(at[:n] + s))
+        vertical = eq | m
+        eq |= carry_down
+        diagonal = (((eq & p) + p) ^ p) | eq
+        up, down = m | ~(diagonal | p), p & diagonal
+        bit = last_bit[:k]
+        score[:k] += ((up[last[:k]] >> bit) & one).astype(np.int64)
+        score[:k] -= ((down[last[:k]] >> bit) & one).astype(np.int64)
+        up_out, down_out = up >> top, down >> top
+        up, down = up << one | carry_up, down << one | carry_down
+        plus[:n], minus[:n] = down | ~(vertical | up), up & vertical
     out[who] = score
     return out
 
 
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """How many characters of each line fall in each of ``BINS`` bins by code point."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) % np.uint32(BINS)
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(line * BINS + codes, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
+def too_unlike(counts: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the letters of lines ``a`` and ``b`` alone (:func:`letter_counts`) need more edits than ``least`` leaves: an edit takes away one letter at most and brings one."""
+    out = np.zeros(len(a), bool)
+    size = counts.sum(axis=1)
+    for lo in range(0, len(a), 1 << 14):
+        x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+        longest = np.maximum(size[x], size[y])
+        most = (np.abs(counts[x] - counts[y]).sum(axis=1) + np.abs(size[x] - size[y])) // 2
+        out[lo : lo + (1 << 14)] = most > (1 - least) * longest + 1e-9
+    return out
+
+
 def alike(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
     """For each pair whether one minus distance over the longer length is ``least`` or more (two empty lines are alike)."""
     out = np.zeros(len(pairs), bool)
@@ -150,17 +190,16 @@ def alike(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
             out[k] = one_distance(a, b, limit) <= limit
         else:
             waiting.append((-(-len(a) // WORD_BITS), k, a, b, limit))
-    band = [0, 1, 2, 3, 4, 6, 6, 8, 8, *[12] * 4, *[16] * 4]  # pairs of a few machine words more or less go together
-    waiting = sorted(((band[w], *rest) for w, *rest in waiting), key=lambda x: (x[0], -len(x[3])))
+    waiting.sort(key=lambda x: -len(x[3]))
+    letters = len(set().union(*[x[2] for x in waiting], *[x[3] for x in waiting]))
+    most = max(1, min(LANES, TABLE // max(1, letters)))
     at = 0
     while at < len(waiting):
-        letters: set[str] = set()
-        upto = at
-        while upto < len(waiting) and upto - at < 2048:
-            more = letters | set(waiting[upto][2]) | set(waiting[upto][3])
-            if upto > at and (waiting[upto][0] != waiting[at][0] or len(more) * waiting[upto][0] * (upto - at + 1) > TABLE):
-                break
-            letters, upto = more, upto + 1
+        upto = at + 1
+        lanes = waiting[at][0]
+        while upto < len(waiting) and lanes + waiting[upto][0] <= most and (lanes <= LANES // 16 or 2 * len(waiting[upto][3]) >= len(waiting[at][3])):
+            lanes += waiting[upto][0]
+            upto += 1
         part = waiting[at:upto]
         if len(part) < 12:  # too few to be worth the arrays
             for _, k, a, b, limit in part:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.components import connected_components
-from plenum.llm.edits import alike
-from plenum.llm.near import first_places, suspects, verified_links
+from plenum.llm.edits import alike, letter_counts, too_unlike
+from plenum.llm.near import Check, first_places, suspects, verified_links
 from plenum.llm.sketch import BANDS, CHUNK_BYTES, bands_of, marks_of, split_words, word_features
-from plenum.llm.storage import cut, drop_shuffles, written
+from plenum.llm.storage import cut, discard, drop_shuffles, written
 
 SIMILARITY = 0.8  # of a link's edit distance at least
 LAST = (1 << 63) - 1  # place of a null doc_id in the order
@@ -112,11 +112,19 @@ def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     return parts.select("place.*", F.coalesce(F.get("lines", F.col("place.line_no")), F.lit("")).alias("line"))
 
 
-def same_lines(items: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> np.ndarray:
-    """Edit similarity of normalised lines; a pair of one line (a repeated document) is alike."""
-    needed = {i for pair in pairs for i in pair}
-    lines = {i: normal(items[i].as_py()) for i in needed}
-    return alike([(lines[i], lines[j]) for i, j in pairs], SIMILARITY)
+def same_lines(items: pa.ChunkedArray) -> tuple[Check, np.ndarray, float]:
+    """A check of pairs by edit similarity of the normalised lines, with their lengths; a pair of one line (a repeated document) is alike."""
+    lines = [normal(x) for x in items.to_pylist()]
+    counts = letter_counts(lines)
+
+    def check(pairs: list[tuple[int, int]]) -> np.ndarray:
+        a, b = np.array(pairs, np.int64).T
+        open_ = np.flatnonzero(~too_unlike(counts, a, b, SIMILARITY))
+        out = np.zeros(len(pairs), bool)
+        out[open_] = alike([(lines[i], lines[j]) for i, j in zip(a[open_].tolist(), b[open_].tolist())], SIMILARITY)
+        return out
+
+    return check, counts.sum(axis=1), SIMILARITY
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -131,6 +139,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     lines = written(corpus_lines(docs), "lines")
     placed = written(first_places(lines.where("not again").drop("again")), "places")
+    hidden = written(lines.where("again").select("doc_id", "body", "line_no"), "hidden")
+    discard(lines)
     drop_shuffles(docs.sparkSession)
     nodes = placed.where("node is not null")
     grouped = line_groups(docs, nodes)
@@ -138,8 +148,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "body", "line_no")
     keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
     linked = grouped.join(keep, "component").where(place != F.col("keep"))
-    again = lines.where("again").unionByName(placed.where("node is null"), allowMissingColumns=True)
-    return again.select("doc_id", "body", "line_no").unionByName(linked.select("doc_id", "body", "line_no"))
+    again = hidden.unionByName(placed.where("node is null").select("doc_id", "body", "line_no"))
+    return again.unionByName(linked.select("doc_id", "body", "line_no"))
 
 
 def line_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ from plenum.llm.storage import cut, shuffle_width
 ENTRIES = 4_000_000  # bucket entries that one task sorts, 12 bytes each
 BLOCK = 256  # members of a set that are compared with all before at a time
 
-Check = Callable[[pa.ChunkedArray, list[tuple[int, int]]], np.ndarray]
+Check = Callable[[list[tuple[int, int]]], np.ndarray]
+Checks = Callable[[pa.ChunkedArray], tuple[Check, np.ndarray, float]]
 Parts = Callable[[np.ndarray, int], np.ndarray]
 
 
@@ -119,11 +120,12 @@ def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS, keys: int
     return found.groupBy("set", "mark").agg(F.min("band").alias("band"))
 
 
-def explore(marks: np.ndarray, before: np.ndarray, radius: int = RADIUS) -> Generator[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+def explore(marks: np.ndarray, before: np.ndarray, sizes: np.ndarray, least: float, radius: int = RADIUS) -> Generator[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
     """Links of one set: yields pairs to check, takes the answers, returns links that connect what alike pairs connect.
 
     ``before`` has a column for each band before the set's own: pairs that agree in
-    one are left to that band's set. Members come in order, a block at a time. A block is first tried on the first
+    one are left to that band's set. Pairs of which one's size is under ``least`` of the
+    other's are never alike. Members come in order, a block at a time. A block is first tried on the first
     member of the largest group; then each member on members of other groups,
     the eight nearest marks first, twice as many each round, until no candidate of another
     group is left. So near copies of one text cost a check or two each, however many they are.
@@ -141,10 +143,10 @@ def explore(marks: np.ndarray, before: np.ndarray, radius: int = RADIUS) -> Gene
     for lo in range(0, n, BLOCK):
         top = min(n, lo + BLOCK)
         if lo:
-            sizes = np.bincount(label[:lo])
-            head = int(sizes.argmax())
-            if sizes[head] > 1:
-                near = lo + np.flatnonzero(np.bitwise_count(marks[lo:top] ^ marks[head]) <= radius)
+            groups = np.bincount(label[:lo])
+            head = int(groups.argmax())
+            if groups[head] > 1:
+                near = lo + np.flatnonzero((np.bitwise_count(marks[lo:top] ^ marks[head]) <= radius) & sizes_fit(sizes[lo:top], sizes[head], least))
                 if len(near):
                     pairs = [(head, int(j)) for j in near]
                     settle(pairs, (yield pairs))
@@ -155,7 +157,7 @@ def explore(marks: np.ndarray, before: np.ndarray, radius: int = RADIUS) -> Gene
             if not len(mine) or not len(rows):
                 continue
             apart = np.bitwise_count(marks[rows][:, None] ^ marks[mine][None, :])
-            apart[(apart > radius) | (rows[:, None] >= mine[None, :]) & (rows[:, None] >= lo)] = 255
+            apart[(apart > radius) | (rows[:, None] >= mine[None, :]) & (rows[:, None] >= lo) | ~sizes_fit(sizes[rows][:, None], sizes[mine][None, :], least)] = 255
             for names in before.T:
                 apart[names[rows][:, None] == names[mine][None, :]] = 255
             take = 8
@@ -176,9 +178,15 @@ def explore(marks: np.ndarray, before: np.ndarray, radius: int = RADIUS) -> Gene
     return links
 
 
-def links_of(marks: np.ndarray, bands: np.ndarray, ranges: list[tuple[int, int, int]], check: Callable[[list[tuple[int, int]]], np.ndarray]) -> list[tuple[int, int]]:
+def sizes_fit(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the smaller of two sizes is ``least`` of the larger or more."""
+    return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+
+
+def links_of(marks: np.ndarray, bands: np.ndarray, ranges: list[tuple[int, int, int]], check: Check, sizes: np.ndarray | None = None, least: float = 0, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links inside each range (start, end, band) of members; the checks of all ranges are made together, round by round."""
     running, out = [], []
+    sizes = np.ones(len(marks)) if sizes is None else sizes
 
     def step(lo: int, work: Generator, answer: np.ndarray | None) -> None:
         try:
@@ -186,8 +194,17 @@ def links_of(marks: np.ndarray, bands: np.ndarray, ranges: list[tuple[int, int,
         except StopIteration as done:
             out.extend((lo + i, lo + j) for i, j in done.value)
 
+    two = np.array([r[0] for r in ranges if r[1] - r[0] == 2], np.int64)
+    met = np.logical_or.accumulate(bands[two] == bands[two + 1], axis=1) if len(two) else np.zeros((0, 1), bool)
+    band = np.array([r[2] for r in ranges if r[1] - r[0] == 2], np.int64)
+    earlier = (band > 0) & met[np.arange(len(two)), band - 1]
+    two = two[~earlier & (np.bitwise_count(marks[two] ^ marks[two + 1]) <= radius) & sizes_fit(sizes[two], sizes[two + 1], least)]
+    pairs = [(i, i + 1) for i in two.tolist()]
+    if pairs:
+        out.extend(pair for pair, same in zip(pairs, check(pairs).tolist()) if same)
     for lo, hi, band in ranges:
-        step(lo, explore(marks[lo:hi], bands[lo:hi, :band]), None)
+        if hi - lo > 2:
+            step(lo, explore(marks[lo:hi], bands[lo:hi, :band], sizes[lo:hi], least, radius), None)
     while running:
         now, running = running, []
         same = check([(lo + i, lo + j) for lo, _, pairs in now for i, j in pairs])
@@ -198,11 +215,12 @@ def links_of(marks: np.ndarray, bands: np.ndarray, ranges: list[tuple[int, int,
     return out
 
 
-def verified_links(members: DataFrame, check: Check, at_least: int = 1 << 16) -> DataFrame:
+def verified_links(members: DataFrame, checks: Checks, at_least: int = 1 << 16) -> DataFrame:
     """Links ``a``, ``b`` (nodes) of candidate sets: ``members`` has ``set``, ``band``, ``node``, ``mark``, ``bands`` and ``item``.
 
-    ``check`` gets the items of many sets and pairs of their places, and says which
-    pairs are alike; a pair is asked in the set of its first common band. A task
+    ``checks`` gets the items of many sets and gives a check, which gets pairs of places and
+    says which are alike, the items' sizes, and the share of the larger size that the smaller
+    of an alike pair has at least; a pair is asked in the set of its first common band. A task
     holds ``at_least`` rows of whole sets, so its memory follows the near copies of
     one item that meet in one bucket; equal items are one node.
     """
@@ -210,10 +228,10 @@ def verified_links(members: DataFrame, check: Check, at_least: int = 1 << 16) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slabs(batches, lambda t: t.column("set").to_numpy(), at_least):
             begin, end = bounds(table.column("set").to_numpy())
-            node, mark, band, items = table.column("node").to_numpy(), table.column("mark").to_numpy().view(np.uint64), table.column("band").to_numpy(), table.column("item")
+            node, mark, band = table.column("node").to_numpy(), table.column("mark").to_numpy().view(np.uint64), table.column("band").to_numpy()
             bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(table.num_rows, -1)
             ranges = [(lo, hi, int(band[lo])) for lo, hi in zip(begin.tolist(), end.tolist()) if hi - lo > 1]
-            found = np.array(links_of(mark, bands, ranges, lambda pairs: check(items, pairs)), np.int64).reshape(-1, 2)
+            found = np.array(links_of(mark, bands, ranges, *checks(table.column("item"))), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
 
     dealt = members.select("set", "band", "node", "mark", "bands", "item").repartition("set").sortWithinPartitions("set", "node")

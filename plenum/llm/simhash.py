@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plenum.llm.components import connected_components
 from plenum.llm.grouped import bounds, slabs
 from plenum.llm.line_dedup import chunks, id_and_body, keyed
-from plenum.llm.near import first_places, suspects, verified_links
+from plenum.llm.near import Check, first_places, suspects, verified_links
 from plenum.llm.sketch import BANDS, BASE, Words, bands_of, marks_of, mixed, shingle_features, split_words
 from plenum.llm.storage import cut, drop_shuffles, written
 
@@ -279,11 +279,17 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     texts = keyed(docs).select("__id", "__body", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item")).dropDuplicates(["__id", "__body"])
     members = near.join(texts, (F.col("doc_id") == F.col("__id")) & (F.col("body") == F.col("__body")))
 
-    def check(items: pa.ChunkedArray, pairs: list[tuple[int, int]]) -> np.ndarray:
-        known = {i: shingle_set(items[i].as_py().encode("utf-8", "surrogatepass"), words_per_shingle) for i in {i for pair in pairs for i in pair}}
-        return np.array([jaccard_at_least(similarity, known[i], known[j]) for i, j in pairs], bool)
+    def checks(items: pa.ChunkedArray) -> tuple[Check, np.ndarray, float]:
+        known: dict[int, np.ndarray] = {}
 
-    grouped = cut(connected_components(verified_links(members, check)).join(nodes.drop("mark", "bands"), "node"))
+        def shingles(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingle_set(items[i].as_py().encode("utf-8", "surrogatepass"), words_per_shingle)
+            return known[i]
+
+        return lambda pairs: np.array([jaccard_at_least(similarity, shingles(i), shingles(j)) for i, j in pairs], bool), np.ones(len(items)), 0
+
+    grouped = cut(connected_components(verified_links(members, checks)).join(nodes.drop("mark", "bands"), "node"))
     place = F.struct("doc_id", "body")
     keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
     linked = grouped.join(keep, "component").where(place != F.col("keep")).select("doc_id", "body")

@@ -49,6 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a table from :func:`written` that nothing reads any more."""
+    spark = df.sparkSession
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for folder in {file.rsplit("/", 1)[0].rsplit("/", 1)[1] for file in df.inputFiles()}:
+        for name in [x for x in paths if x.endswith(f"/{folder}")]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            paths.remove(name)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the intermediate folders of this application and return how many there were.
 

@@ -42,6 +42,34 @@ def test_edit_similarity_of_many_pairs():
         assert edits.words_cost(a.split(" "), b.split(" "), 10**6) >= levenshtein(a, b)
 
 
+def test_letters_and_sizes_rule_out_no_alike_pair():
+    """Pairs that are not asked for their lengths or letters are not alike; very long lines go with the others."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcé 日\u0141") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(60)]
+    lines += ["".join(c if rng.random() > 0.15 else rng.choice(" xyz") for c in x)[rng.randint(0, 3) :] for x in lines]
+    pairs = list(itertools.combinations(range(len(lines)), 2))
+    a, b = np.array(pairs).T
+    want = edits.alike([(lines[i], lines[j]) for i, j in pairs], 0.8)
+    out = edits.too_unlike(edits.letter_counts(lines), a, b, 0.8)
+    sizes = np.array([len(x) for x in lines])
+    assert not (out & want).any() and out.mean() > 0.5 and near.sizes_fit(sizes[a], sizes[b], 0.8)[want].all()
+    asked = []
+
+    def check(some):
+        asked.extend(some)
+        return edits.alike([(lines[i], lines[j]) for i, j in some], 0.8)
+
+    marks, bands = np.zeros(len(lines), np.uint64), np.zeros((len(lines), 1), np.uint32)
+    found = [near.links_of(marks, bands, [(0, len(lines), 0)], check, *rest) for rest in ((), (sizes, 0.8))]
+    labels = [np.arange(len(lines)) for _ in found]
+    for label, links in zip(labels, found):
+        for i, j in links:
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert (labels[0] == labels[1]).all() and len(set(labels[0].tolist())) < len(lines)
+    long = [("".join(rng.choice("ab") for _ in range(n)), "".join(rng.choice("ab") for _ in range(2200))) for n in (1, 64, 65, 2100)]
+    assert edits.batch_distances(long, np.full(4, 10**6)).tolist() == [edits.one_distance(*x, 10**6) for x in long]
+
+
 def test_words_and_marks_of_texts():
     texts = [b"A  b,c\n\n x ", b"", b"\n\nq" + b" w" * 700, "é 日本".encode()]
     words = sketch.split_words(texts, line_dedup.FOLD)
