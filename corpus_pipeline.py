@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One document of each near-duplicate group, the one with the smallest doc_id; SimHash fingerprints meet in BK-trees, similarity is verified."""
     return simhash.near_dedup(docs)
 
 
