@@ -6,9 +6,10 @@ import numpy as np
 
 WORD_BITS = 64
 MOST_WORDS = 512  # machine words of a pattern in a batch; longer ones are done one by one
-LANES = 1 << 13  # machine words of a batch
+LANES = 1 << 12  # machine words at work at a time
+WINDOW = 16  # steps between which lanes begin and end
 BINS = 64  # of letter counts; the letters a to z have bins of their own
-TABLE = 1 << 20  # entries of a batch's table of character places
+TABLE = 1 << 21  # entries of a batch's table of character places
 
 
 def same_start(a: str, b: str) -> int:
@@ -75,85 +76,128 @@ def one_distance(a: str, b: str, limit: float) -> int:
 
 
 def batch_distances(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of non-empty pairs, the bit-parallel columns of all pairs at once, ``WORD_BITS`` rows a machine word.
+    """Levenshtein distances of non-empty pairs, the bit-parallel columns of many pairs at once, ``WORD_BITS`` rows a machine word.
 
-    A lane is a machine word of a pair. At step ``s`` the word ``w`` does column ``s - w``, with what
+    A lane is a machine word of a pair. At a step the word ``w`` does the column after its last one, with what
     the word before carried out a step ago, so each step takes the lanes of all pairs together.
-    A pair that is sure to be over its limit may get any number over it.
+    A lane does the columns that ways within the limit can take, and begins and ends between windows of
+    ``WINDOW`` steps; what it misses outside them counts as if it cost an edit a character, so nothing gets
+    too small. Pairs come in as others leave. One that is over its limit may get any number over it.
     """
-    one, top = np.uint64(1), np.uint64(WORD_BITS - 1)
+    one, top, full = np.uint64(1), np.uint64(WORD_BITS - 1), ~np.uint64(0)
     rows, columns = (np.array([len(x[i]) for x in pairs]) for i in (0, 1))
+    longer = columns - rows
+    most = np.maximum(np.minimum(np.floor(limits).astype(np.int64), rows + columns), np.maximum(np.abs(longer), 2))
+    before, after = (most - longer) // 2, (most + longer) // 2  # how far a way within the limit gets from the diagonal
     words = -(-rows // WORD_BITS)
-    who = np.argsort(-(columns + words), kind="stable")  # those still at work are the first ones
+    last = np.cumsum(words) - 1
+    pair = np.repeat(np.arange(len(pairs)), words)
+    word = np.arange(len(pair)) - np.repeat(last - words + 1, words)
+    start = (np.maximum(WORD_BITS * word - before[pair], 0) + word) // WINDOW * WINDOW  # the step of a lane's first column
+    end = np.minimum(columns[pair], WORD_BITS * (word + 1) + after[pair]) + word  # and the one at which the next lane uses its last
+    finish = columns + words - 2
     found = np.frombuffer("".join([x for pair in pairs for x in pair]).encode("utf-32-le", "surrogatepass"), np.uint32)
     met = np.zeros(int(found.max()) + 1, bool)
     met[found] = True
-    points = np.flatnonzero(met)
+    letters = int(met.sum()) + 1  # the last one stands before the first column, and matches nothing
     code = (np.cumsum(met) - 1)[found]
-    begin = (np.cumsum(rows + columns) - rows - columns)[who]
-    rows, columns, words, limits = rows[who], columns[who], words[who], np.asarray(limits)[who]
-    last = np.cumsum(words) - 1
-    first = last - words + 1
+    begin = np.cumsum(rows + columns) - rows - columns
     row = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-    letter = code[np.repeat(begin, rows) + row]
-    table = np.zeros(len(points) * int(words.sum()), np.uint64)
-    np.bitwise_or.at(table, (np.repeat(first, rows) + row // WORD_BITS) * len(points) + letter, one << (row % WORD_BITS).astype(np.uint64))
-    word = np.arange(words.sum()) - np.repeat(first, words)
-    longest = int(words[0] if len(words) == 1 else words.max())
-    code = np.concatenate([np.zeros(longest, np.int64), code, np.zeros(longest, np.int64)])
-    at = np.repeat(begin + rows, words) - word + longest  # place of column 0 in ``code``, less the lane's delay
-    own = np.arange(words.sum()) * len(points)
-    plus, minus = np.full(len(word), ~np.uint64(0)), np.zeros(len(word), np.uint64)
-    last_bit = ((rows - 1) % WORD_BITS).astype(np.uint64)
-    score, out = rows.copy(), np.full(len(pairs), np.iinfo(np.int64).max)
-    up_out, down_out = np.zeros((2, len(word)), np.uint64)
-    ends = -(columns + words)
-    for s in range(int(columns[0] + words[0]) - 1):
-        k = int(np.searchsorted(ends, -s - 1))  # pairs whose last word has columns left
-        if s % 32 == 31:  # pairs that are over their limit whatever follows leave
-            left = columns[:k] - (s - words[:k] + 1)
-            stay = (score[:k] - left <= limits[:k]) | (left >= columns[:k])
-            if 4 * np.count_nonzero(stay) < 3 * k:
-                out[who[k:]] = score[k:]
-                lanes = np.repeat(stay, words[:k])
-                n = len(lanes)
-                at, own, word, plus, minus, up_out, down_out = (x[:n][lanes] for x in (at, own, word, plus, minus, up_out, down_out))
-                who, columns, words, score, limits, last_bit, rows, ends = (x[:k][stay] for x in (who, columns, words, score, limits, last_bit, rows, ends))
-                last = np.cumsum(words) - 1
-                first = last - words + 1
-                k = len(who)
-        if not k:
+    table = np.zeros(letters * len(pair), np.uint64)
+    np.bitwise_or.at(table, (np.repeat(last - words + 1, rows) + row // WORD_BITS) * letters + code[np.repeat(begin, rows) + row], one << (row % WORD_BITS).astype(np.uint64))
+    texts = np.full((columns + words + WINDOW).sum() + WINDOW, letters - 1)  # each behind as many blanks as the pair has words
+    place = np.cumsum(columns + words + WINDOW) - columns - WINDOW
+    column = np.arange(columns.sum()) - np.repeat(np.cumsum(columns) - columns, columns)
+    texts[np.repeat(place, columns) + column] = code[np.repeat(begin + rows, columns) + column]
+    at = place[pair] - word
+    own = np.arange(len(pair)) * letters
+    bottom = np.minimum(WORD_BITS * (word + 1), rows[pair])
+    under = WORD_BITS * (word + 1) - bottom  # rows of a lane below the last row
+    ahead = (columns - rows)[pair] + bottom + word  # less the step: how far a lane's corner is from the last diagonal
+    below = np.where(rows % WORD_BITS, full << (rows % WORD_BITS).astype(np.uint64), np.uint64(0))
+    plus, minus, up_out, down_out = np.full(len(pair), full), *np.zeros((3, len(pair)), np.uint64)
+    score, out = np.zeros(len(pair), np.int64), np.full(len(pairs), -1)
+    width = np.minimum(words, (WORD_BITS + most + WINDOW) // WORD_BITS + 1)  # lanes of a pair at work, about
+    live, coming, entered, s = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+    while True:
+        room = LANES - int(width[np.unique(pair[live])].sum()) if len(live) else LANES
+        if entered < len(pairs) and room > LANES // 8:
+            upto = max(entered + 1, entered + int(np.searchsorted(np.cumsum(width[entered : entered + room + 1]), room, side="right")))
+            upto = min(upto, len(pairs))
+            lanes = np.arange(last[entered] - words[entered] + 1, last[upto - 1] + 1)
+            for x, change in ((start, s), (end, s), (at, -s), (ahead, s)):
+                x[lanes] += change
+            finish[entered:upto] += s
+            coming, entered = np.concatenate([coming, lanes]), upto
+        coming = coming[out[pair[coming]] < 0]
+        ready = start[coming] == s
+        new, coming = coming[ready], coming[~ready]
+        first_columns = at[new] + s <= place[pair[new]]
+        score[new] = np.where(first_columns, WORD_BITS * word[new], score[new - 1] - (up_out[new - 1].astype(np.int64) - down_out[new - 1].astype(np.int64))) + WORD_BITS
+        live = live[(out[pair[live]] < 0) & (end[live] >= s)]
+        live = np.sort(np.concatenate([live, new]))
+        if not len(live):
             break
-        n = int(last[k - 1]) + 1
-        if s < longest:  # lanes that begin here forget what they did before
-            fresh = np.flatnonzero(word[:n] == s)
-            plus[fresh], minus[fresh] = ~np.uint64(0), 0
-            fresh = words[:k] == s + 1
-            score[:k][fresh] = rows[:k][fresh]
-        carry_up, carry_down = np.empty((2, n), np.uint64)
-        carry_up[1:], carry_down[1:] = up_out[: n - 1], down_out[: n - 1]
-        carry_up[first[:k]], carry_down[first[:k]] = 1, 0
-        p, m = plus[:n], minus[:n]
-        eq = table.take(own[:n] + code.take(at[:n] + s))
-        vertical = eq | m
-        eq |= carry_down
-        diagonal = (((eq & p) + p) ^ p) | eq
-        up, down = m | ~(diagonal | p), p & diagonal
-        bit = last_bit[:k]
-        score[:k] += ((up[last[:k]] >> bit) & one).astype(np.int64)
-        score[:k] -= ((down[last[:k]] >> bit) & one).astype(np.int64)
-        up_out, down_out = up >> top, down >> top
-        up, down = up << one | carry_up, down << one | carry_down
-        plus[:n], minus[:n] = down | ~(vertical | up), up & vertical
-    out[who] = score
+        n, who = len(live), pair[live]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        p, m, up_, down_, total = plus[live], minus[live], up_out[live], down_out[live], score[live]
+        mine, here = own[live], at[live] + s
+        ending = who[first]
+        ending = ending[finish[ending] < s + WINDOW]
+        ends = finish[ending] - s
+        carry_up, carry_down, eq, vertical, a, b = np.empty((6, n), np.uint64)
+        for t in range(WINDOW):
+            carry_up[1:], carry_down[1:] = up_[:-1], down_[:-1]
+            carry_up[first], carry_down[first] = 1, 0
+            spot = texts.take(here)
+            spot += mine
+            here += 1
+            table.take(spot, out=eq, mode="clip")
+            np.bitwise_or(eq, m, out=vertical)
+            eq |= carry_down
+            np.bitwise_and(eq, p, out=a)
+            a += p
+            a ^= p
+            a |= eq  # the diagonals that stay level
+            np.bitwise_or(a, p, out=b)
+            np.invert(b, out=b)
+            b |= m  # up
+            a &= p  # down
+            np.right_shift(b, top, out=up_)
+            np.right_shift(a, top, out=down_)
+            b <<= one
+            b |= carry_up
+            a <<= one
+            a |= carry_down
+            np.bitwise_or(vertical, b, out=p)
+            np.invert(p, out=p)
+            p |= a
+            np.bitwise_and(b, vertical, out=m)
+            total += up_.view(np.int64)
+            total -= down_.view(np.int64)
+            if len(ends) and (done := ending[ends == t]).size:
+                k = np.searchsorted(live, last[done])
+                out[done] = total[k] - np.bitwise_count(p[k] & below[done]).astype(np.int64) + np.bitwise_count(m[k] & below[done])
+        plus[live], minus[live], up_out[live], down_out[live], score[live] = p, m, up_, down_, total
+        s += WINDOW
+        reached = s - ahead[live]  # columns beyond the diagonal that ends in the last corner
+        least = total - under[live] - np.abs(reached)
+        least[at[live] + s <= place[who]] = 0
+        least = np.maximum.reduceat(least, first)
+        over = (least > limits[who[first]]) & (out[who[first]] < 0)
+        out[who[first][over]] = least[over]
     return out
 
 
 def letter_counts(lines: list[str]) -> np.ndarray:
     """How many characters of each line fall in each of ``BINS`` bins by code point."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) % np.uint32(BINS)
-    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    return np.bincount(line * BINS + codes, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
+    out = np.zeros((len(lines), BINS), np.int32)
+    for lo in range(0, len(lines), 256):
+        some = lines[lo : lo + 256]
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(BINS - 1)
+        codes = codes + np.repeat(np.arange(0, len(some) * BINS, BINS, dtype=np.uint32), [len(x) for x in some])
+        out[lo : lo + 256] = np.bincount(codes, minlength=len(some) * BINS).reshape(-1, BINS)
+    return out
 
 
 def too_unlike(counts: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -191,13 +235,14 @@ def alike(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
         else:
             waiting.append((-(-len(a) // WORD_BITS), k, a, b, limit))
     waiting.sort(key=lambda x: -len(x[3]))
-    letters = len(set().union(*[x[2] for x in waiting], *[x[3] for x in waiting]))
-    most = max(1, min(LANES, TABLE // max(1, letters)))
+    met = np.frombuffer("".join([y for x in waiting for y in x[2:4]]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.count_nonzero(np.bincount(met)) if len(met) else 0
+    most = max(1, TABLE // (letters + 1))
     at = 0
     while at < len(waiting):
         upto = at + 1
         lanes = waiting[at][0]
-        while upto < len(waiting) and lanes + waiting[upto][0] <= most and (lanes <= LANES // 16 or 2 * len(waiting[upto][3]) >= len(waiting[at][3])):
+        while upto < len(waiting) and lanes + waiting[upto][0] <= most:
             lanes += waiting[upto][0]
             upto += 1
         part = waiting[at:upto]

@@ -22,12 +22,18 @@ LAST = (1 << 63) - 1  # place of a null doc_id in the order
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NOT_BLANK = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"  # what stays of a line with a word
 FOLD = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
-LINE_COLUMNS = ["doc_id", "body", "line_no", "high", "low", "mark", "bands", "again"]
+ODD = np.int64(0x1E3779B97F4A7C15)
+LINE_COLUMNS = ["doc_id", "body", "spot", "high", "low", "mark", "bands"]
 
 
 def normal(line: str) -> str:
     """A line for comparison: A-Z in lower case, ASCII punctuation as spaces, words one space apart."""
-    return b" ".join(line.encode("utf-8", "surrogatepass").translate(FOLD).split()).decode("utf-8", "surrogatepass")
+    return normal_bytes(line.encode("utf-8", "surrogatepass"))
+
+
+def normal_bytes(line: bytes) -> str:
+    """:func:`normal` of a line in UTF-8."""
+    return b" ".join(line.translate(FOLD).split()).decode("utf-8", "surrogatepass")
 
 
 def id_and_body(docs: DataFrame) -> tuple[Column, Column]:
@@ -48,7 +54,7 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, l
 
 
 def lines_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Lines with a word: text, line number, two halves of the MD5 of the normalised line, mark and bands."""
+    """Lines with a word: text, spot (line number, and above it the line's first byte in the text), two halves of the MD5 of the normalised line, mark and bands."""
     words = split_words(texts, FOLD)
     hashes, weights, counts, line = word_features(words)
     text = np.searchsorted(words.first_line, line, side="right") - 1
@@ -57,15 +63,17 @@ def lines_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     data = words.data.tobytes()
     keys = b"".join([hashlib.md5(data[a:b]).digest() for a, b in zip(words.start[head].tolist(), words.end[last].tolist())] if len(head) else [])
     both = np.frombuffer(keys, "<i8").reshape(-1, 2)
-    return text, line - words.first_line[text], both[:, 0], both[:, 1], marks_of(hashes, counts).view(np.int64), bands_of(hashes, weights, counts)
+    first = words.first_line[text]
+    return text, words.line_start[line] - words.line_start[first] << 32 | line - first, both[:, 0], both[:, 1], marks_of(hashes, counts).view(np.int64), bands_of(hashes, weights, counts)
 
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs`` that have a word, one row each.
+    """Lines of ``docs`` that have a word, one row each; ``spot`` orders the lines of a text and holds line number and place.
 
-    ``high`` and ``low`` are the MD5 of the normalised line. ``again`` is true for lines
-    that are equal to an earlier one of the same Arrow batch; these go whatever
-    the rest of the corpus holds, so a very common line leaves each batch once.
+    ``high`` and ``low`` are the MD5 of the normalised line. Lines that are equal to an
+    earlier one of the same Arrow batch have no ``bands``: these go whatever the rest
+    of the corpus holds, so a very common line leaves each batch once. Their
+    ``high`` and ``low`` tell their place only, so they are dealt evenly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,22 +87,24 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
                     parts.append((text + at, *rest))
             if not parts:
                 continue
-            text, number, high, low, mark, bands = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((number, body[text], doc[text], low, high))
+            text, spot, high, low, mark, bands = (np.concatenate(x) for x in zip(*parts))
+            doc, body = doc[text], body[text]
+            order = np.lexsort((spot, body, doc, low, high))
             same = lambda *columns: np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in columns])
             again = np.zeros(len(text), bool)
             again[order[1:]] = same(high, low)
             once = np.ones(len(text), bool)
-            once[order[1:]] = ~(same(high, low, number) & same(body[text], doc[text]))  # else the line of a repeated row
+            once[order[1:]] = ~same(high, low, spot, body, doc)  # else the line of a repeated row
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(text), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
             hidden = pa.array(again)
-            columns = [pa.array(x) for x in (doc[text], body[text], number.astype(np.int32), high, low, mark)]
-            out = pa.RecordBatch.from_arrays([*columns, pa.compute.if_else(hidden, pa.scalar(None, pa.binary()), packed), hidden], LINE_COLUMNS)
+            high, low = np.where(again, doc, high), np.where(again, body ^ spot * ODD, low)
+            columns = [pa.array(x) for x in (doc, body, spot, high, low, mark)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.compute.if_else(hidden, pa.scalar(None, pa.binary()), packed)], LINE_COLUMNS)
             yield out if once.all() else out.filter(pa.array(once))
 
     name, body = id_and_body(docs)
     source = docs.select(name.alias("doc_id"), body.alias("body"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, body long, line_no int, high long, low long, mark long, bands binary, again boolean")
+    return source.mapInArrow(run, "doc_id long, body long, spot long, high long, low long, mark long, bands binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -104,17 +114,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (``doc_id``, ``body``, ``line_no``, ...) with the ``line`` of the text there."""
+    """``places`` (``doc_id``, ``body``, ``spot``, ...) with the ``line`` of the text there, in UTF-8."""
     rest = [c for c in places.columns if c not in ("doc_id", "body")]
     listed = places.groupBy(F.col("doc_id").alias("__doc"), F.col("body").alias("__hash")).agg(F.collect_list(F.struct(*rest)).alias("places"))
-    found = keyed(docs).join(listed, (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")))
-    parts = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("place"))
-    return parts.select("place.*", F.coalesce(F.get("lines", F.col("place.line_no")), F.lit("")).alias("line"))
+    found = keyed(docs).join(listed.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")))
+
+    def with_line(place: Column) -> Column:
+        onwards = F.substring(F.col("text").cast("string").cast("binary"), F.shiftright(place["spot"], 32).cast("int") + 1, F.lit((1 << 31) - 1))
+        return F.struct(*[place[c].alias(c) for c in rest], F.substring_index(onwards.cast("string"), "\n", 1).cast("binary").alias("line"))
+
+    return found.select(F.inline(F.transform("places", with_line)))
 
 
 def same_lines(items: pa.ChunkedArray) -> tuple[Check, np.ndarray, float]:
     """A check of pairs by edit similarity of the normalised lines, with their lengths; a pair of one line (a repeated document) is alike."""
-    lines = [normal(x) for x in items.to_pylist()]
+    lines = [normal_bytes(x) for x in items.to_pylist()]
     counts = letter_counts(lines)
 
     def check(pairs: list[tuple[int, int]]) -> np.ndarray:
@@ -128,7 +142,7 @@ def same_lines(items: pa.ChunkedArray) -> tuple[Check, np.ndarray, float]:
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """Lines to remove: ``doc_id``, ``body`` and ``line_no`` of all but the first of each connected group.
+    """Lines to remove: ``doc_id``, ``body`` and ``spot`` of all but the first of each connected group.
 
     Lines that are equal once normalised form one node. Nodes link if their edit
     similarity (one minus distance over the longer length) is ``SIMILARITY`` or more.
@@ -137,27 +151,26 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     probability that falls with the share of its words that differ. First means
     smallest doc_id (null counts as largest), then hash of the text, then line number.
     """
-    lines = written(corpus_lines(docs), "lines")
-    placed = written(first_places(lines.where("not again").drop("again")), "places")
-    hidden = written(lines.where("again").select("doc_id", "body", "line_no"), "hidden")
-    discard(lines)
+    placed = written(first_places(corpus_lines(docs)), "places")
     drop_shuffles(docs.sparkSession)
     nodes = placed.where("node is not null")
     grouped = line_groups(docs, nodes)
     drop_shuffles(docs.sparkSession)
-    place = F.struct("doc_id", "body", "line_no")
+    place = F.struct("doc_id", "body", "spot")
     keep = grouped.groupBy("component").agg(F.min(place).alias("keep"))
     linked = grouped.join(keep, "component").where(place != F.col("keep"))
-    again = hidden.unionByName(placed.where("node is null").select("doc_id", "body", "line_no"))
-    return again.unionByName(linked.select("doc_id", "body", "line_no"))
+    again = placed.where("node is null").select("doc_id", "body", "spot")
+    return again.unionByName(linked.select("doc_id", "body", "spot"))
 
 
 def line_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``component`` and place of every node that has a link."""
-    near = suspects(nodes, nodes.count())
+    near = written(suspects(nodes, nodes.count()), "suspects")  # so that its shuffles can go before the texts are dealt
     drop_shuffles(docs.sparkSession)
     links = verified_links(lines_at(docs, near).withColumnRenamed("line", "item"), same_lines)
-    return cut(connected_components(links).join(nodes.drop("mark", "bands"), "node"))
+    grouped = cut(connected_components(links).join(nodes.drop("mark", "bands"), "node"))
+    discard(near)
+    return grouped
 
 
 def dedup_lines(docs: DataFrame, counts: str = "line_counts") -> DataFrame:
@@ -170,8 +183,9 @@ def dedup_lines(docs: DataFrame, counts: str = "line_counts") -> DataFrame:
     from the other; rows that share an id, or have none, and differ in text are
     different documents. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("body").alias("__hash")).agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
-    joined = keyed(docs).join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")), "left")
+    number = F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("body").alias("__hash")).agg(F.array_sort(F.collect_set(number)).alias("__gone"))
+    joined = keyed(docs).join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__body") == F.col("__hash")), "left")
     joined = joined.withColumn("__lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     stays = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)))
     joined = joined.withColumn("__stays", stays)

@@ -58,6 +58,14 @@ def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int =
 
     ``parts`` labels the marks of a bucket; two are compared right away.
     """
+    order = np.sort(name.astype(np.uint64) << np.uint64(32) | np.arange(len(name), dtype=np.uint64))  # a task has under 2^32 entries
+    name = (order >> np.uint64(32)).astype(np.uint32)
+    order = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    met = np.zeros(len(name) + 1, bool)
+    met[1:-1] = name[1:] == name[:-1]
+    shared = met[1:] | met[:-1]  # most entries are alone in their buckets
+    name, order = name[shared], order[shared]
+    mark, band = mark[order], band[order]
     order = np.lexsort((mark, name))
     name, mark, band = name[order], mark[order], band[order]
     begin, end = bounds(name)
@@ -85,6 +93,12 @@ def sets_of(name: np.ndarray, mark: np.ndarray, band: np.ndarray, radius: int =
     return sets[once], mark[once], band[once]
 
 
+def packed_runs(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each run of ``values``; the runs cover them one after another."""
+    ends = np.append(begin, end[-1:]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS, keys: int = BANDS, parts: Parts = close_parts) -> DataFrame:
     """``set``, ``mark`` and ``band`` of the candidate sets among ``items`` (``mark``, ``bands`` of ``keys`` names), ``count`` rows or so.
 
@@ -100,10 +114,11 @@ def candidate_sets(items: DataFrame, count: int, radius: int = RADIUS, keys: int
             names = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4")
             marks, bands = np.repeat(batch.column(0).to_numpy(), keys), np.tile(np.arange(keys, dtype=np.uint8), batch.num_rows)
             place = names % np.uint32(width)
-            order = np.argsort(place, kind="stable")
-            begin, end = bounds(place[order])
-            packed = [[x[order][lo:hi].tobytes() for lo, hi in zip(begin.tolist(), end.tolist())] for x in (names, marks, bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(place[order][begin], pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["place", "names", "marks", "bands"])
+            order = np.argsort(place.astype(np.uint16) if width <= 1 << 16 else place, kind="stable")  # 16 bits are sorted by radix
+            place = place[order]
+            begin, end = bounds(place)
+            packed = [packed_runs(x[order], begin, end) for x in (names, marks, bands)]
+            yield pa.RecordBatch.from_arrays([pa.array(place[begin], pa.int64()), *packed], ["place", "names", "marks", "bands"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], []]
@@ -127,7 +142,7 @@ def explore(marks: np.ndarray, before: np.ndarray, sizes: np.ndarray, least: flo
     one are left to that band's set. Pairs of which one's size is under ``least`` of the
     other's are never alike. Members come in order, a block at a time. A block is first tried on the first
     member of the largest group; then each member on members of other groups,
-    the eight nearest marks first, twice as many each round, until no candidate of another
+    the two nearest marks first, twice as many each round, until no candidate of another
     group is left. So near copies of one text cost a check or two each, however many they are.
     """
     n = len(marks)
@@ -160,7 +175,7 @@ def explore(marks: np.ndarray, before: np.ndarray, sizes: np.ndarray, least: flo
             apart[(apart > radius) | (rows[:, None] >= mine[None, :]) & (rows[:, None] >= lo) | ~sizes_fit(sizes[rows][:, None], sizes[mine][None, :], least)] = 255
             for names in before.T:
                 apart[names[rows][:, None] == names[mine][None, :]] = 255
-            take = 8
+            take = 2
             while True:
                 apart[label[rows][:, None] == label[mine][None, :]] = 255
                 open_ = np.flatnonzero((apart < 255).any(axis=0))
@@ -244,9 +259,9 @@ def suspects(items: DataFrame, count: int, keys: int = BANDS, parts: Parts = clo
 
 
 def first_places(rows: DataFrame) -> DataFrame:
-    """``rows`` (``high``, ``low``, ``doc_id``, ``body``, ``line_no``, ``mark``, ``bands``) with a ``node`` number on the first row of each key.
+    """``rows`` (``high``, ``low``, ``doc_id``, ``body``, ``spot``, ``mark``, ``bands``) with a ``node`` number on the first row of each key.
 
-    The key is ``high`` and ``low``; first means smallest ``doc_id``, ``body``, ``line_no``. Rows are
+    The key is ``high`` and ``low``; first means smallest ``doc_id``, ``body``, ``spot``; rows without bands are never first. Rows are
     dealt by key, sorted, and pass through with one key's state, so a key of
     many rows needs no memory. Rows of one place and key count once. Other rows lose mark and bands. Node numbers are
     unique and fixed once the result is written.
@@ -268,12 +283,13 @@ def first_places(rows: DataFrame) -> DataFrame:
             again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in place])
             again[0] = last == tuple(x[0] for x in place)
             last = tuple(x[-1] for x in place)
+            first &= batch.column(6).is_valid().to_numpy(zero_copy_only=False)
             node = number + np.cumsum(first) - 1
             number += int(first.sum())
             others = pa.array(~first)
             mark, bands = (pa.compute.if_else(others, pa.scalar(None, c.type), c) for c in (batch.column(5), batch.column(6)))
-            out = pa.RecordBatch.from_arrays([*batch.columns[2:5], pa.array(node, mask=~first), mark, bands], ["doc_id", "body", "line_no", "node", "mark", "bands"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[2:5], pa.array(node, mask=~first), mark, bands], ["doc_id", "body", "spot", "node", "mark", "bands"])
             yield out.filter(pa.array(~again)) if again.any() else out
 
-    dealt = rows.repartition("high", "low").sortWithinPartitions("high", "low", "doc_id", "body", "line_no")
-    return dealt.select("high", "low", "doc_id", "body", "line_no", "mark", "bands").mapInArrow(run, "doc_id long, body long, line_no int, node long, mark long, bands binary")
+    dealt = rows.repartition("high", "low").sortWithinPartitions("high", "low", "doc_id", "body", "spot")
+    return dealt.select("high", "low", "doc_id", "body", "spot", "mark", "bands").mapInArrow(run, "doc_id long, body long, spot long, node long, mark long, bands binary")

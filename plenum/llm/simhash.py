@@ -244,12 +244,12 @@ def marked_texts(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 continue
             high, low, mark, bands = (np.concatenate(x) for x in zip(*columns))
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SHARDS), len(high), [None, pa.py_buffer(bands.tobytes())]).cast(pa.binary())
-            rest = [pa.array(np.zeros(len(high), np.int32)), *(pa.array(x) for x in (high, low, mark)), packed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "body", "line_no", "high", "low", "mark", "bands"])
+            rest = [pa.array(np.zeros(len(high), np.int64)), *(pa.array(x) for x in (high, low, mark)), packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "body", "spot", "high", "low", "mark", "bands"])
 
     name, body = id_and_body(docs)
     source = docs.select(name.alias("doc_id"), body.alias("body"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, body long, line_no int, high long, low long, mark long, bands binary")
+    return source.mapInArrow(run, "doc_id long, body long, spot long, high long, low long, mark long, bands binary")
 
 
 def some_words(data: bytes, words: Words, lo: int, hi: int) -> list[bytes]:

@@ -11,7 +11,8 @@ BANDS, ROWS = 14, 4  # buckets of a node, and weighted minima that name a bucket
 RADIUS = 20  # differing bits of two marks that are compared at most
 GRAM = 4  # bytes of the pieces that stand for words where there are few or very long ones
 FEW_WORDS, LONG_WORD = 5, 24
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 17
+DRAWN = 2_000  # features whose draws are held at a time
 
 _rng = np.random.default_rng(20240301)
 BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -51,7 +52,8 @@ class Words:
     """Words of a few texts in one buffer in which words of a line stand one space apart.
 
     ``start`` and ``end`` of each word in ``data``; ``line``, the number of its line, counted over all texts;
-    ``first_line``, the number of each text's first line.
+    ``first_line``, the number of each text's first line; ``line_start``, where each line starts in the texts
+    as they were, one byte apart.
     """
 
     data: np.ndarray
@@ -59,35 +61,41 @@ class Words:
     end: np.ndarray
     line: np.ndarray
     first_line: np.ndarray
+    line_start: np.ndarray
 
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = bytes(x in (9, 10, 11, 12, 13, 32) for x in range(256))  # for bytes.translate
+WEIGHT = np.arange(1 << 10).astype(np.float32) ** np.float32(1.5)  # of words by size
 
 
 def split_words(texts: list[bytes], fold: bytes) -> Words:
     """Words of ``texts`` once ``fold`` (a table for ``bytes.translate``) is applied; lines end at line feeds."""
-    raw = np.frombuffer(b"\n".join(texts).translate(fold), np.uint8)
+    folded = b"\n".join(texts).translate(fold)
+    raw = np.frombuffer(folded, np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    blank = np.concatenate(([True], BLANK[raw], [True]))
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = np.frombuffer(folded.translate(BLANK), bool)
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edges[::2], edges[1::2]
     feeds = np.flatnonzero(raw == 10)
-    line = np.searchsorted(feeds, start)
+    before = np.searchsorted(start, feeds)
+    line = np.repeat(np.arange(len(feeds) + 1), np.diff(before, prepend=0, append=len(start)))
     first_line = np.searchsorted(feeds, np.cumsum(sizes) - sizes)
     keep = ~blank[1:-1]
-    inner = start[1:][line[1:] == line[:-1]] - 1
+    joined = line[1:] == line[:-1]
+    inner = start[1:][joined] - 1
     keep[inner] = True
     data = raw.copy()
     data[inner] = 32
-    place = np.cumsum(keep) - keep
-    begin = place[start] if len(start) else start
-    return Words(data[keep], begin, begin + (end - start), line, first_line)
+    size = end - start
+    begin = np.zeros(len(start), np.int64)
+    np.cumsum(size[:-1] + joined, out=begin[1:])
+    return Words(data[keep], begin, begin + size, line, first_line, np.append(0, feeds + 1))
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_HASH[data] * powers(BASE, len(data)), out=sums[1:])
+    np.cumsum(BYTE_HASH.take(data) * powers(BASE, len(data)), out=sums[1:])
     return sums
 
 
@@ -108,7 +116,9 @@ def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     n_words = np.diff(head, append=len(words.line))
     sums = prefix_sums(words.data)
     size = words.end - words.start
-    weight = size.astype(np.float32) ** np.float32(1.5)
+    weight = WEIGHT.take(size, mode="clip")
+    large = np.flatnonzero(size >= len(WEIGHT))
+    weight[large] = size[large].astype(np.float32) ** np.float32(1.5)
     row = np.repeat(np.arange(len(head)), n_words)
     line_start, line_end = words.start[head], words.end[np.append(head[1:], len(words.line)) - 1] if len(head) else words.end
     short = (n_words < FEW_WORDS) & (line_end - line_start >= GRAM)
@@ -181,24 +191,28 @@ def bands_of(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.
     rows share it with the power ``ROWS`` of the similarity of their sets.
     """
     ends = np.cumsum(counts)
-    low = np.empty((len(counts), BANDS * ROWS), np.float32)
+    low = np.empty((len(counts), BANDS * ROWS), np.int32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     scale = np.float32(1) / weights
+    space = np.empty((2, DRAWN, BANDS * ROWS), np.uint32)
     at = 0
 
     def least(lo: int, hi: int) -> np.ndarray:
-        drawn = ((short[lo:hi, None] * TIMES) >> np.uint32(1)).view(np.int32).astype(np.float32)
-        drawn *= scale[lo:hi, None]
-        return drawn
+        """Draws of features as the bits of floats over zero, which compare like the floats, and faster."""
+        drawn, scaled = space[0, : hi - lo], space[1, : hi - lo].view(np.float32)
+        np.multiply(short[lo:hi, None], TIMES, out=drawn)
+        np.right_shift(drawn, np.uint32(1), out=drawn)
+        np.multiply(drawn.view(np.int32), scale[lo:hi, None], out=scaled, dtype=np.float32, casting="unsafe")
+        return scaled.view(np.int32)
 
     while at < len(counts):
         base = int(ends[at] - counts[at])
-        upto = max(at + 1, int(np.searchsorted(ends, base + 8_000, side="right")))
+        upto = max(at + 1, int(np.searchsorted(ends, base + DRAWN, side="right")))
         stop = int(ends[upto - 1])
-        if upto == at + 1:
-            low[at] = np.min([least(i, min(i + 8_000, stop)).min(axis=0) for i in range(base, stop, 8_000)], axis=0)
+        if stop - base > DRAWN:
+            low[at] = np.min([least(i, min(i + DRAWN, stop)).min(axis=0) for i in range(base, stop, DRAWN)], axis=0)
         else:
-            low[at:upto] = np.minimum.reduceat(least(base, stop), ends[at:upto] - counts[at:upto] - base, axis=0)
+            np.minimum.reduceat(least(base, stop), ends[at:upto] - counts[at:upto] - base, axis=0, out=low[at:upto])
         at = upto
     bits = low.view(np.uint32).reshape(-1, BANDS, ROWS)
     name = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(bits), 1))

@@ -70,6 +70,50 @@ def test_letters_and_sizes_rule_out_no_alike_pair():
     assert edits.batch_distances(long, np.full(4, 10**6)).tolist() == [edits.one_distance(*x, 10**6) for x in long]
 
 
+def test_distances_within_limits():
+    """Lanes do only the columns that a way within the limit takes; at or under it the distance is exact, else it is over."""
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(600):
+        a = [rng.choice("abcdé ") for _ in range(rng.choice([1, 30, 63, 64, 65, 128, 200, 400]))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // rng.choice([2, 4, 8])))):
+            i, n = rng.randrange(len(b) + 1), rng.choice([1, 1, 1, 25])
+            b[i : i + rng.choice([0, n])] = rng.choices("abcdé ", k=rng.choice([0, 1, n]))
+        pairs.append(("".join(a), "".join(b) or "x"))
+    want = np.array([edits.one_distance(a, b, 10**9) for a, b in pairs])
+    for share in (0, 0.05, 0.2, 0.5, 10**6):
+        limits = np.array([share * max(len(a), len(b)) + 1e-9 for a, b in pairs])
+        got = edits.batch_distances(pairs, limits)
+        assert np.where(want <= limits, got == want, got > limits).all(), share
+
+
+def test_alike_members_are_asked_little():
+    """Near copies cost two checks each, not one with each of eight neighbours."""
+    rng = random.Random(12)
+    marks = np.array([sum(1 << b for b in rng.sample(range(64), 4)) for _ in range(200)], np.uint64)
+    asked = []
+    links = near.links_of(marks, np.zeros((200, 1), np.uint32), [(0, 200, 0)], lambda pairs: np.array([asked.append(p) is None for p in pairs]))
+    assert len(links) == 199 and len(asked) <= 2 * 200
+
+
+def test_runs_are_packed_as_they_are():
+    values = np.arange(9, dtype="<u4")
+    assert near.packed_runs(values, np.array([0, 2, 3]), np.array([2, 3, 9])).to_pylist() == [values[a:b].tobytes() for a, b in ((0, 2), (2, 3), (3, 9))]
+    assert near.packed_runs(values[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+
+
+def test_spots_lead_to_the_lines(spark):
+    texts = ["é one\r\n\n 日本 two \nthree", "a\x0bb", "\n\nA b", "one\na b\nA, b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.corpus_lines(docs.coalesce(1)).cache()
+    places = rows.select("doc_id", "body", "spot", rows.doc_id.alias("name"))
+    found = {(r["name"], r["spot"] & (1 << 31) - 1): bytes(r["line"]).decode() for r in line_dedup.lines_at(docs, places).collect()}
+    assert found == {(i, k): line for i, text in enumerate(texts) for k, line in enumerate(text.split("\n")) if line.strip()}
+    assert rows.where("bands is null").count() == 3  # equal lines of one batch
+    assert line_dedup.first_places(rows).where("node is not null").count() == 5
+
+
 def test_words_and_marks_of_texts():
     texts = [b"A  b,c\n\n x ", b"", b"\n\nq" + b" w" * 700, "é 日本".encode()]
     words = sketch.split_words(texts, line_dedup.FOLD)
