@@ -80,3 +80,13 @@ def test_meetings_apart_and_empty(spark):
     items = [(m, "a", 1, "", "1.", "") for m in "mnop"] + [(None, "a", 1, None, "1", None)]
     assert found(spark, texts, items) == {("m", "a"): (0, "number"), ("p", "a"): (1, "number")}
     assert found(spark, texts[:0], items) == {} and found(spark, texts, items[:0]) == {}
+
+
+def test_a_meeting_is_read_in_one_row(spark):
+    """Texts pass one exchange, whatever the kinds of places; nothing else of a line is shuffled."""
+    texts = spark.createDataFrame([("m", "Über 24-117\n1. Éclairs für alle Gäste\n½ Éclair")], "meeting_id string, text string")
+    items = spark.createDataFrame([("m", "a", 1, None, None, "éclairs für alle gäste")], ITEM)
+    rows = anchors(texts, items)
+    assert [tuple(r) for r in rows.collect()] == [("m", "a", 1, "title", 4000)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
