@@ -1,6 +1,7 @@
 """Keyed streaming state that ends: intents in order, moved rows and leases, on event-time timers.
 
-Each operator keeps what has not settled in a list and the last settled fact in a value.
+Each operator keeps what has not settled and the last settled fact in one value, for
+a call on the state costs more than the rows that a key has within the lateness.
 A timer settles rows once the watermark has passed them, so rows that come out of
 order within the lateness allowed give the batch result; rows behind the watermark come
 out marked ``late`` and change nothing. A key that hears nothing for ``keep`` is forgotten, so the
@@ -9,6 +10,7 @@ state follows the keys active of late, not all keys ever seen.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,7 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-GRAIN_MS = 60_000  # timers of a key are due at whole minutes, so it has few of them
+GRAIN_MS = 60_000  # timers are due at whole minutes
 
 
 @contextmanager
@@ -41,6 +43,9 @@ def due(at: int) -> int:
 class InOrder(StatefulProcessor):
     """Settle a key's (``at``, ``generation``, ``version``) rows in order once the watermark has passed them.
 
+    A key has a timer for the earliest row that waits, or, where none waits, for its
+    forgetting; what it settles sets the next one. Each call on timers or state is a message to the JVM, so there are few.
+
     Subclasses say in :meth:`step` what a settled row gives, from the last settled one.
     """
 
@@ -51,54 +56,69 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "at long, generation long, version string")
-        self.last = handle.getValueState("last", "at long, generation long, version string")
+        self.state = handle.getValueState("state", "rows string")
+
+    def read(self) -> tuple[list[tuple], tuple | None]:
+        """Rows that wait, and the last settled one."""
+        held = self.state.get()
+        waiting, last = json.loads(held[0]) if held is not None else ([], None)
+        return [tuple(x) for x in waiting], tuple(last) if last is not None else None
+
+    def write(self, waiting: list[tuple], last: tuple | None) -> None:
+        if waiting or last is not None:
+            self.state.update((json.dumps([waiting, last]),))
+        else:
+            self.state.clear()
 
     def step(self, row: tuple, last: tuple | None) -> str | None:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
-        late, timers = [], set()
-        for batch in rows:
-            found = list(zip(batch["at"].tolist(), batch["generation"].tolist(), batch["version"].tolist()))
-            late += [(key[0], g, v, "late") for at, g, v in found if at < mark]
-            fresh = [x for x in found if x[0] >= mark]
-            if fresh:
-                self.pending.appendList(fresh)
-                timers |= {due(x[0]) for x in fresh}
-        for t in timers:
-            self.handle.registerTimer(t)
-        yield pd.DataFrame(late, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(x) for x in self.pending.get()]
-        settled = sorted((x for x in waiting if x[0] < mark), key=lambda x: (x[1], x[0]))
-        rest = [x for x in waiting if x[0] >= mark]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for row in settled:
+    def advanced(self, name: str, waiting: list[tuple], last: tuple | None, mark: int) -> tuple[list[tuple], tuple | None, list[tuple]]:
+        """Rows that still wait, the last settled one, and what those settled by the watermark give."""
+        out, rest = [], [x for x in waiting if x[0] >= mark]
+        for row in sorted((x for x in waiting if x[0] < mark), key=lambda x: (x[1], x[0])):
             if last is not None and row[0] - last[0] > self.keep:
                 last = None  # so long ago that the key would be forgotten
             if last is not None and row[1] <= last[1]:
                 continue  # superseded
             change = self.step(row, last)
             if change:
-                out.append((key[0], row[1], row[2], change))
+                out.append((name, row[1], row[2], change))
             last = row
-        if settled:
+        if last is not None and mark - last[0] > self.keep and not rest:
+            last = None
+        return rest, last, out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        out, fresh = [], []
+        for batch in rows:
+            for row in zip(batch["at"].tolist(), batch["generation"].tolist(), batch["version"].tolist()):
+                if row[0] < mark:
+                    out.append((key[0], row[1], row[2], "late"))
+                else:
+                    fresh.append(row)
+        if fresh:  # what the watermark has passed settles here too, so that its timer finds nothing left to write
+            waiting, last = self.read()
+            rest, last, settled = self.advanced(key[0], waiting + fresh, last, mark)
+            self.write(rest, last)
+            self.handle.registerTimer(due(min(x[0] for x in rest)))
+            out += settled
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, before = self.read()
+        rest, last, out = self.advanced(key[0], waiting, before, mark)
+        if len(rest) < len(waiting) or last != before:
+            self.write(rest, last)
             if rest:
-                self.pending.put(rest)
-            else:
-                self.pending.clear()
-        if last is not None and mark - last[0] > self.keep:
-            if not rest:
-                self.last.clear()
-        elif last is not None:
-            self.last.update(last)
-            self.handle.registerTimer(due(last[0] + self.keep) + GRAIN_MS)
-        yield pd.DataFrame(out, columns=self.columns)
+                self.handle.registerTimer(due(min(x[0] for x in rest)))
+            elif last is not None:
+                self.handle.registerTimer(due(last[0] + self.keep) + GRAIN_MS)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass

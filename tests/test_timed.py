@@ -61,3 +61,53 @@ def test_leases_end(spark, tmp_path):
     got, sizes = run(spark, tmp_path, batches, lambda s: timed.leases(s, minutes=5, most=2, keep_seconds=36000), "job string, at timestamp")
     assert [g for g in got if g[0] == "a"] == [("a", 1, "pending"), ("a", 2, "dead_letter")]
     assert ("b", 1, "pending") in got and sizes[-1] <= 3
+
+
+class Calls:
+    """State of one key as the processors call it, with a count of the timers set."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, x):
+        self.value = x
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+    def watermark(self, ms):
+        self.ms = ms
+        return self
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_a_key_has_one_timer_for_all_its_rows():
+    """Rows of many minutes set one timer at a time, every row settles in order, and the key is forgotten."""
+    import pandas as pd
+
+    day = 86_400_000
+    calls, rule = Calls(), timed.Intents(3600 * 1_000_000)
+    rule.init(calls)
+    rows = pd.DataFrame([(day * 1000 + i * 60_000_000, i, "AB"[i % 2]) for i in range(50)], columns=["at", "generation", "version"])
+    assert list(rule.handleInputRows(("k",), iter([rows]), calls.watermark(day))) == [] and len(calls.timers) == 1
+    got, fired = [], 0
+    for minute in range(0, 400, 10):
+        calls.watermark(day + minute * 60_000)
+        while due := [t for t in calls.timers if t <= calls.ms]:
+            calls.timers = [t for t in calls.timers if t not in due]
+            for _ in due:
+                fired += 1
+                got += [tuple(r) for part in rule.handleExpiredTimer(("k",), calls, None) for r in part.itertuples(index=False)]
+    assert got == [("k", i, "AB"[i % 2], "accepted") for i in range(50)] and fired <= 8
+    assert calls.value is None and calls.timers == []
