@@ -1,5 +1,7 @@
 """Votes in minutes: six shapes of our own, each claim checked."""
 
+import re
+
 import pytest
 
 from plenum.operators import rollcall
@@ -178,3 +180,13 @@ def test_what_is_held_back(found):
 def test_texts_without_votes_or_items(found):
     assert not [k for k in found if k[0] in ("no text", "no votes")]
     assert told(found, "no item", 1, "outcome") == [("passed", None, "no_item")]
+
+
+def test_only_telling_lines_are_kept(spark):
+    """What is held for claims are results and lists, not the text; a result without a telling word is none."""
+    text = "Item A\nThe whole text is read aloud by the clerk and heard by all.\nMotion carried 2-1\nAyes: Doe, Roe\nNoes: Poe\n\n" + "More of the same text follows here, line by line.\n" * 5
+    lines = rollcall.numbered_lines(spark.createDataFrame([("m", text)], "meeting_id string, text string"))
+    rows = rollcall.telling(rollcall.read_lines(lines, spark.createDataFrame([("m", 0, "a")], "meeting_id string, line_no int, item_id string"))).orderBy("line_no").collect()
+    assert [r["line_no"] for r in rows] == [2, 3, 4] and [r["line"] for r in rows] == ["Motion carried 2-1", None, None]
+    assert [x["line_no"] for x in rows[0]["around"]] == [0, 1, 2, 3, 4, 5]
+    assert all(re.search(rollcall.TELLING, w) for w in [*rollcall.PASSED, *rollcall.FAILED, "Vote"])
